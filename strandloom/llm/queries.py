@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
 
+TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
+SHARDS = (1.0,) * 8
+
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import remove_repeats
@@ -17,11 +21,54 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs)).withColumn("all", F.concat("base", "added"))
+    counts = [F.expr(f"cast(size(filter(all, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined("base").cast("binary"), 256).alias("base_sha256"), pii.joined("all").alias("spans"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents")
+    out = quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op7_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"), SHARDS)
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode
+
+    return encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", digest=True)
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring, op9_minhash)}
+def fold(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(1))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), use=lambda c: fold(c) != 0)
+    return toxicity.score(docs, model).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_substring, op2_pii, op5_quality, op7_rendezvous, op8_pieces, op9_minhash, op10_toxicity)
+}
 ORACLE: dict[str, str] = {}
