@@ -231,3 +231,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     full = sig.where("n_shingles > 0").join(named, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id")
     none = sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.union(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 85) -> DataFrame:
+    """The rows of df, all columns, that stand for their component; rows with one id are one document.
+
+    A row without an id gets one from its text, greater than all others, so such rows with equal texts are one
+    document too, and stay only where their component has no document with an id.
+    """
+    own = F.lit(2**62) + F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(2**61))
+    rows = df.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), own))
+    kept = near_duplicates(rows, "__id", text_col, k, percent).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    return rows.join(kept, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
