@@ -30,6 +30,18 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined("base").cast("binary"), 256).alias("base_sha256"), pii.joined("all").alias("spans"))
 
 
+def op3_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .render import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op4_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .forest import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -38,6 +50,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), entropy_share=0.95, most_epochs=4.0, budget="same")
+
+
 def op7_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -69,6 +87,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring, op2_pii, op5_quality, op7_rendezvous, op8_pieces, op9_minhash, op10_toxicity)
+    f.__name__: f for f in (op1_substring, op2_pii, op3_render, op4_forest, op5_quality, op6_mixing, op7_rendezvous, op8_pieces, op9_minhash, op10_toxicity)
 }
 ORACLE: dict[str, str] = {}

@@ -327,3 +327,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     kind = dict(docs.select(id_col).dtypes)[id_col]
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+
+
+def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text scores under 0.5."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                yield b.filter(pa.array(shared.value.score([t.as_py() or "" for t in b.column(at)]) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
