@@ -201,11 +201,19 @@ def encoder(path: str) -> Encoder:
 
 
 def _run(path: str, digest: bool) -> Callable:
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()] if digest else [pa.list_(pa.int32()), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32", "n_bytes"] if digest else ["ids", "decoded", "span_from", "span_to"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in batches:
-            rows = []
-            for text in b.column(1):
+            rows, begin, size = [], 0, 0
+
+            def batch(end: int, b: pa.RecordBatch = b) -> pa.RecordBatch:
+                cols = list(zip(*rows)) or [[] for _ in kinds]
+                return pa.RecordBatch.from_arrays([b.column(0).slice(begin, end - begin), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", *names])  # noqa: B023
+
+            for n, text in enumerate(b.column(1)):
                 text = text.as_py() or ""
                 norm, at = e.normalize(text)
                 raw = e.bos + e.ids(norm) + e.eos
@@ -216,10 +224,12 @@ def _run(path: str, digest: bool) -> Callable:
                     rows.append((len(ids), sha256(raw).hexdigest(), sha256(decoded.encode()).hexdigest(), zlib.crc32(span.tobytes()), int(span[-1, 1]) if len(span) else 0))
                 else:
                     rows.append((ids.astype(np.int32), decoded, np.concatenate([[0], span[:, 0], at[-1:]]).astype(np.int32), np.concatenate([[0], span[:, 1], at[-1:]]).astype(np.int32)))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()] if digest else [pa.list_(pa.int32()), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32", "n_bytes"] if digest else ["ids", "decoded", "span_from", "span_to"]
-            cols = list(zip(*rows)) or [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", *names])
+                    size += len(text)
+                    if size > PART:
+                        yield batch(n + 1)
+                        rows, begin, size = [], n + 1, 0
+            if rows or not len(b):
+                yield batch(len(b))
 
     return run
 
