@@ -15,6 +15,8 @@ CONF = {
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     "spark.ui.enabled": "false",
 }
+#: bytes of an Arrow batch that goes to Python, where the session names none: rows are texts of any length
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
 _shipped: set[str] = set()
 
 
@@ -30,6 +32,8 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
     root = Path(__file__).resolve().parent
     with tempfile.TemporaryDirectory() as d:
         z = Path(d, f"{root.name}.zip")
