@@ -1,6 +1,659 @@
-"""Name of each query to its Spark callable and its oracle SQL."""
+"""Name of each query to its Spark callable and its oracle SQL.
+
+The oracles are written another way than the operators: theta joins for binned ones, bases for runs, full
+matrices for windows.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import codec, ontology
+from ..operators import family as fam
+from ..operators import genome, intervals, signal, tabular
+from ..sources import bed, calls, gff, table
+from .fixtures import view, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None, name: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLE[key] = with_views(sql)
+        return f
+
+    return add
+
+
+def long(c: Column | str, name: str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("long").alias(name)
+
+
+# --- codecs -------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE 3 END::BIGINT AS code,
+  CASE o_orderstatus WHEN 'F' THEN '+' WHEN 'O' THEN '-' WHEN 'P' THEN '.' ELSE '?' END AS char, ['+','-','.','?'][(o_orderkey % 256) % 4 + 1] AS low_bits FROM orders""")
+def strand_codec(spark, d):
+    ch = F.when(F.col("o_orderstatus") == "F", "+").when(F.col("o_orderstatus") == "O", "-").when(F.col("o_orderstatus") == "P", ".").otherwise("x")
+    code = codec.strand_code(ch)
+    return table_of(spark, d, "orders").select("o_orderkey", long(code, "code"), codec.strand_char(code).alias("char"), codec.strand_char(F.col("o_orderkey") % 256).alias("low_bits"))
+
+
+def table_of(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+@query("""SELECT o_orderkey, (o_orderkey * 2654435761 // 8 % 32)::BIGINT AS field, ((o_orderkey * 2654435761) - (o_orderkey * 2654435761 // 8 % 32) * 8 + (o_custkey % 32) * 8)::BIGINT AS changed, 31::BIGINT AS mask FROM orders""")
+def bit_fields(spark, d):
+    code = F.col("o_orderkey") * F.lit(2654435761)
+    return table_of(spark, d, "orders").select("o_orderkey", long(codec.get_field(code, 3, 5), "field"), long(codec.set_field(code, F.col("o_custkey"), 3, 5), "changed"), F.lit(codec.field_mask(5)).cast("long").alias("mask"))
+
+
+@query("SELECT o_orderkey, greatest(0, least(255, o_orderkey * 7 - 3000))::BIGINT AS w8, greatest(0, least(65535, o_orderkey * 97 - 3000))::BIGINT AS w16 FROM orders")
+def clamp_field(spark, d):
+    return table_of(spark, d, "orders").select("o_orderkey", long(codec.clamp_field(F.col("o_orderkey") * 7 - 3000, 8), "w8"), long(codec.clamp_field(F.col("o_orderkey") * 97 - 3000, 16), "w16"))
+
+
+TERM = "CASE feature_type WHEN 'gene' THEN 46 WHEN 'exon' THEN 53 WHEN 'mRNA' THEN 47 END"
+
+
+@query(f"SELECT feature_idx, (feature_idx + strand * 4294967296 + {TERM} * 1099511627776)::BIGINT AS code, feature_idx::BIGINT AS idx, strand::BIGINT AS strand, ({TERM})::BIGINT AS term FROM fx_features")
+def pack_metadata(spark, d):
+    x = genome.with_code(view(spark, d, "fx_features"))
+    return x.select("feature_idx", long("code", "code"), long(codec.parse_index("code"), "idx"), long(codec.parse_strand("code"), "strand"), long(codec.parse_term("code"), "term"))
+
+
+@query("SELECT scaffold, start_pos, end_pos, (strand * 4294967296)::BIGINT AS code, strand::BIGINT AS strand FROM fx_bed")
+def pack_bed_code(spark, d):
+    x = view(spark, d, "fx_bed").withColumn("code", codec.pack_bed_code("strand"))
+    return x.select("scaffold", "start_pos", "end_pos", long("code", "code"), long(codec.parse_strand("code"), "strand"))
+
+
+@query(f"""SELECT feature_idx, ({TERM})::INT AS short_id, CASE feature_type WHEN 'gene' THEN 704 WHEN 'exon' THEN 147 WHEN 'mRNA' THEN 234 END::INT AS so_id, feature_type AS label FROM fx_features""")
+def so_lookup(spark, d):
+    return ontology.lookup(view(spark, d, "fx_features"), ontology.terms(spark), "feature_type").select("feature_idx", "short_id", "so_id", F.col("feature_type").alias("label"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'G' || o_orderkey WHEN 1 THEN 'G' || o_orderkey WHEN 2 THEN 'gene-family:' || o_orderkey ELSE 'gene:' END AS clean FROM orders""")
+def sanitize_id(spark, d):
+    k = F.col("o_orderkey")
+    raw = F.when(k % 4 == 0, F.concat(F.lit("gene:transcript:G"), k)).when(k % 4 == 1, F.concat(F.lit("mRNA:RNA:CDS:Protein:G"), k)).when(k % 4 == 2, F.concat(F.lit("gene-family:"), k)).otherwise("gene:gene:")
+    return table_of(spark, d, "orders").select("o_orderkey", codec.sanitize_id(raw).alias("clean"))
+
+
+@query("""SELECT feature_idx, scaffold, start_pos, end_pos, strand::INT AS strand, feature_type, CASE WHEN feature_idx % 5 = 0 THEN 'NA' ELSE id END AS id,
+  CASE WHEN feature_idx % 3 = 0 THEN 'NA' ELSE 'RefSeq' END AS source, CASE WHEN feature_idx % 2 = 0 THEN 'protein_coding' ELSE 'NA' END AS biotype FROM fx_features""")
+def parse_gff(spark, d):
+    x = view(spark, d, "fx_features")
+    i = F.col("feature_idx")
+    attrs = F.concat(F.when(i % 5 == 0, F.concat(F.lit("ID=a,"), "id")).otherwise(F.concat(F.lit("ID=gene:"), "id")), F.when(i % 2 == 0, ";gene_biotype=protein_coding").otherwise(";Note=x%2Cy"))
+    line = F.concat_ws("\t", "scaffold", F.when(i % 3 == 0, ".").otherwise("RefSeq"), "feature_type", "start_pos", "end_pos", F.lit("."), codec.strand_char("strand"), F.lit("."), attrs)
+    lines = x.select("feature_idx", line.alias("value")).union(spark.createDataFrame([(-1, "##gff-version 3"), (-2, "chr1\tx\tunheard_of\t1\t2\t.\t+\t.\tID=z"), (-3, "short\tline")], "feature_idx long, value string"))
+    return gff.parse(lines).select("feature_idx", "scaffold", "start_pos", "end_pos", "strand", "feature_type", "id", "source", "biotype")
+
+
+@query("SELECT scaffold, start_pos, end_pos, CASE WHEN start_pos % 3 = 0 THEN 3 ELSE strand END::INT AS strand FROM fx_bed")
+def parse_bed(spark, d):
+    x = view(spark, d, "fx_bed")
+    full = F.concat_ws("\t", "scaffold", F.col("start_pos") - 1, "end_pos", F.lit("n"), F.lit("0"), codec.strand_char("strand"))
+    short = F.concat_ws("\t", "scaffold", F.col("start_pos") - 1, "end_pos")
+    return bed.parse(x.select(F.when(F.col("start_pos") % 3 == 0, short).otherwise(full).alias("value")))
+
+
+@query("""SELECT l_orderkey, l_linenumber, p::DOUBLE AS p, CASE WHEN p <= 0 THEN 0 WHEN p >= 100 THEN 255 ELSE floor(p * 255 / 100 + 0.5) END::INT AS code,
+  round(CASE WHEN p <= 0 THEN 0 WHEN p >= 100 THEN 255 ELSE floor(p * 255 / 100 + 0.5) END * 100.0 / 255, 9)::DOUBLE AS decoded FROM (SELECT l_orderkey, l_linenumber, l_quantity * 3 - 20 AS p FROM lineitem)""")
+def percent_codec(spark, d):
+    p = F.col("l_quantity") * 3 - 20
+    code = codec.encode_percent(p)
+    return table_of(spark, d, "lineitem").select("l_orderkey", "l_linenumber", p.alias("p"), code.alias("code"), F.round(codec.decode_percent(code), 9).alias("decoded"))
+
+
+def pack_sql(m: str, u: str, c: str, s: str) -> str:
+    return f"(least({m} + {u}, 65535) + (CASE WHEN {m} + {u} = 0 THEN 0 ELSE (510 * ({m}) + ({m} + {u})) // (2 * ({m} + {u})) END) * 65536 + ({c}) * 16777216 + ({s}) * 67108864)::BIGINT"
+
+
+RAW = f"SELECT *, {pack_sql('meth', 'unmeth', 'context', 'strand')} AS payload FROM (SELECT scaffold, pos, meth::BIGINT AS meth, unmeth::BIGINT AS unmeth, context, strand, file_idx FROM fx_calls_raw)"
+
+
+def raw_packed(spark, d):
+    return view(spark, d, "fx_calls_raw").withColumn("payload", codec.pack_payload("meth", "unmeth", F.col("context"), F.col("strand")))
+
+
+@query(f"SELECT scaffold, pos, file_idx, payload FROM ({RAW})")
+def payload_pack(spark, d):
+    return raw_packed(spark, d).select("scaffold", "pos", "file_idx", long("payload", "payload"))
+
+
+UNPACK = "payload % 65536 AS depth, payload // 65536 % 256 AS code, payload // 16777216 % 4 AS context, payload // 67108864 % 4 AS strand"
+
+
+@query(f"""SELECT scaffold, pos, file_idx, depth::BIGINT AS depth, code::BIGINT AS percent_code, context::BIGINT AS context, strand::BIGINT AS strand, strand = 0 AS forward, ['CpG','CHG','CHH','unknown'][context + 1] AS label,
+  ((2 * depth * code + 255) // 510)::BIGINT AS meth, (depth - (2 * depth * code + 255) // 510)::BIGINT AS unmeth FROM (SELECT scaffold, pos, file_idx, {UNPACK} FROM ({RAW}))""")
+def payload_unpack(spark, d):
+    p = "payload"
+    return raw_packed(spark, d).select("scaffold", "pos", "file_idx", long(codec.get_depth(p), "depth"), long(codec.get_percent_code(p), "percent_code"), long(codec.get_context(p), "context"), long(codec.get_strand(p), "strand"), codec.is_forward(p).alias("forward"), codec.context_label(codec.get_context(p)).alias("label"), long(codec.get_meth(p), "meth"), long(codec.get_unmeth(p), "unmeth"))
+
+
+@query(f"""SELECT scaffold, pos, file_idx, CASE WHEN depth = 0 THEN 'NaN'::DOUBLE ELSE round(code / 255.0::DOUBLE, 9) END AS fraction, CASE WHEN depth = 0 THEN 'NaN'::DOUBLE ELSE round(code * 100.0::DOUBLE / 255.0, 9) END AS percent
+  FROM (SELECT scaffold, pos, file_idx, {UNPACK} FROM ({RAW}))""")
+def meth_levels(spark, d):
+    return raw_packed(spark, d).select("scaffold", "pos", "file_idx", F.round(codec.meth_fraction("payload"), 9).alias("fraction"), F.round(codec.meth_percent("payload"), 9).alias("percent"))
+
+
+@query("""SELECT o_orderkey, letter, CASE lower(letter) WHEN 'z' THEN 0 WHEN 'x' THEN 1 WHEN 'h' THEN 2 WHEN 'u' THEN 3 END::INT AS context, CASE WHEN lower(letter) IN ('z','x','h','u') THEN letter = upper(letter) END AS methylated
+  FROM (SELECT o_orderkey, substr('ZzXxHhUu.', (o_orderkey % 9 + 1)::INT, 1) AS letter FROM orders)""")
+def decode_call(spark, d):
+    x = table_of(spark, d, "orders").selectExpr("o_orderkey", "substr('ZzXxHhUu.', cast(o_orderkey % 9 + 1 as int), 1) as letter")
+    context, meth = codec.decode_call("letter")
+    return x.select("o_orderkey", "letter", context.alias("context"), meth.alias("methylated"))
+
+
+NAMES = ["CpG_OT_a.txt", "x_CTOT.txt", "CHH_OB_a.txt", "CTOB_x.txt", "a_OT.txt", "b_OB.txt", "plain.txt", "ROBOT_x.txt", "ot_ob.txt"]
+
+
+@query(f"SELECT o_orderkey, {NAMES}[(o_orderkey % 9 + 1)::INT] AS name, [0,0,1,1,0,1,3,0,3][(o_orderkey % 9 + 1)::INT]::INT AS strand FROM orders")
+def infer_strand(spark, d):
+    x = table_of(spark, d, "orders").select("o_orderkey", F.element_at(F.array(*map(F.lit, NAMES)), (F.col("o_orderkey") % 9 + 1).cast("int")).alias("name"))
+    return x.select("o_orderkey", "name", codec.infer_strand(F.concat(F.lit("/data/CTOT_dir/"), "name")).alias("strand"))
+
+
+@query("""SELECT o_orderkey, raw, CASE WHEN regexp_full_match(raw, '[0-9]+') AND raw::HUGEINT <= 4294967295 THEN raw::BIGINT END AS value FROM (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '000' || o_orderkey WHEN 1 THEN '+' || o_orderkey
+  WHEN 2 THEN ' ' || o_orderkey WHEN 3 THEN (o_orderkey * 800000)::VARCHAR WHEN 4 THEN '' ELSE '1e' || o_orderkey END AS raw FROM orders)""")
+def parse_uint32(spark, d):
+    raw = "case o_orderkey % 6 when 0 then concat('000', o_orderkey) when 1 then concat('+', o_orderkey) when 2 then concat(' ', o_orderkey) when 3 then cast(o_orderkey * 800000 as string) when 4 then '' else concat('1e', o_orderkey) end"
+    return table_of(spark, d, "orders").selectExpr("o_orderkey", f"{raw} as raw").withColumn("value", codec.parse_uint32("raw"))
+
+
+# --- calls --------------------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT scaffold, pos, context::INT AS context, 1::INT AS strand, {pack_sql('m', 'u', 'context', '1')} AS payload FROM (SELECT scaffold, pos, context, sum(meth % 3)::BIGINT AS m, sum(unmeth % 2)::BIGINT AS u FROM fx_calls_raw GROUP BY ALL) WHERE m + u > 0""")
+def load_calls_per_read(spark, d):
+    x = view(spark, d, "fx_calls_raw").withColumn("c", F.col("context"))
+    letter = lambda s: F.substring(F.lit(s), F.col("c") + 1, F.lit(1))
+    reads = F.concat(F.array_repeat(letter("ZXH"), F.col("meth") % 3), F.array_repeat(letter("zxh"), F.col("unmeth") % 2))
+    lines = x.select(F.explode(reads).alias("l"), "scaffold", "pos").select(F.concat_ws("\t", F.lit("read"), F.lit("+"), "scaffold", "pos", F.concat("l", F.lit("rest"))).alias("value"))
+    lines = lines.union(spark.createDataFrame([("header line",), ("r\t+\tchr1\t12x\tZ",), ("r\t+\t\t12\tZ",), ("r\t+\tchr1\t12\t.",)], "value string"))
+    return calls.pack(calls.count_reads(calls.parse_reads(lines), codec.REV)).select("scaffold", "pos", "context", F.col("strand").cast("int"), long("payload", "payload"))
+
+
+def coverage_sets(spark, d):
+    x = view(spark, d, "fx_calls_raw")
+    line = F.concat_ws("\t", "scaffold", "pos", "pos", F.lit("50.0"), "meth", "unmeth")
+    bad = spark.createDataFrame([(1, "chr1\t5\t5\t1"), (1, ""), (1, "chr1\t-5\t5\t1\t1\t1"), (1, "chr1\t5\t5\t1\t1\t"), (1, "\t5\t5\t1\t1\t1")], "file_idx int, value string")
+    return calls.load_coverage(x.select("file_idx", line.alias("value")).union(bad), ["file_idx"], codec.CPG, codec.FWD)
+
+
+COV = f"SELECT file_idx, scaffold, pos, {pack_sql('m', 'u', '0', '0')} AS payload FROM (SELECT file_idx, scaffold, pos, sum(meth)::BIGINT AS m, sum(unmeth)::BIGINT AS u FROM fx_calls_raw GROUP BY ALL)"
+
+
+@query(f"SELECT file_idx, scaffold, pos, 0::INT AS context, 0::INT AS strand, payload FROM ({COV})")
+def load_calls_cov(spark, d):
+    return coverage_sets(spark, d).select("file_idx", "scaffold", "pos", "context", "strand", long("payload", "payload"))
+
+
+MERGED = f"""SELECT scaffold, pos, CASE WHEN n = 1 THEN one ELSE {pack_sql('m', 'u', '0', '0')} END AS payload FROM (SELECT scaffold, pos, count(*) AS n, min(payload) AS one, sum((2 * depth * code + 255) // 510)::BIGINT AS m,
+  sum(depth - (2 * depth * code + 255) // 510)::BIGINT AS u FROM (SELECT scaffold, pos, payload, payload % 65536 AS depth, payload // 65536 % 256 AS code FROM ({COV})) GROUP BY scaffold, pos)"""
+
+
+def merged_calls(spark, d):
+    return calls.merge(coverage_sets(spark, d), "file_idx")
+
+
+@query(f"SELECT scaffold, pos, 0::INT AS context, 0::INT AS strand, payload FROM ({MERGED})")
+def merge_calls(spark, d):
+    return merged_calls(spark, d).select("scaffold", "pos", "context", "strand", long("payload", "payload"))
+
+
+@query(f"SELECT scaffold, pos, payload FROM ({MERGED}) WHERE pos BETWEEN 50000 AND 60000 AND scaffold = 'chr2'")
+def calls_in_range(spark, d):
+    return calls.in_range(merged_calls(spark, d), 50000, 60000, "chr2").select("scaffold", "pos", long("payload", "payload"))
+
+
+@query("SELECT scaffold, count(DISTINCT pos)::BIGINT AS n FROM fx_calls_raw GROUP BY scaffold")
+def n_sites(spark, d):
+    return merged_calls(spark, d).groupBy("scaffold").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT scaffold, pos, 0::INT AS context, 0::INT AS strand, payload FROM ({MERGED})")
+def calls_roundtrip(spark, d):
+    import tempfile
+    import uuid
+
+    at = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='strandloom-')}/calls-{uuid.uuid4().hex}"
+    calls.write(merged_calls(spark, d).select("scaffold", "pos", "context", "strand", "payload"), at)
+    return calls.read(spark, at).select("scaffold", "pos", "context", "strand", "payload")
+
+
+# --- features and tables ------------------------------------------------------------------------------------
+
+FEATURE = ["feature_idx", "scaffold", "start_pos", "end_pos", "feature_type", "id"]
+FCOLS = ", ".join(FEATURE)
+
+
+@query(f"SELECT {FCOLS} FROM fx_features WHERE feature_type = 'exon'")
+def get_feature(spark, d):
+    return genome.of_type(view(spark, d, "fx_features"), "exon").select(FEATURE)
+
+
+@query("SELECT DISTINCT feature_type FROM fx_features")
+def so_terms_used(spark, d):
+    return genome.types_used(view(spark, d, "fx_features"))
+
+
+@query(f"SELECT {FCOLS} FROM fx_features WHERE id = 'G12' ORDER BY scaffold, start_pos, end_pos, feature_idx LIMIT 1")
+def feature_by_id(spark, d):
+    return genome.by_id(view(spark, d, "fx_features"), "G12").select(FEATURE)
+
+
+@query(f"SELECT {FCOLS} FROM fx_features WHERE id IN (SELECT subject FROM fx_pairs)")
+def features_by_ids(spark, d):
+    return genome.by_ids(view(spark, d, "fx_features"), view(spark, d, "fx_pairs").select(F.col("subject").alias("id"))).select(FEATURE)
+
+
+@query(f"SELECT {FCOLS} FROM fx_features WHERE feature_idx = 77")
+def feature_by_index(spark, d):
+    return genome.by_index(view(spark, d, "fx_features"), 77).select(FEATURE)
+
+
+@query("SELECT feature_idx, id || '|src|' || feature_type AS metadata FROM fx_features")
+def feature_metadata(spark, d):
+    x = view(spark, d, "fx_features").withColumns({"source": F.lit("src"), "biotype": F.col("feature_type")})
+    return genome.metadata(x).select("feature_idx", F.array_join("metadata", "|").alias("metadata"))
+
+
+@query("SELECT scaffold, start_pos, end_pos, id, feature_type, strand::BIGINT AS strand FROM fx_features")
+def feature_records(spark, d):
+    x = genome.with_code(view(spark, d, "fx_features").withColumns({"source": F.lit("s"), "biotype": F.lit("b")}))
+    return genome.record(x.select("scaffold", "start_pos", "end_pos", "code"), x).drop("metadata").select("scaffold", "start_pos", "end_pos", "id", "feature_type", long("strand", "strand"))
+
+
+@query("SELECT scaffold, count(*)::BIGINT AS n_features, count(DISTINCT feature_type)::BIGINT AS n_types, max(end_pos)::BIGINT AS last_pos FROM fx_features GROUP BY scaffold")
+def genome_summary(spark, d):
+    return genome.summary(view(spark, d, "fx_features"))
+
+
+# every third sample repeats the one before, and every fifth has an id that no feature has
+TAB = "SELECT row_idx, CASE WHEN row_idx % 5 = 0 THEN 'Z' || row_idx WHEN row_idx % 3 = 0 THEN 'G' || ((row_idx - 1) * 5) ELSE sample_id END AS sample_id, v1, v2 FROM fx_tab"
+LOADED = f"SELECT t.row_idx, t.sample_id, f.feature_idx, f.scaffold, t.v1, t.v2 FROM ({TAB}) t LEFT JOIN fx_features f ON f.id = t.sample_id AND t.row_idx = (SELECT max(row_idx) FROM ({TAB}) u WHERE u.sample_id = t.sample_id)"
+
+
+def loaded(spark, d):
+    t = view(spark, d, "fx_tab")
+    r = F.col("row_idx")
+    t = t.withColumn("sample_id", F.when(r % 5 == 0, F.concat(F.lit("Z"), r)).when(r % 3 == 0, F.concat(F.lit("G"), (r - 1) * 5)).otherwise(F.col("sample_id")))
+    return table.load(t, view(spark, d, "fx_features"), "sample_id", "row_idx", ["v1", "v2"])
+
+
+@query(LOADED)
+def load_table(spark, d):
+    return loaded(spark, d).select("row_idx", "sample_id", "feature_idx", "scaffold", "v1", "v2")
+
+
+@query(f"SELECT row_idx, sample_id, v1 FROM ({LOADED}) WHERE feature_idx IS NOT NULL AND sample_id = 'G35' ORDER BY row_idx LIMIT 1")
+def table_by_id(spark, d):
+    return table.by_id(loaded(spark, d), "G35").select("row_idx", "sample_id", "v1")
+
+
+@query(f"SELECT row_idx, sample_id, v1 FROM ({LOADED}) WHERE feature_idx IS NOT NULL AND sample_id IN ('G35', 'G55', 'G5', 'none')")
+def table_by_ids(spark, d):
+    return table.by_ids(loaded(spark, d), ["G35", "G55", "G5", "none"]).select("row_idx", "sample_id", "v1")
+
+
+@query(f"SELECT row_idx, v2 FROM ({LOADED})")
+def table_select(spark, d):
+    return table.choose(loaded(spark, d), ["v1", "v2"], ["v2", "other"]).select("row_idx", "v2")
+
+
+@query(f"SELECT row_idx, CASE WHEN feature_idx IS NOT NULL THEN sample_id END AS \"ID\", v1, v2 FROM ({LOADED})")
+def table_to_df(spark, d):
+    return table.to_frame(loaded(spark, d), ["v1", "v2"])
+
+
+@query(f"SELECT row_idx, v1 FROM ({LOADED}) WHERE row_idx BETWEEN 10 AND 30")
+def table_slice(spark, d):
+    return loaded(spark, d).where("row_idx between 10 and 30").select("row_idx", "v1")
+
+
+@query("SELECT p_brand, p_type, count(*)::BIGINT AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_brand, p_type))")
+def experiment_levels(spark, d):
+    return table.level_counts(table_of(spark, d, "part"), ["p_brand", "p_type"])
+
+
+# --- intervals ----------------------------------------------------------------------------------------------
+
+FRAG = "greatest(f.start_pos, b.start_pos) AS frag_start, least(f.end_pos, b.end_pos) AS frag_end"
+THETA = "fx_features f JOIN fx_bed b ON f.scaffold = b.scaffold AND f.start_pos <= b.end_pos AND b.start_pos <= f.end_pos"
+
+
+@query(f"SELECT feature_idx, f.scaffold, {FRAG} FROM {THETA}")
+def intersect_all(spark, d):
+    return intervals.overlap_join(view(spark, d, "fx_features"), view(spark, d, "fx_bed").select("scaffold", "start_pos", "end_pos")).select("feature_idx", "scaffold", "frag_start", "frag_end")
+
+
+@query(f"SELECT feature_idx, f.scaffold, {FRAG} FROM {THETA} WHERE feature_type = 'gene'")
+def intersect_feature(spark, d):
+    f = genome.of_type(view(spark, d, "fx_features"), "gene")
+    return intervals.overlap_join(f, view(spark, d, "fx_bed").select("scaffold", "start_pos", "end_pos")).select("feature_idx", "scaffold", "frag_start", "frag_end")
+
+
+@query(f"SELECT scaffold, feature_type, sum(frag_end - frag_start + 1)::BIGINT AS bases, count(*)::BIGINT AS fragments FROM (SELECT f.scaffold, feature_type, {FRAG} FROM {THETA}) GROUP BY ALL")
+def intersect_feature_bases(spark, d):
+    x = intervals.overlap_join(view(spark, d, "fx_features"), view(spark, d, "fx_bed").select("scaffold", "start_pos", "end_pos"))
+    return x.groupBy("scaffold", "feature_type").agg(F.sum(F.col("frag_end") - F.col("frag_start") + 1).alias("bases"), F.count("*").alias("fragments"))
+
+
+def _sides(spark, d):
+    left = view(spark, d, "fx_features").where("scaffold = 'chr1'").select("start_pos", "end_pos", (F.col("feature_idx") % 4000).alias("code"))
+    right = view(spark, d, "fx_features").where("scaffold = 'chr2'").select("start_pos", "end_pos", (F.col("feature_idx") % 5000).alias("code"))
+    return left, right
+
+
+for _on, _cond in {"metadata": "l.code = r.code", "start": "l.start_pos = r.start_pos", "end": "l.end_pos = r.end_pos", "interval": "l.start_pos = r.start_pos AND l.end_pos = r.end_pos"}.items():
+
+    @query(
+        f"SELECT l.*, r.start_pos AS r_start, r.end_pos AS r_end, r.code AS r_code FROM (SELECT start_pos, end_pos, feature_idx % 4000 AS code FROM fx_features WHERE scaffold = 'chr1') l LEFT JOIN (SELECT start_pos, end_pos, feature_idx % 5000 AS code FROM fx_features WHERE scaffold = 'chr2') r ON {_cond}",
+        f"leftjoin_{_on}",
+    )
+    def _left(spark, d, on=_on):
+        return intervals.left_join_on(*_sides(spark, d), on)
+
+
+SEGMENTS = """SELECT scaffold, measurement, min(start_pos)::BIGINT AS start_pos, max(end_pos)::BIGINT AS end_pos FROM (SELECT *, sum(CASE WHEN start_pos <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY scaffold, measurement ORDER BY start_pos, end_pos ROWS UNBOUNDED PRECEDING) AS island
+  FROM (SELECT *, max(end_pos) OVER (PARTITION BY scaffold, measurement ORDER BY start_pos, end_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM fx_bed)) GROUP BY scaffold, measurement, island"""
+
+
+@query(SEGMENTS)
+def merge_segments(spark, d):
+    return intervals.merge_segments(view(spark, d, "fx_bed"), ("scaffold", "measurement"), 4096)
+
+
+# --- signal -------------------------------------------------------------------------------------------------
+
+COVERAGE = f"""SELECT f.scaffold, f.feature_idx, round(coalesce(x.n, 0) / (f.end_pos - f.start_pos + 1)::DOUBLE, 9) AS value FROM fx_features f LEFT JOIN (SELECT feature_idx, frag_end - frag_start + 1 AS n FROM (SELECT feature_idx, feature_type, {FRAG} FROM {THETA}) WHERE feature_type = 'gene') x USING (feature_idx)
+  WHERE f.scaffold IN (SELECT scaffold FROM fx_bed)"""
+
+
+def _round(df: DataFrame, *cols: str, digits: int = 9) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
+@query(COVERAGE)
+def coverage_bed(spark, d):
+    return _round(signal.coverage_bed(view(spark, d, "fx_features"), view(spark, d, "fx_bed"), "gene"), "value")
+
+
+@query(f"SELECT * FROM ({COVERAGE}) WHERE value <> 0")
+def coverage_bed_nonzero(spark, d):
+    return _round(signal.coverage_bed(view(spark, d, "fx_features"), view(spark, d, "fx_bed"), "gene", True), "value")
+
+
+@query(f"SELECT f.scaffold, f.feature_idx, round(coalesce(sum(CASE WHEN b.start_pos IS NOT NULL THEN least(f.end_pos, b.end_pos) - greatest(f.start_pos, b.start_pos) + 1 END), 0) / any_value(f.end_pos - f.start_pos + 1)::DOUBLE, 9) AS value FROM fx_features f LEFT JOIN fx_bed b ON f.feature_type = 'gene' AND f.scaffold = b.scaffold AND f.start_pos <= b.end_pos AND b.start_pos <= f.end_pos GROUP BY f.scaffold, f.feature_idx")
+def coverage_bed_per_feature(spark, d):
+    return _round(signal.coverage_bed(view(spark, d, "fx_features"), view(spark, d, "fx_bed"), "gene", per_feature=True), "value")
+
+
+METH = f"""SELECT f.scaffold, f.feature_idx, round(coalesce(sum(c.code), 0) / 255.0::DOUBLE / any_value(f.end_pos - f.start_pos + 1), 9)::DOUBLE AS value FROM fx_features f LEFT JOIN (SELECT scaffold, pos, payload // 65536 % 256 AS code FROM ({MERGED}) WHERE payload % 65536 > 0) c
+  ON c.scaffold = f.scaffold AND c.pos BETWEEN f.start_pos AND f.end_pos WHERE f.feature_type = 'gene' GROUP BY f.scaffold, f.feature_idx"""
+
+
+@query(METH)
+def coverage_meth(spark, d):
+    return _round(signal.coverage_calls(view(spark, d, "fx_features"), merged_calls(spark, d), "gene"), "value")
+
+
+@query(f"SELECT * FROM ({METH}) WHERE value <> 0")
+def coverage_meth_nonzero(spark, d):
+    return _round(signal.coverage_calls(view(spark, d, "fx_features"), merged_calls(spark, d), "gene", True), "value")
+
+
+def kde_sql(values: str, points: int = 16) -> str:
+    return f"""WITH v AS ({values}), s AS (SELECT scaffold, count(*) AS n, stddev_samp(value) AS sd, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, min(value) AS lo, max(value) AS hi FROM v GROUP BY scaffold),
+  h AS (SELECT *, 0.9 * CASE WHEN q3 > q1 THEN least(sd, (q3 - q1) / 1.34) ELSE sd END * pow(n, -0.2) AS h FROM s), g AS (SELECT h.*, k, lo - 4 * h + k * ((hi - lo + 8 * h) / {points - 1}) AS x FROM h, range({points}) r(k) WHERE h > 0)
+  SELECT scaffold, k::INT AS k, round(any_value(x), 6)::DOUBLE AS x, round(sum(exp(-0.5 * ((x - value) / h) * ((x - value) / h))) / any_value(n * h) / sqrt(2 * pi()), 6)::DOUBLE AS density FROM g JOIN v USING (scaffold) GROUP BY scaffold, k"""
+
+
+@query(kde_sql(f"SELECT scaffold, value FROM ({COVERAGE})"))
+def kde_bed(spark, d):
+    return _round(signal.kde(coverage_bed(spark, d), 16), "x", "density", digits=6)
+
+
+@query(kde_sql(f"SELECT scaffold, value FROM ({METH})"))
+def kde_meth(spark, d):
+    return _round(signal.kde(coverage_meth(spark, d), 16), "x", "density", digits=6)
+
+
+@query(kde_sql("SELECT 'all' AS scaffold, unnest([v1, v2]) AS value FROM fx_tab"))
+def kde_table(spark, d):
+    return _round(signal.kde(view(spark, d, "fx_tab").select(F.lit("all").alias("scaffold"), F.explode(F.array("v1", "v2")).alias("value")), 16), "x", "density", digits=6)
+
+
+def depth_sql(source: str) -> str:
+    return f"""SELECT scaffold, min(base)::BIGINT AS start_pos, max(base)::BIGINT AS end_pos, any_value(c)::BIGINT AS count FROM (SELECT *, base - row_number() OVER (PARTITION BY scaffold, c ORDER BY base) AS run FROM (
+  SELECT scaffold, base, count(*) AS c FROM (SELECT scaffold, unnest(range(start_pos, end_pos + 1)) AS base FROM ({source})) GROUP BY ALL)) GROUP BY scaffold, c, run"""
+
+
+@query(depth_sql(SEGMENTS))
+def frequency_merged(spark, d):
+    return intervals.depth(view(spark, d, "fx_bed")).where("count > 0").select("scaffold", "start_pos", "end_pos", long("count", "count"))
+
+
+@query(depth_sql("SELECT scaffold, start_pos, end_pos FROM fx_bed"))
+def frequency_stacked(spark, d):
+    return intervals.depth(view(spark, d, "fx_bed"), merge=False).where("count > 0").select("scaffold", "start_pos", "end_pos", long("count", "count"))
+
+
+REGION = "SELECT feature_idx, scaffold, strand, greatest(start_pos - {k}, {lo}) AS lo, end_pos + {k} AS hi FROM fx_features WHERE feature_type = 'gene'"
+BASES = f"""SELECT r.feature_idx, r.hi - r.lo + 1 AS n, CASE WHEN r.strand = 1 THEN r.hi - x.base + 1 ELSE x.base - r.lo + 1 END AS rel, x.c FROM ({REGION.format(k=20, lo=1)}) r JOIN
+  (SELECT scaffold, base, count(*) AS c FROM (SELECT scaffold, unnest(range(start_pos, end_pos + 1)) AS base FROM fx_bed) GROUP BY ALL) x ON x.scaffold = r.scaffold AND x.base BETWEEN r.lo AND r.hi"""
+
+
+def projected(spark, d, flank=20):
+    return signal.project_runs(view(spark, d, "fx_features"), intervals.depth(view(spark, d, "fx_bed"), merge=False), "gene", flank)
+
+
+@query(f"SELECT feature_idx, any_value(n)::BIGINT AS region_len, count(*)::BIGINT AS bases, sum(c)::BIGINT AS total, sum(rel * c)::BIGINT AS weighted FROM ({BASES}) GROUP BY feature_idx")
+def feature_frequency_bed(spark, d):
+    x = projected(spark, d).where("count is not null")
+    n = F.col("rel_end") - F.col("rel_start") + 1
+    return x.groupBy("feature_idx").agg(F.max("region_len").alias("region_len"), F.sum(n).alias("bases"), F.sum(n * F.col("count")).alias("total"), F.sum(F.expr("cast((rel_start + rel_end) * (rel_end - rel_start + 1) div 2 as long)") * F.col("count")).alias("weighted"))
+
+
+LEVELS = f"""SELECT r.feature_idx, r.hi - r.lo + 1 AS n, CASE WHEN r.strand = 1 THEN r.hi - c.pos + 1 ELSE c.pos - r.lo + 1 END AS rel, (c.code / 255.0::DOUBLE)::FLOAT AS level, c.depth FROM ({REGION.format(k=20, lo=-1000000)}) r JOIN
+  (SELECT scaffold, pos, payload % 65536 AS depth, payload // 65536 % 256 AS code FROM ({MERGED}) WHERE payload % 65536 >= 5) c ON c.scaffold = r.scaffold AND c.pos BETWEEN r.lo AND r.hi"""
+
+
+def levels(spark, d):
+    return signal.project_calls(view(spark, d, "fx_features"), merged_calls(spark, d), "gene", 20)
+
+
+@query(f"SELECT feature_idx, n::BIGINT AS region_len, rel::BIGINT AS rel_base, round(level::DOUBLE, 6) AS level, depth::BIGINT AS weight FROM ({LEVELS})")
+def feature_frequency_meth(spark, d):
+    return levels(spark, d).where("rel_base is not null").select("feature_idx", "region_len", "rel_base", F.round(F.col("level").cast("double"), 6).alias("level"), "weight")
+
+
+# flank 20, 10 body bins, 7 measurements
+PROFILE = f"""SELECT feature_idx, slot, sum(v) / 7 AS value FROM (SELECT feature_idx, CASE WHEN rel <= 20 THEN rel ELSE rel - (n - 40) + 10 END AS slot, c::DOUBLE AS v FROM ({BASES}) WHERE n >= 42 AND (rel <= 20 OR rel > n - 20)
+  UNION ALL SELECT feature_idx, k + 21 AS slot, c * (1 - abs(k * (n - 41) / 9.0::DOUBLE - (rel - 21))) AS v FROM ({BASES}), range(10) t(k) WHERE n >= 42 AND rel > 20 AND rel <= n - 20 AND abs(k * (n - 41) / 9.0::DOUBLE - (rel - 21)) < 1) GROUP BY ALL"""
+
+
+@query(f"SELECT feature_idx, slot::BIGINT AS slot, round(value, 6) AS value FROM ({PROFILE}) WHERE round(value, 6) <> 0")
+def profile_bed(spark, d):
+    return _round(signal.profile_runs(projected(spark, d), 7, 20, 10).select("feature_idx", long("slot", "slot"), "value"), "value", digits=6).where("value <> 0")
+
+
+@query(f"SELECT s.slot::BIGINT AS slot, round(coalesce(sum(value), 0) / (SELECT count(*) FROM ({REGION.format(k=20, lo=1)}) WHERE hi - lo + 1 >= 42), 6)::DOUBLE AS value FROM range(1, 51) s(slot) LEFT JOIN ({PROFILE}) p ON p.slot = s.slot GROUP BY s.slot")
+def metagene_bed(spark, d):
+    return _round(signal.mean_profile_runs(projected(spark, d), 7, 20, 10), "value", digits=6)
+
+
+@query(f"SELECT s.slot::BIGINT AS slot, round(coalesce(sum(value), 0) / (SELECT count(*) FROM ({REGION.format(k=20, lo=1)}) WHERE hi - lo + 1 >= 42 AND feature_idx % 3 <> 0), 6)::DOUBLE AS value FROM range(1, 51) s(slot) LEFT JOIN (SELECT * FROM ({PROFILE}) WHERE feature_idx % 3 <> 0) p ON p.slot = s.slot GROUP BY s.slot")
+def metagene_exclude(spark, d):
+    out = view(spark, d, "fx_features").where("feature_idx % 3 = 0").select("feature_idx")
+    return _round(signal.mean_profile_runs(projected(spark, d), 7, 20, 10, out), "value", digits=6)
+
+
+def slots_sql(weight: str) -> str:
+    slot = "CASE WHEN rel <= 20 THEN rel WHEN rel > n - 20 THEN rel - (n - 40) + 10 ELSE 20 + ((rel - 20) * 10 + n - 41) // (n - 40) END"
+    return f"SELECT feature_idx, {slot} AS slot, sum(level::DOUBLE * {weight}) / sum({weight}) AS level, sum({weight})::DOUBLE AS weight FROM ({LEVELS}) WHERE n >= 42 GROUP BY ALL"
+
+
+for _name, _sql, _kw in (("profile_meth", "depth", {}), ("profile_meth_sqrt", "sqrt(depth)", {"transform": F.sqrt}), ("profile_meth_unweighted", "1.0::DOUBLE", {"by_depth": False})):
+
+    @query(f"SELECT feature_idx, slot::BIGINT AS slot, round(level, 6) AS level, round(weight, 6) AS weight FROM ({slots_sql(_sql)})", _name)
+    def _profile(spark, d, kw=_kw):
+        return _round(signal.profile_calls(levels(spark, d), 20, 10, **kw).select("feature_idx", long("slot", "slot"), "level", F.col("weight").cast("double").alias("weight")), "level", "weight", digits=6)
+
+    @query(f"SELECT s.slot::BIGINT AS slot, coalesce(round(sum(level * weight) / sum(weight), 6), 'NaN'::DOUBLE) AS value FROM range(1, 51) s(slot) LEFT JOIN ({slots_sql(_sql)}) p ON p.slot = s.slot GROUP BY s.slot", _name.replace("profile", "metagene"))
+    def _metagene(spark, d, kw=_kw):
+        return _round(signal.mean_profile_calls(levels(spark, d), 20, 10, **kw), "value", digits=6)
+
+
+# --- quantiles ----------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT row_idx, round(m, 9) AS merged, (1 + (m > q[1])::INT + (m > q[2])::INT + (m > q[3])::INT)::INT AS bin FROM (SELECT row_idx, (v1 + v2) / 2 AS m FROM ({LOADED}) WHERE feature_idx IS NOT NULL), (SELECT quantile_cont((v1 + v2) / 2, [0.25, 0.5, 0.75]) AS q FROM ({LOADED}) WHERE feature_idx IS NOT NULL)")
+def quantile_bins(spark, d):
+    return _round(tabular.quantile_bins(loaded(spark, d), ["v1", "v2"]).select("row_idx", "merged", "bin"), "merged")
+
+
+@query(f"SELECT row_idx, ((row_number() OVER (ORDER BY v2, v1, row_idx) * 3 + n - 1) // n)::INT AS bin FROM ({LOADED}), (SELECT count(*) AS n FROM ({LOADED}) WHERE feature_idx IS NOT NULL) WHERE feature_idx IS NOT NULL")
+def quantile_rank(spark, d):
+    return tabular.quantiles_by_rank(loaded(spark, d), ["v2", "v1"], 3).select("row_idx", "bin")
+
+
+@query('SELECT query, subject, ((row_number() OVER (ORDER BY "dS", "dN", row_key) * 4 + (SELECT count(*) FROM fx_pairs) - 1) // (SELECT count(*) FROM fx_pairs))::INT AS quantile FROM fx_pairs')
+def quantile_pairs(spark, d):
+    return tabular.quantile_pairs(view(spark, d, "fx_pairs"), ["dS", "dN"], "row_key").select("query", "subject", "quantile")
+
+
+# --- families -----------------------------------------------------------------------------------------------
+
+GENES = "SELECT row_number() OVER (ORDER BY scaffold, start_pos, end_pos, id) AS g, * FROM fx_features WHERE id IN (SELECT query FROM fx_pairs UNION SELECT subject FROM fx_pairs)"
+RESOLVED = f"SELECT a.g AS q, b.g AS s, \"dN\", \"dS\", id_subject_query, id_query_subject FROM fx_pairs p JOIN ({GENES}) a ON a.id = p.query JOIN ({GENES}) b ON b.id = p.subject"
+REL = {
+    "dN": f'SELECT least(q, s) AS row_idx, greatest(q, s) AS col_idx, max("dN") AS value FROM ({RESOLVED}) GROUP BY ALL', "dS": f'SELECT least(q, s) AS row_idx, greatest(q, s) AS col_idx, max("dS") AS value FROM ({RESOLVED}) GROUP BY ALL',
+    "id_subject_query": f"SELECT q AS row_idx, s AS col_idx, max(id_subject_query) AS value FROM ({RESOLVED}) GROUP BY ALL", "id_query_subject": f"SELECT s AS row_idx, q AS col_idx, max(id_query_subject) AS value FROM ({RESOLVED}) GROUP BY ALL",
+}
+SHORT = {"dN": "dn", "dS": "ds", "id_subject_query": "id_sq", "id_query_subject": "id_qs"}
+
+
+def the_family(spark, d) -> fam.Family:
+    return fam.family(view(spark, d, "fx_features"), view(spark, d, "fx_pairs").drop("row_key"))
+
+
+@query(f"SELECT g::BIGINT AS gene_idx, id, scaffold, start_pos, end_pos FROM ({GENES})")
+def family_genes(spark, d):
+    return the_family(spark, d).genes.select("gene_idx", "id", "scaffold", "start_pos", "end_pos")
+
+
+TOPOLOGY = f"SELECT q AS row_idx, s AS col_idx FROM ({RESOLVED}) UNION SELECT s, q FROM ({RESOLVED})"
+
+
+@query(f"SELECT row_idx::BIGINT AS row_idx, col_idx::BIGINT AS col_idx FROM ({TOPOLOGY})")
+def family_topology(spark, d):
+    return the_family(spark, d).topology
+
+
+@query(f"SELECT row_idx::BIGINT AS a, col_idx::BIGINT AS b FROM ({TOPOLOGY}) WHERE row_idx < col_idx")
+def graph_topology(spark, d):
+    return fam.topology_graph(the_family(spark, d))
+
+
+for _r in REL:
+
+    @query(f"SELECT row_idx::BIGINT AS row_idx, col_idx::BIGINT AS col_idx, value FROM ({REL[_r]})", f"family_{SHORT[_r]}")
+    def _relation(spark, d, r=_r):
+        return the_family(spark, d).relations[r]
+
+    @query(f"SELECT row_idx::BIGINT AS a, col_idx::BIGINT AS b, value AS weight FROM ({REL[_r]}) WHERE row_idx <> col_idx AND value <> 0", f"graph_{SHORT[_r]}")
+    def _graph(spark, d, r=_r):
+        return fam.weighted_graph(the_family(spark, d), r)
+
+
+@query("SELECT r.relation, g.g::BIGINT AS gene_idx, coalesce(r2.value, 0.0)::DOUBLE AS value FROM (SELECT unnest(['dN','dS','id_subject_query','id_query_subject']) AS relation) r CROSS JOIN (" + GENES + ") g LEFT JOIN (" + " UNION ALL ".join(f"SELECT '{n}' AS relation, * FROM ({s})" for n, s in REL.items()) + ") r2 ON r2.relation = r.relation AND r2.row_idx = g.g AND r2.col_idx = 5")
+def family_column(spark, d):
+    return fam.column(the_family(spark, d), 5)
+
+
+SUB_IDS = [f"G{i}" for i in range(0, 120, 2)] + ["G9", "G27", "G45", "G63"]
+SUB = f"SELECT g, row_number() OVER (ORDER BY g) AS n FROM ({GENES}) WHERE id IN ({', '.join(map(repr, SUB_IDS))})"
+
+
+@query(f"SELECT a.n::BIGINT AS row_idx, b.n::BIGINT AS col_idx, value FROM ({REL['dS']}) r JOIN ({SUB}) a ON a.g = r.row_idx JOIN ({SUB}) b ON b.g = r.col_idx")
+def subfamily(spark, d):
+    f = the_family(spark, d)
+    known = [r.id for r in f.genes.where(F.col("id").isin(SUB_IDS)).select("id").collect()]
+    return fam.subfamily(f, known).relations["dS"]
+
+
+COMPONENTS = f"""WITH RECURSIVE e AS (SELECT row_idx AS a, col_idx AS b FROM ({TOPOLOGY})), r AS (SELECT g AS node, g AS seen FROM ({GENES}) UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen) SELECT node AS gene_idx, min(seen) AS component FROM r GROUP BY node"""
+
+
+@query(COMPONENTS.replace("SELECT node AS gene_idx, min(seen)", "SELECT node::BIGINT AS gene_idx, min(seen)::BIGINT"), "components")
+def gene_components(spark, d):
+    return fam.gene_components(the_family(spark, d))
+
+
+EDGES = f"""SELECT lo, hi, CASE WHEN way THEN lo ELSE hi END AS q, CASE WHEN way THEN hi ELSE lo END AS s FROM (SELECT t.row_idx AS lo, t.col_idx AS hi, coalesce(w.value, 0) <> 0 AS way FROM ({TOPOLOGY}) t LEFT JOIN ({REL['id_subject_query']}) w ON w.row_idx = t.row_idx AND w.col_idx = t.col_idx WHERE t.row_idx < t.col_idx)"""
+SCORED = f"""SELECT e.*, n.value AS "dN", d.value AS "dS", coalesce(x.value, 0) AS sq, coalesce(y.value, 0) AS qs FROM ({EDGES}) e LEFT JOIN ({REL['dN']}) n ON n.row_idx = lo AND n.col_idx = hi LEFT JOIN ({REL['dS']}) d ON d.row_idx = lo AND d.col_idx = hi
+  LEFT JOIN ({REL['id_subject_query']}) x ON x.row_idx = q AND x.col_idx = s LEFT JOIN ({REL['id_query_subject']}) y ON y.row_idx = s AND y.col_idx = q"""
+
+
+@query(f"SELECT q::BIGINT AS q, s::BIGINT AS s, ((sq + qs) / 2)::DOUBLE AS identity FROM ({SCORED})")
+def edge_identity(spark, d):
+    return fam.scored_edges(the_family(spark, d), "mean").select("q", "s", "identity")
+
+
+for _s, _e in (("mean", "(sq + qs) / 2"), ("min", "least(sq, qs)"), ("max", "greatest(sq, qs)")):
+    _body = COMPONENTS.split(" SELECT node AS gene_idx", 1)
+
+    @query(
+        f"""{_body[0]}, comp AS (SELECT node AS gene_idx{_body[1]}), g AS ({GENES}), x AS ({SCORED}) SELECT a.id AS query, b.id AS subject, "dN", "dS", sq::DOUBLE AS id_subject_query, qs::DOUBLE AS id_query_subject FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY "dS", "dN", -({_e}), lo, hi) AS n
+        FROM x JOIN comp ON comp.gene_idx = x.lo) t JOIN g a ON a.g = t.q JOIN g b ON b.g = t.s WHERE n = 1""",
+        f"rbh_family_{_s}",
+    )
+    def _rbh(spark, d, s=_s):
+        return fam.best_hits(the_family(spark, d), s).drop("tied")
+
+
+CELLS = """first AS (SELECT id, row_number() OVER (ORDER BY min(c * 1000000000000000000::HUGEINT + row_key)) AS i FROM (SELECT 0 AS c, row_key, query AS id FROM fx_pairs UNION ALL SELECT 1, row_key, subject FROM fx_pairs) GROUP BY id),
+  w AS (SELECT a.i AS i, b.i AS j, row_key, id_subject_query AS own, id_query_subject AS other FROM fx_pairs JOIN first a ON a.id = query JOIN first b ON b.id = subject UNION ALL SELECT b.i, a.i, row_key, id_query_subject, id_subject_query FROM fx_pairs JOIN first a ON a.id = query JOIN first b ON b.id = subject),
+  m AS (SELECT i, j, arg_max(own, row_key) AS own, arg_max(other, row_key) AS other FROM w WHERE i <> j GROUP BY i, j)"""
+
+
+def rbh_sql(score: str, way: str = "DESC", out: str = "own AS perc_1, other AS perc_2, greatest(own, other) AS max_perc, (own + other) / 2 AS mean_perc") -> str:
+    return f"""WITH {CELLS}, s AS (SELECT *, {score} AS score FROM m), b AS (SELECT i, j, own, other FROM s QUALIFY row_number() OVER (PARTITION BY i ORDER BY score {way}, j) = 1 AND row_number() OVER (PARTITION BY j ORDER BY score {way}, i) = 1)
+      SELECT y.id AS "GeneID", x.id AS "ParalogID", {out} FROM b JOIN first x ON x.i = b.i JOIN first y ON y.i = b.j WHERE b.i < b.j"""
+
+
+def percent_pairs(spark, d):
+    return view(spark, d, "fx_pairs").select("row_key", "query", "subject", "id_subject_query", "id_query_subject")
+
+
+@query(rbh_sql("greatest(own, other)"))
+def rbh_pairs_max(spark, d):
+    return fam.pair_best_hits(percent_pairs(spark, d), "row_key", "max")
+
+
+@query(rbh_sql("(own + other) / 2"))
+def rbh_pairs_mean(spark, d):
+    return fam.pair_best_hits(percent_pairs(spark, d), "row_key", "mean")
+
+
+@query(None)
+def rbh_pairs_double_max(spark, d):
+    return fam.pair_best_hits(percent_pairs(spark, d), "row_key", "double_max")
+
+
+@query(rbh_sql("own", "ASC", "own AS ds, least(own, other) AS min_ds").replace("id_subject_query AS own, id_query_subject AS other", '"dS" AS own, "dS" AS other').replace("id_query_subject, id_subject_query FROM fx_pairs", '"dS", "dS" FROM fx_pairs'))
+def rbh_pairs_ds(spark, d):
+    return fam.pair_best_hits(view(spark, d, "fx_pairs").select("row_key", "query", "subject", "dS"), "row_key", "ds")
