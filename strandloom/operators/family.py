@@ -160,13 +160,14 @@ def best_hits(f: Family, scoring: str = "mean") -> DataFrame:
 def _cells(pairs: DataFrame, row_idx: str) -> tuple[DataFrame, DataFrame]:
     """Gene indices by first appearance (all of column 1, then all of column 2), and the last written value of each cell."""
     a, b, p1, p2 = (c for c in pairs.columns if c != row_idx)
-    seen = pairs.select(F.lit(0).alias("c"), F.col(row_idx).alias("r"), F.col(a).alias("id")).union(pairs.select(F.lit(1), row_idx, b))
+    pairs = pairs.select(F.col(row_idx).alias("r"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(p1).alias("p1"), F.col(p2).alias("p2"))
+    seen = pairs.select(F.lit(0).alias("c"), "r", F.col("a").alias("id")).union(pairs.select(F.lit(1), "r", "b"))
     first = seen.groupBy("id").agg(F.min(F.struct("c", "r")).alias("f"))
     genes = number(first.select("id", "f.c", "f.r"), "c", "r").select("id", F.col("feature_idx").alias("i"))
-    x = pairs.join(genes.select(F.col("id").alias(a), F.col("i").alias("x")), a).join(genes.select(F.col("id").alias(b), F.col("i").alias("y")), b)
+    x = pairs.join(genes.select(F.col("id").alias("a"), F.col("i").alias("x")), "a").join(genes.select(F.col("id").alias("b"), F.col("i").alias("y")), "b")
     # within a row the second cell is written after the first
-    cell = lambda i, j, k, own, other: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), F.col(row_idx).alias("r"), F.lit(k).alias("k"), F.col(own).alias("own"), F.col(other).alias("other"))
-    cells = x.select(F.explode(F.array(cell("x", "y", 0, p1, p2), cell("y", "x", 1, p2, p1))).alias("v")).select("v.*")
+    cell = lambda i, j, k, own, other: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), "r", F.lit(k).alias("k"), F.col(own).alias("own"), F.col(other).alias("other"))
+    cells = x.select(F.explode(F.array(cell("x", "y", 0, "p1", "p2"), cell("y", "x", 1, "p2", "p1"))).alias("v")).select("v.*")
     last = cells.groupBy("i", "j").agg(F.max_by(F.struct("own", "other"), F.struct("r", "k")).alias("v")).select("i", "j", "v.own", "v.other")
     return genes, last
 
