@@ -2,17 +2,22 @@
 
 1. One pass over the texts gives each document its distinct shingles' number, a 128-bit digest
    of that set and a signature of `COORDS` minima. Documents with one set form a class.
-2. Each class is posted under the coordinate-value pairs of its signature prefix only: a pair that
-   agrees on `MATCH` of `COORDS` coordinates shares one of the first COORDS - MATCH + 1. Short lists
-   with one entry vanish in the count. In a list, collisions are counted over whole signatures,
-   skipping pairs that an earlier coordinate also lists. A list yields a spanning forest of its
-   matching pairs, never all of them; lists over `BLOCK` entries are cut into pairs of blocks.
+2. Each class is posted under the coordinate-value pairs of its signature's first `PREFIX` coordinates
+   only: a pair of similarity s has no such list in common with probability (1 - s) ^ PREFIX. Lists with
+   one entry vanish in the count. In a list, collisions are counted over whole signatures, of 16 bits a
+   coordinate, skipping pairs that an earlier coordinate also lists; `MATCH` of `COORDS` are a candidate. A list yields a spanning forest of its
+   matching pairs, never all of them.
 3. Components of these candidates are the groups within which links are confirmed on full shingle
    sets, recomputed from the texts of group members alone. A pair is compared until its two sides
-   are known to be connected. Groups over `GROUP` members are again cut into pairs of blocks.
+   are known to be connected.
 
-A pair of Jaccard similarity 0.85 agrees on fewer than 6 of 16 coordinates with probability 2e-6,
-and less for greater similarity; no similarity under the threshold is ever linked.
+Lists over `BLOCK` entries and groups over `GROUP` members are first compared with one pivot each, the
+least member, in chunks: near copies of one text join it, and need no comparison among each other to be
+connected. Only what the pivot doesn't take, the rest, then meets all members, in pairs of blocks. A hot
+group of n near copies so costs about n comparisons, and a task never holds more than two blocks.
+
+A pair of Jaccard similarity 0.85 agrees on fewer than MATCH coordinates with probability 3e-6 and shares no
+list with probability 9e-10, less for greater similarity; none under the threshold is ever linked.
 """
 
 from __future__ import annotations
@@ -21,14 +26,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, ship
 from . import _text as T
 from ._graph import EDGES, components
 
-COORDS, MATCH = 16, 6
+COORDS, MATCH, PREFIX = 64, 40, 11
 BLOCK, GROUP = 2000, 400
 _r = np.random.Generator(np.random.PCG64(77))
 MUL = _r.integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,8 +84,8 @@ def signatures(k: int) -> Callable:
                         x ^= x >> np.uint64(31)
                         sig[some, c] = np.minimum.reduceat((x * T.BASE) >> np.uint64(32), at)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([r.tobytes() for r in sig], pa.binary())],
-                    names=["doc_id", "fp", "n_shingles", "h1", "h2", "sig"],
+                    [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([r.tobytes() for r in sig[:, :PREFIX]], pa.binary()), pa.array([r.tobytes() for r in sig.astype(np.uint16)], pa.binary())],
+                    names=["doc_id", "fp", "n_shingles", "h1", "h2", "post", "sig"],
                 )
 
     return run
@@ -130,13 +135,13 @@ def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[tuple[int, int]] = []
     for (c, _, p, q), rows in _groups(batches, 4):
         if len(rows) == 2 and p == q:  # most lists
-            x, y = (np.frombuffer(r[2], np.uint32) for r in rows)
+            x, y = (np.frombuffer(r[2], np.uint16) for r in rows)
             hit = x == y
             if hit.sum() >= MATCH and not hit[:c].any():
                 out.append((rows[0][0], rows[1][0]))
         elif len(rows) > 1:
             ids = np.array([r[0] for r in rows], np.int64)
-            sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint32).reshape(-1, COORDS)
+            sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(-1, COORDS)
             side = np.array([r[1] for r in rows])
 
             def ok(i: int, js: np.ndarray, sig: np.ndarray = sig) -> np.ndarray:
@@ -155,13 +160,43 @@ def _blocks(df: DataFrame, keys: list[str], node: str, most: int) -> DataFrame:
     The block count comes from the group's exact size; a row of a group of n blocks is sent n times, so
     that every pair of a hot group meets in some task and no task sees more than two blocks.
     """
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1")
-    x = df.join(sizes, keys).withColumn("n", F.ceil(F.col("size") / most).cast("int"))
+    x = _sized(df, keys).withColumn("n", F.ceil(F.col("size") / most).cast("int"))
     x = x.withColumn("side", F.when(F.col("n") > 1, F.pmod(F.xxhash64(node), F.col("n"))).otherwise(0).cast("int"))
     x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     return x.withColumns({"p": F.least("side", "o"), "q": F.greatest("side", "o")}).drop("o", "n", "size")
 
 
+def _sized(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of groups of two or more, with the group's size."""
+    return df.join(df.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1"), keys)
+
+
+def _parts(df: DataFrame, most: int) -> Column:
+    return F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / most)).cast("int")
+
+
+def _stars(sized: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Small groups whole as (0, 0); large ones in chunks (p, -1), each with the group's least node on side -1."""
+    small = sized.where(F.col("size") <= most).withColumns({"p": F.lit(0), "q": F.lit(0), "side": F.lit(0)})
+    large = sized.where(F.col("size") > most)
+    pivot = large.groupBy(*keys).agg(F.min("node").alias("pivot"))
+    large = large.join(pivot, keys)
+    chunks = large.where("node <> pivot").withColumns({"p": _parts(large, most), "q": F.lit(-1)}).withColumn("side", F.col("p"))
+    heads = large.where("node = pivot").withColumn("p", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / most).cast("int") - 1))).withColumns({"q": F.lit(-1), "side": F.lit(-1)})
+    return small.unionByName(chunks.drop("pivot")).unionByName(heads.drop("pivot")).drop("size")
+
+
+def _rest(sized: DataFrame, keys: list[str], linked: DataFrame, most: int) -> DataFrame:
+    """Rows of large groups that `linked` (keys, node) doesn't name, in blocks p, against all rows of their group in blocks q < 0."""
+    large = sized.where(F.col("size") > most)
+    left = large.join(linked, [*keys, "node"], "left_anti").select(large.columns)
+    counts = left.groupBy(*keys).agg(F.count("*").alias("left"))
+    n, m = F.ceil(F.col("left") / most).cast("int"), F.ceil(F.col("size") / most).cast("int")
+    mine = left.join(counts, keys).withColumn("p", F.pmod(F.xxhash64("node"), n).cast("int")).withColumn("side", F.col("p")).withColumn("q", F.explode(F.sequence(-m, F.lit(-1))))
+    all_ = large.join(counts, keys).withColumn("q", (-1 - _parts(large, most)).cast("int")).withColumn("side", F.col("q")).withColumn("p", F.explode(F.sequence(F.lit(0), n - 1)))
+    return mine.unionByName(all_).drop("left", "size")
+
+
 def _digest(s: np.ndarray) -> tuple[int, int]:
     m = T.mix(s)
     return int(m.sum().view(np.int64)), int((m * m).sum().view(np.int64))
@@ -213,19 +248,46 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ship(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("fp", F.xxhash64("text"))
-    sig = cut(docs.mapInArrow(signatures(k), "doc_id long, fp long, n_shingles long, h1 long, h2 long, sig binary"))
+    sig = cut(docs.mapInArrow(signatures(k), "doc_id long, fp long, n_shingles long, h1 long, h2 long, post binary, sig binary"))
     some = sig.where("n_shingles > 0").withColumn("key", F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id0"), "fp"))
-    classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("sig").alias("sig"))
-    classes = cut(classes.select(F.xxhash64("h1", "h2").alias("node"), "h1", "h2", "least", "key.id0", "key.fp", "sig"))
-    posted = classes.select("node", "sig", F.posexplode(F.array(*[F.expr(f"substring(sig, {4 * c + 1}, 4)") for c in range(COORDS - MATCH + 1)])).alias("coord", "value"))
-    keys = ["coord", "value", "p", "q"]
-    lists = _blocks(posted, ["coord", "value"], "node", BLOCK).select(*keys, "node", "side", "sig")
-    candidates = components(lists.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_collide, EDGES))
-    members = candidates.join(classes.drop("sig"), "node").select(F.col("root").alias("cluster"), "node", "h1", "h2", "id0", "fp")
-    keys = ["cluster", "p", "q"]
-    members = _blocks(cut(members), ["cluster"], "node", GROUP)
-    texts = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id0"), "fp", "text").join(members, ["id0", "fp"]).select(*keys, "node", "side", "h1", "h2", "text")
-    roots = components(texts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_confirm(k, percent), EDGES))
+    classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("post").alias("post"), F.first("sig").alias("sig"))
+    classes = cut(classes.select(F.xxhash64("h1", "h2").alias("node"), "h1", "h2", "least", "key.id0", "key.fp", "post", "sig"))
+    posted = classes.select("node", F.posexplode(F.array(*[F.expr(f"substring(post, {4 * c + 1}, 4)") for c in range(PREFIX)])).alias("coord", "value"))
+    group = ["coord", "value"]
+    sized = _sized(posted, group).join(classes.select("node", "sig"), "node")  # signatures go to lists of two or more alone
+    # a list's pivot is its least node; what collides with it enough is connected through it
+    near = sum((F.expr(f"cast(substring(sig, {2 * c + 1}, 2) = substring(pivot_sig, {2 * c + 1}, 2) as int)") for c in range(COORDS)), F.lit(0))
+    large = sized.where(F.col("size") > BLOCK)
+    pivots = large.groupBy(*group).agg(F.min(F.struct("node", F.col("sig").alias("pivot_sig"))).alias("pivot")).select(*group, F.col("pivot.node").alias("pivot"), "pivot.pivot_sig")
+    linked = cut(large.join(pivots, group).where(near >= MATCH).select(*group, "node", "pivot"))
+    small = sized.where(F.col("size") <= BLOCK).withColumns({"p": F.lit(0), "q": F.lit(0), "side": F.lit(0)}).drop("size")
+    lists = small if linked.isEmpty() else small.unionByName(_rest(sized, group, linked.drop("pivot"), BLOCK))
+
+    def collide(x: DataFrame) -> DataFrame:
+        keys = [*group, "p", "q"]
+        return x.select(*keys, "node", "side", "sig").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_collide, EDGES)
+
+    stars = linked.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    candidates = components(collide(lists).union(stars))
+    members = cut(candidates.join(classes.drop("post", "sig"), "node").select(F.col("root").alias("cluster"), "node", "h1", "h2", "id0", "fp"))
+    sized = cut(_sized(members.select("cluster", "node"), ["cluster"]))
+    # one text of each clustered class, fetched once
+    texts = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id0"), "fp", "text").join(members.drop("cluster"), ["id0", "fp"])
+    texts = cut(texts.select("node", "h1", "h2", "text").dropDuplicates(["node"]))
+
+    def confirm(x: DataFrame) -> DataFrame:
+        keys = ["cluster", "p", "q"]
+        x = x.join(texts, "node").select(*keys, "node", "side", "h1", "h2", "text")
+        return x.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_confirm(k, percent), EDGES)
+
+    edges = cut(confirm(_stars(sized, ["cluster"], GROUP)))
+    if not sized.where(F.col("size") > GROUP).isEmpty():
+        # the pivot is a cluster's root: its least node
+        linked = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sized.select("cluster", "node"), "node").union(sized.select(F.col("cluster").alias("node"), "cluster").distinct()).distinct()
+        rest = cut(_rest(sized, ["cluster"], linked, GROUP))
+        if not rest.isEmpty():
+            edges = edges.union(cut(confirm(rest)))
+    roots = components(edges)
     named = classes.select("h1", "h2", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("h1", "h2", "component_id")
     full = sig.where("n_shingles > 0").join(named, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id")
