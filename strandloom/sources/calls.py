@@ -96,3 +96,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     if missing:
         raise ValueError(f"not a call set, {sorted(missing)} missing: {path}")
     return df
+
+
+def create(spark: SparkSession, scaffold: str, pos: list[int], payload: list[int]) -> DataFrame:
+    """A call set from positions and payloads of one scaffold; their numbers must agree."""
+    if len(pos) != len(payload):
+        raise ValueError(f"{len(pos)} positions, {len(payload)} payloads")
+    x = spark.createDataFrame(list(zip(pos, payload)), "pos long, payload long")
+    return x.select(F.lit(scaffold).alias("scaffold"), "pos", codec.get_context("payload").cast("int").alias("context"), codec.get_strand("payload").cast("int").alias("strand"), "payload")
+
+
+def summary(calls: DataFrame) -> DataFrame:
+    """Sites, depth and methylated calls by scaffold."""
+    return calls.groupBy("scaffold").agg(F.count("*").alias("n_sites"), F.sum(codec.get_depth("payload")).alias("depth"), F.sum(codec.get_meth("payload")).alias("meth"))

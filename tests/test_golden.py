@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import codec, ontology
 from strandloom.operators import family, genome, intervals, signal, tabular
 from strandloom.operators.graph import components
-from strandloom.sources import bed, calls, gff, table
+from strandloom.sources import arrow, bed, calls, gff, table
 
 
 def one(spark, col):
@@ -254,3 +254,18 @@ def test_kde(spark):
     assert {r.scaffold for r in got} == {"c"} and len(got) == 64
     area = sum((b.x - a.x) * (a.density + b.density) / 2 for a, b in zip(got, got[1:]))
     assert abs(area - 1) < 1e-3
+
+
+@pytest.mark.parametrize("compression", ["zstd", "lz4", None])
+def test_arrow_exchange(spark, tmp_path, compression):
+    df = calls.create(spark, "scaffold|weird:name", [9, 5, 2**32 - 1], [77, 78, 2**28 - 1]).union(calls.create(spark, "scaffold_weird_name", [1], [5]))
+    arrow.write_folder(df, str(tmp_path / "a"), compression)
+    assert sorted(p.name for p in (tmp_path / "a").iterdir()) == ["scaffold_weird_name.arrow", "scaffold_weird_name_2.arrow", "scaffolds.tsv"]
+    assert sorted(map(tuple, arrow.read_folder(spark, str(tmp_path / "a")).collect())) == sorted(map(tuple, df.collect()))
+    one = arrow.read_files(spark, str(tmp_path / "a" / "scaffold_weird_name.arrow")).collect()
+    assert [r.pos for r in one] == [5, 9, 2**32 - 1]
+    with pytest.raises(FileNotFoundError):
+        arrow.read_folder(spark, str(tmp_path))
+    with pytest.raises(ValueError):
+        calls.create(spark, "c", [1, 2], [3])
+    assert {r.scaffold: r.n_sites for r in calls.summary(df).collect()} == {"scaffold|weird:name": 3, "scaffold_weird_name": 1}
