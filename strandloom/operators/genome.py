@@ -51,5 +51,10 @@ def metadata(features: DataFrame) -> DataFrame:
     return features.select("feature_idx", F.array("id", "source", "biotype").alias("metadata"))
 
 
+def metadata_id(indices: DataFrame, features: DataFrame) -> DataFrame:
+    """indices (feature_idx, …) with the id behind each, null out of range."""
+    return indices.join(features.select("feature_idx", "id"), "feature_idx", "left")
+
+
 def summary(features: DataFrame) -> DataFrame:
     return features.groupBy("scaffold").agg(F.count("*").alias("n_features"), F.countDistinct("feature_type").alias("n_types"), F.max("end_pos").alias("last_pos"))

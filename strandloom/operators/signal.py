@@ -137,10 +137,10 @@ def _slots(df: DataFrame, n: int) -> DataFrame:
 def mean_profile_runs(projected: DataFrame, n: int, flank: int, bins: int, exclude: DataFrame | None = None) -> DataFrame:
     """(slot, value): mean profile of all features of sufficient length, zeros included; exclude: a table of feature_idx."""
     x = projected if exclude is None else projected.join(exclude, "feature_idx", "left_anti")
-    genes = x.where(F.col("region_len") >= 2 * flank + 2).agg(F.countDistinct("feature_idx").alias("genes"))
+    genes = x.where(F.col("region_len") >= 2 * flank + 2).agg(F.countDistinct("feature_idx").alias("genes")).scalar()
     sums = profile_runs(x, n, flank, bins).groupBy("slot").agg(F.sum("value").alias("s"))
-    full = _slots(x, 2 * flank + bins).join(sums, "slot", "left")
-    return full.join(F.broadcast(genes), how="cross").select("slot", F.when(F.col("genes") > 0, F.coalesce("s", F.lit(0.0)) / F.greatest("genes", F.lit(1))).otherwise(0.0).alias("value"))
+    full = _slots(x, 2 * flank + bins).join(sums, "slot", "left").withColumn("genes", genes)
+    return full.select("slot", F.when(F.col("genes") > 0, F.coalesce("s", F.lit(0.0)) / F.greatest("genes", F.lit(1))).otherwise(0.0).alias("value"))
 
 
 def mean_profile_calls(projected: DataFrame, flank: int, bins: int, by_depth: bool = True, transform: Callable[[Column], Column] | None = None, exclude: DataFrame | None = None) -> DataFrame:
@@ -155,7 +155,7 @@ def kde(values: DataFrame, points: int = 2048, by: tuple[str, ...] = ("scaffold"
     """(by, x, density): Gaussian kernel estimate on `points` grid points over [min - 4h, max + 4h].
 
     h = 0.9 min(sd, IQR / 1.34) n^-0.2. Equal values are counted first, so the grid meets distinct values only.
-    A group whose spread is zero, or of one value, has no estimate.
+    A group whose spread is zero, or of one value, has no estimate. `by` names one column at least.
     """
     v = values.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
     stats = v.groupBy(*by).agg(F.count("*").alias("n"), F.stddev_samp(value).alias("sd"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.min(value).alias("lo"), F.max(value).alias("hi"))
@@ -166,6 +166,6 @@ def kde(values: DataFrame, points: int = 2048, by: tuple[str, ...] = ("scaffold"
     grid = stats.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.expr(f"lo - 4 * h + k * ((hi - lo + 8 * h) / {points - 1})"))
     z = (F.col("x") - F.col("v")) / F.col("h")
     # each group's grid has a fixed number of points
-    pairs = counts.join(grid, list(by)) if by else counts.join(F.broadcast(grid), how="cross")
+    pairs = counts.join(grid, list(by))
     out = pairs.groupBy(*by, "k", "x", "n", "h").agg(F.sum(F.col("c") * F.exp(-0.5 * z * z)).alias("s"))
     return out.select(*by, "k", "x", (F.col("s") / (F.col("n") * F.col("h") * F.lit(2.5066282746310002))).alias("density"))

@@ -23,9 +23,9 @@ def quantile_bins(t: DataFrame, values: list[str], q: int = 4, merge: Callable[[
     x = t.where("feature_idx is not null").withColumn("merged", merge([F.col(v).cast("double") for v in values]))
     if q == 1:
         return x.withColumn("bin", F.lit(1))
-    edges = x.agg(F.percentile("merged", F.array(*[F.lit(i / q) for i in range(1, q)])).alias("edges"))  # one row
-    above = F.size(F.filter("edges", lambda e: F.col("merged") > e))
-    return x.join(F.broadcast(edges), how="cross").withColumn("bin", (above + 1).cast("int")).drop("edges")
+    edges = x.agg(F.percentile("merged", F.array(*[F.lit(i / q) for i in range(1, q)])).alias("edges")).scalar()
+    x = x.withColumn("__edges", edges)
+    return x.withColumn("bin", (F.size(F.filter("__edges", lambda e: F.col("merged") > e)) + 1).cast("int")).drop("__edges")
 
 
 def quantile_rank(t: DataFrame, ranking: list[str], q: int, row_idx: str = "row_idx") -> DataFrame:

@@ -82,6 +82,14 @@ def so_lookup(spark, d):
     return ontology.lookup(view(spark, d, "fx_features"), ontology.terms(spark), "feature_type").select("feature_idx", "short_id", "so_id", F.col("feature_type").alias("label"))
 
 
+@query(f"""SELECT feature_idx, {TERM} AS short_id, feature_type AS by_short, CASE feature_type WHEN 'gene' THEN 704 WHEN 'exon' THEN 147 WHEN 'mRNA' THEN 234 END AS so_id, feature_type AS by_full FROM fx_features""")
+def so_lookup_ids(spark, d):
+    dim = ontology.terms(spark)
+    x = ontology.lookup(view(spark, d, "fx_features"), dim.select("label", "short_id", "so_id"), "feature_type").select("feature_idx", "short_id", "so_id")
+    x = ontology.lookup(x, dim.select("short_id", F.col("label").alias("by_short")), "short_id", "short_id")
+    return ontology.lookup(x, dim.select("so_id", F.col("label").alias("by_full")), "so_id", "so_id")
+
+
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'G' || o_orderkey WHEN 1 THEN 'G' || o_orderkey WHEN 2 THEN 'gene-family:' || o_orderkey ELSE 'gene:' END AS clean FROM orders""")
 def sanitize_id(spark, d):
     k = F.col("o_orderkey")
@@ -270,6 +278,19 @@ def feature_metadata(spark, d):
     return genome.metadata(x).select("feature_idx", F.array_join("metadata", "|").alias("metadata"))
 
 
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 7 < 6 THEN 'G' || (l_partkey % 7) END AS id FROM lineitem")
+def feature_metadata_id(spark, d):
+    x = view(spark, d, "fx_features")
+    # indices 1 to 6 are those of G0 to G5; the others are out of range
+    i = F.when(F.col("l_partkey") % 7 < 6, F.col("l_partkey") % 7 + 1).otherwise(-1)
+    return genome.metadata_id(table_of(spark, d, "lineitem").select("l_orderkey", "l_linenumber", i.alias("feature_idx")), x).drop("feature_idx")
+
+
+@query(f"SELECT scaffold, count(*)::BIGINT AS n_sites, sum(depth)::BIGINT AS depth, sum((2 * depth * code + 255) // 510)::BIGINT AS meth FROM (SELECT scaffold, payload % 65536 AS depth, payload // 65536 % 256 AS code FROM ({MERGED})) GROUP BY scaffold")
+def calls_summary(spark, d):
+    return calls.summary(merged_calls(spark, d))
+
+
 @query("SELECT scaffold, start_pos, end_pos, id, feature_type, strand::BIGINT AS strand FROM fx_features")
 def feature_records(spark, d):
     x = genome.with_code(view(spark, d, "fx_features").withColumns({"source": F.lit("s"), "biotype": F.lit("b")}))
@@ -339,6 +360,12 @@ def intersect_all(spark, d):
     return intervals.overlap_join(view(spark, d, "fx_features"), view(spark, d, "fx_bed").select("scaffold", "start_pos", "end_pos")).select("feature_idx", "scaffold", "frag_start", "frag_end")
 
 
+@query(f"SELECT feature_idx, f.scaffold, {FRAG} FROM {THETA} WHERE f.scaffold = 'chr3' AND feature_type = 'mRNA'")
+def intersect_scaffold(spark, d):
+    f = genome.of_type(view(spark, d, "fx_features"), "mRNA", "chr3")
+    return intervals.overlap_join(f, view(spark, d, "fx_bed").select("scaffold", "start_pos", "end_pos")).select("feature_idx", "scaffold", "frag_start", "frag_end")
+
+
 @query(f"SELECT feature_idx, f.scaffold, {FRAG} FROM {THETA} WHERE feature_type = 'gene'")
 def intersect_feature(spark, d):
     f = genome.of_type(view(spark, d, "fx_features"), "gene")
