@@ -262,7 +262,7 @@ def test_arrow_exchange(spark, tmp_path, compression):
     arrow.write_folder(df, str(tmp_path / "a"), compression)
     assert sorted(p.name for p in (tmp_path / "a").iterdir()) == ["scaffold_weird_name.arrow", "scaffold_weird_name_2.arrow", "scaffolds.tsv"]
     assert sorted(map(tuple, arrow.read_folder(spark, str(tmp_path / "a")).collect())) == sorted(map(tuple, df.collect()))
-    one = arrow.read_files(spark, str(tmp_path / "a" / "scaffold_weird_name.arrow")).collect()
+    one = arrow.read_files(spark, str(tmp_path / "a" / "scaffold_weird_name_2.arrow")).collect()
     assert [r.pos for r in one] == [5, 9, 2**32 - 1]
     with pytest.raises(FileNotFoundError):
         arrow.read_folder(spark, str(tmp_path))
