@@ -35,6 +35,7 @@ from ._graph import EDGES, components
 
 COORDS, MATCH, PREFIX = 64, 40, 11
 BLOCK, GROUP = 2000, 400
+SLICE = 500_000  # shingles that are compared at once
 _r = np.random.Generator(np.random.PCG64(77))
 MUL = _r.integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -222,12 +223,13 @@ def _confirm(k: int, percent: int) -> Callable:
 
             def ok(i: int, js: np.ndarray, sets: list = sets, size: np.ndarray = size) -> np.ndarray:
                 hit = 100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])
-                at = np.flatnonzero(hit)
-                if len(at):
-                    many = np.concatenate([sets[j] for j in js[at]])
-                    pos = np.minimum(np.searchsorted(sets[i], many), size[i] - 1)
-                    both = np.add.reduceat((sets[i][pos] == many).astype(np.int64), np.concatenate([[0], np.cumsum(size[js[at]])[:-1]]))
-                    hit[at] = 100 * both >= percent * (size[i] + size[js[at]] - both)
+                some = np.flatnonzero(hit)
+                for at in np.split(some, np.flatnonzero(np.diff(np.cumsum(size[js[some]]) // SLICE)) + 1):
+                    if len(at):
+                        many = np.concatenate([sets[j] for j in js[at]])
+                        pos = np.minimum(np.searchsorted(sets[i], many), size[i] - 1)
+                        both = np.add.reduceat((sets[i][pos] == many).astype(np.int64), np.concatenate([[0], np.cumsum(size[js[at]])[:-1]]))
+                        hit[at] = 100 * both >= percent * (size[i] + size[js[at]] - both)
                 return hit
 
             out += _forest(ids, ok, *_sides(side, p, q))
