@@ -250,7 +250,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ship(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("fp", F.xxhash64("text"))
-    sig = cut(docs.mapInArrow(signatures(k), "doc_id long, fp long, n_shingles long, h1 long, h2 long, post binary, sig binary"))
+    sig = cut(docs.mapInArrow(T.lean(signatures(k)), "doc_id long, fp long, n_shingles long, h1 long, h2 long, post binary, sig binary"))
     some = sig.where("n_shingles > 0").withColumn("key", F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id0"), "fp"))
     classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("post").alias("post"), F.first("sig").alias("sig"))
     classes = cut(classes.select(F.xxhash64("h1", "h2").alias("node"), "h1", "h2", "least", "key.id0", "key.fp", "post", "sig"))
@@ -267,7 +267,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def collide(x: DataFrame) -> DataFrame:
         keys = [*group, "p", "q"]
-        return x.select(*keys, "node", "side", "sig").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_collide, EDGES)
+        return x.select(*keys, "node", "side", "sig").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(T.lean(_collide), EDGES)
 
     stars = linked.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     candidates = components(collide(lists).union(stars))
@@ -280,7 +280,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def confirm(x: DataFrame) -> DataFrame:
         keys = ["cluster", "p", "q"]
         x = x.join(texts, "node").select(*keys, "node", "side", "h1", "h2", "text")
-        return x.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_confirm(k, percent), EDGES)
+        return x.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(T.lean(_confirm(k, percent)), EDGES)
 
     edges = cut(confirm(_stars(sized, ["cluster"], GROUP)))
     if not sized.where(F.col("size") > GROUP).isEmpty():

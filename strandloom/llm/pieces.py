@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ._text import lean
 
 MARK = "▁"
 CACHE = 150_000  # segments a worker remembers before it forgets all
@@ -244,4 +245,4 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
     """
     ship(df.sparkSession)
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long, n_bytes long" if digest else "ids array<int>, decoded string, span_from array<int>, span_to array<int>"
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_run(model, digest), f"doc_id {dict(df.select(id_col).dtypes)[id_col]}, {kind}")
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(_run(model, digest)), f"doc_id {dict(df.select(id_col).dtypes)[id_col]}, {kind}")

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ._text import lean
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
@@ -224,7 +225,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
     ship(spark)
     ids = docs.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.crc32(F.concat(F.lit("pick"), F.col("doc_id").cast("string"))), "doc_id").limit(most_rows)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "doc_id")  # most_rows ids at most
-    got = rows.select("text").mapInArrow(_tally, "what string, x string, y int, n long").groupBy("what", "x", "y").agg(F.sum("n").alias("n")).orderBy("what", "x", "y").collect()
+    got = rows.select("text").mapInArrow(lean(_tally), "what string, x string, y int, n long").groupBy("what", "x", "y").agg(F.sum("n").alias("n")).orderBy("what", "x", "y").collect()
     agree = np.ones((EDGE, 2))
     xs, ys, ns = [], [], []
     for r in got:
@@ -277,7 +278,7 @@ def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     """
     ship(docs.sparkSession)
     kind = dict(docs.select(id_col).dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_find(field, least), f"doc_id {kind}, base {SPANS}, added {SPANS}")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(_find(field, least)), f"doc_id {kind}, base {SPANS}, added {SPANS}")
 
 
 def _mask(field: Field, least: float, text_at: int) -> Callable:
@@ -305,7 +306,7 @@ def _mask(field: Field, least: float, text_at: int) -> Callable:
 def mask(docs: DataFrame, field: Field, text_col: str = "text", least: float = 0.9) -> DataFrame:
     """docs with every span in text_col replaced by its kind in brackets; null stays null, other columns are kept."""
     ship(docs.sparkSession)
-    return docs.mapInArrow(_mask(field, least, docs.columns.index(text_col)), docs.schema)
+    return docs.mapInArrow(lean(_mask(field, least, docs.columns.index(text_col))), docs.schema)
 
 
 def joined(spans: str) -> Column:

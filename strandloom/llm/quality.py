@@ -108,7 +108,7 @@ def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, *STATS) for every row; null is an empty text, whose statistics are all zero."""
     ship(df.sparkSession)
     kind = dict(df.select(id_col).dtypes)[id_col]
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_stats, f"doc_id {kind}, " + ", ".join(f"{s} long" for s in STATS))
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(T.lean(_stats), f"doc_id {kind}, " + ", ".join(f"{s} long" for s in STATS))
 
 
 @dataclass(frozen=True)

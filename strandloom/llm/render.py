@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ._text import lean
 
 DEPTH = 300  # elements nested deeper join their ancestor of this depth, as browsers do at some depth
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -400,4 +401,4 @@ def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> D
     """
     ship(df.sparkSession)
     kind = dict(df.select(id_col).dtypes)[id_col]
-    return df.select(F.col(id_col).alias("page_id"), F.col(html_col).cast("string").alias("html")).mapInArrow(_run, f"page_id {kind}, text string, n_chars long, n_lines long")
+    return df.select(F.col(id_col).alias("page_id"), F.col(html_col).cast("string").alias("html")).mapInArrow(lean(_run), f"page_id {kind}, text string, n_chars long, n_lines long")

@@ -259,7 +259,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumns({"id0": F.coalesce("doc_id", F.lit(NO_ID)), "fp": F.pmod(F.xxhash64("text"), F.lit(2**31 - 1)).cast("int")})
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blobs = docs.select("id0", "fp", "text").mapInArrow(_emit(window, parts * SPREAD), "bucket int, blob binary")
-    ranges = blobs.repartition(parts, "bucket").mapInArrow(_resolve, RANGES)
+    blobs = docs.select("id0", "fp", "text").mapInArrow(T.lean(_emit(window, parts * SPREAD)), "bucket int, blob binary")
+    ranges = blobs.repartition(parts, "bucket").mapInArrow(T.lean(_resolve), RANGES)
     marks = ranges.groupBy("id0", "fp").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
-    return docs.join(marks, ["id0", "fp"], "left").select("doc_id", "text", "marks").mapInArrow(_apply(window), "doc_id long, n_words long, n_removed long, kept_text string, removed array<array<int>>")
+    return docs.join(marks, ["id0", "fp"], "left").select("doc_id", "text", "marks").mapInArrow(T.lean(_apply(window)), "doc_id long, n_words long, n_removed long, kept_text string, removed array<array<int>>")

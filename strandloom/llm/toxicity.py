@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ._text import lean
 
 LEAST_FUZZY = 5
 STEM = range(3, 9)
@@ -283,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not n_bad or not n_good:
         flat = 0.0 if not n_bad else 1.0
         return Model(Automaton([]), np.zeros(FEATURES), np.ones(FEATURES), np.array([0.0] * FEATURES + [3.0 if flat else -3.0]))
-    counts = rows.select("text", "y").mapInArrow(_entries, "entry string, bad long, good long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = rows.select("text", "y").mapInArrow(lean(_entries), "entry string, bad long, good long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     least = max(6, n_bad // 100)
     found = counts.where((F.col("bad") >= least) & (F.col("bad") * n_good >= 6 * F.col("good") * n_bad)).orderBy(F.desc("bad"), "entry").limit(20_000)
     terms = lexicon([tuple(r) for r in found.collect()], n_bad, n_good)
@@ -304,12 +305,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return run
 
     kind = "x binary, y int, stop string"
-    measured = rows.select("text", "y").mapInArrow(measure(first), kind).collect()
+    measured = rows.select("text", "y").mapInArrow(lean(measure(first)), kind).collect()
     stop = frozenset(sorted({w for r in measured for w in r.stop.split()})[:2000])
     auto = first
     if stop:  # near misses that clean rows use are words of their own
         auto = Automaton(terms, stop)
-        measured = rows.select("text", "y").mapInArrow(measure(auto), kind).collect()
+        measured = rows.select("text", "y").mapInArrow(lean(measure(auto)), kind).collect()
     x = np.array([np.frombuffer(r.x) for r in measured])
     return Model(auto, *fit(x, np.array([r.y for r in measured], float)))
 
@@ -326,7 +327,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     kind = dict(docs.select(id_col).dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), f"doc_id {kind}, score double, predicted int")
 
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -340,4 +341,4 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             if len(b):
                 yield b.filter(pa.array(shared.value.score([t.as_py() or "" for t in b.column(at)]) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
