@@ -19,9 +19,11 @@ VIEWS = {
     "fx_calls_raw": """SELECT concat('chr', CAST(l_suppkey % 5 + 1 AS STRING)) AS scaffold, CAST(1 + (l_orderkey * 7919 + l_linenumber * 37) % 200000 AS BIGINT) AS pos,
   CAST(l_quantity AS INT) AS meth, CAST(l_partkey % 41 AS INT) AS unmeth, CASE WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'N' THEN 0 ELSE 2 END AS context,
   CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END AS strand, CAST(l_linenumber AS INT) AS file_idx FROM lineitem""",
-    "fx_pairs": """SELECT concat('G', CAST(l_orderkey AS STRING)) AS query, concat('G', CAST(CAST((l_orderkey + 1 + l_partkey % 10) AS BIGINT) AS STRING)) AS subject,
+    # every row of lineitem: genes pair within families of 11, and each first tenth of 1,100 genes with one hub; all steps of row_key are needed to tell rows apart
+    "fx_pairs": """SELECT concat('G', CAST(l_orderkey AS STRING)) AS query,
+  concat('G', CAST(CAST(CASE WHEN l_orderkey % 1100 < 110 THEN l_orderkey - l_orderkey % 110 ELSE l_orderkey - l_orderkey % 11 + l_partkey % 11 END AS BIGINT) AS STRING)) AS subject,
   l_discount AS dN, l_tax AS dS, 50.0 + l_quantity AS id_subject_query, 50.0 + CAST(l_suppkey % 50 AS DOUBLE) AS id_query_subject,
-  CAST(l_orderkey * 100 + l_linenumber AS BIGINT) * 100000000 + l_partkey * 1000 + l_suppkey AS row_key FROM lineitem WHERE l_orderkey % 9 = 0 AND l_linenumber <= 2""",
+  (CAST(l_orderkey * 10 + l_linenumber AS BIGINT) * 100000000 + l_partkey * 1000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS row_key FROM lineitem""",
     "fx_tab": "SELECT concat('G', CAST(p_partkey * 5 AS STRING)) AS sample_id, p_retailprice AS v1, CAST(p_size AS DOUBLE) AS v2, CAST(p_partkey AS BIGINT) AS row_idx FROM part",
 }
 
