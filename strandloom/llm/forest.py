@@ -5,7 +5,9 @@
 2. Each tree splits recursively at the median of a random projection, fitted on at most `SAMPLE` vectors that
    a hash picks. Every class goes down all trees; near a threshold it goes to both children, so a close pair
    is rarely parted. Leaves of more than `LARGEST` classes of a label are split on at the mean of a further
-   projection over all of their classes, round by round, until none is left.
+   projection over all of their classes, round by round, until none is left. A split that would hardly lessen
+   the pairs, as among near copies that all lie within the spill, isn't made; such a leaf is compared
+   exactly, all with one pivot first, then what that leaves with all.
 3. Within each leaf and label all cosines are computed in double precision; the links found leave as stars,
    one per local component, and are united across trees.
 4. Links are then counted within the components by blocks, so that a link between members counts even if
@@ -15,6 +17,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +26,11 @@ from pyspark.sql import functions as F
 
 from ..session import cut, ship
 from ._graph import EDGES, components, local_roots
-from .minhash import _blocks, _groups, _sides
+from .minhash import _blocks, _groups, _rest, _sides, _sized, _stars
 
 TREES, LEAF, LARGEST, BLOCK = 8, 200, 3000, 1500
 SAMPLE = 20_000
+WORTH = 0.9  # a split is made if it leaves at most this share of the pairs
 SPILL = 0.8  # of the spread that the projection of a pair at the threshold has
 
 
@@ -45,8 +49,8 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def plant(sample: np.ndarray, depth: int, trees: int, seed: int = 11) -> list[dict[int, float]]:
-    """Thresholds of each tree by heap number of the node (root 1); a node without sample rows is a leaf."""
+def plant(sample: np.ndarray, depth: int, trees: int, spill: float, seed: int = 11) -> list[dict[int, float]]:
+    """Thresholds of each tree by heap number of the node (root 1); a node without sample rows, or whose split isn't worth it, is a leaf."""
     out = []
     for t in range(trees):
         cuts: dict[int, float] = {}
@@ -56,7 +60,10 @@ def plant(sample: np.ndarray, depth: int, trees: int, seed: int = 11) -> list[di
             if node.bit_length() > depth or len(rows) < 8:
                 continue
             p = sample[rows] @ direction(sample.shape[1], seed, t, node)
-            cuts[node] = float(np.median(p))
+            mid = float(np.median(p))
+            if np.sum(p - mid <= spill) ** 2 + np.sum(p - mid > -spill) ** 2 > WORTH * len(p) ** 2:
+                continue
+            cuts[node] = mid
             todo += [(2 * node, rows[p <= cuts[node]]), (2 * node + 1, rows[p > cuts[node]])]
         out.append(cuts)
     return out
@@ -104,21 +111,30 @@ def _project(seed: int) -> Callable:
 LEAFED = "node long, label string, vec binary, dim long, tree long, leaf long"
 
 
-def _split_on(leaves: DataFrame, spill: float, most_rounds: int = 40) -> DataFrame:
-    """Split leaves over LARGEST until none is left, or copies of one direction can't be parted further."""
-    done = None
-    keys = ["label", "dim", "tree", "leaf"]
+LEAF_KEYS = ["label", "dim", "tree", "leaf"]
+
+
+def _split_on(leaves: DataFrame, spill: float, most_rounds: int = 40) -> tuple[DataFrame, DataFrame | None]:
+    """Split leaves over LARGEST until none is left; leaves whose split isn't worth it, or still large at the end, come apart from the others."""
+    done, stuck, keys = [], [], LEAF_KEYS
     for k in range(most_rounds):
-        large = cut(leaves.groupBy(*keys).count().where(F.col("count") > LARGEST).drop("count"))
+        large = cut(leaves.groupBy(*keys).count().where(F.col("count") > LARGEST))
         if large.isEmpty():
-            return leaves if done is None else done.union(leaves)
-        small = leaves.join(large, keys, "left_anti").select(leaves.columns)
-        done = small if done is None else done.union(small)
+            done.append(leaves)
+            break
+        done.append(leaves.join(large, keys, "left_anti").select(leaves.columns))
         p = cut(leaves.join(large, keys, "left_semi").select(leaves.columns).mapInArrow(_project(1000 + k), LEAFED + ", p double"))
         mid = p.groupBy(*keys).agg(F.avg("p").alias("mid"))
         p = p.join(mid, keys).withColumn("side", F.expr(f"filter(array(0, 1), s -> (s = 0 and p - mid <= {spill!r}) or (s = 1 and p - mid > -{spill!r}))"))
+        child = p.groupBy(*keys).agg(*[F.count_if(F.array_contains("side", i)).cast("double").alias(f"n{i}") for i in (0, 1)])
+        hard = cut(child.join(large, keys).where(F.col("n0") * F.col("n0") + F.col("n1") * F.col("n1") > WORTH * F.col("count") * F.col("count")).select(*keys))
+        if not hard.isEmpty():
+            stuck.append(cut(p.join(hard, keys, "left_semi").select(leaves.columns)))
+            p = p.join(hard, keys, "left_anti")
         leaves = cut(p.withColumn("side", F.explode("side")).withColumn("leaf", F.xxhash64("leaf", "side")).select(leaves.columns))
-    return done.union(leaves)
+    else:
+        stuck.append(leaves)
+    return reduce(DataFrame.union, done), reduce(DataFrame.union, stuck) if stuck else None
 
 
 def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -146,6 +162,43 @@ def _leaf_links(cosine: float) -> Callable:
     return run
 
 
+STAR = "label string, dim long, tree long, leaf long, a long, b long"
+
+
+def _block_links(cosine: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (*leaf, p, q), rows in _groups(batches, 6):
+            ids, side, x = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows]), vectors([r[2] for r in rows])
+            left, right = _sides(side, p, q)
+            a, b = [ids[:0]], [ids[:0]]
+            for i in range(0, len(left), BLOCK):
+                for j in range(0, len(right), BLOCK):
+                    at, to = left[i : i + BLOCK], right[j : j + BLOCK]
+                    m, n = np.nonzero(_cosines(x[at], x[to]) >= cosine)
+                    u, r = local_roots(ids[at[m]], ids[to[n]])
+                    a.append(u)
+                    b.append(r)
+            nodes, roots = local_roots(np.concatenate(a), np.concatenate(b))
+            star = nodes != roots
+            if k := int(star.sum()):
+                yield pa.RecordBatch.from_arrays([*(pa.array([v] * k) for v in leaf), pa.array(nodes[star]), pa.array(roots[star])], names=[*LEAF_KEYS, "a", "b"])
+
+    return run
+
+
+def _exact(leaves: DataFrame, cosine: float) -> DataFrame:
+    """Stars of the components of whole leaves of any size: who links with the pivot needs no other link, the rest meet all."""
+    keys, on = LEAF_KEYS, [*LEAF_KEYS, "p", "q"]
+
+    def links(df: DataFrame) -> DataFrame:
+        return df.select(*on, "node", "side", "vec").repartition(*on).sortWithinPartitions(*on).mapInArrow(_block_links(cosine), STAR)
+
+    sized = cut(_sized(leaves, keys))
+    first = cut(links(_stars(sized, keys, BLOCK)))
+    # the pivot is the least node of a leaf, and so the root of each of its chunks' links
+    return first.union(links(_rest(sized, keys, first.select(*keys, F.col("a").alias("node")), BLOCK))).select("a", "b")
+
+
 def _count_links(cosine: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, p, q), rows in _groups(batches, 3):
@@ -190,14 +243,16 @@ def near_vectors(df: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", ve
     common = max(by_dim.values(), key=len) if by_dim else []
     d = len(common[0]) // 8 if common else 1
     # vectors of other lengths than the commonest meet in the leaves that the later splits make
-    forest = plant(unit(vectors(common)), depth, TREES) if common else [{}] * TREES
     spill = SPILL * float(np.sqrt(2 - 2 * cosine)) / float(np.sqrt(d))
+    forest = plant(unit(vectors(common)), depth, TREES, spill) if common else [{}] * TREES
     plain = classes.select("node", "label", "vec")
     fits = plain.where(F.length("vec") == 8 * d).mapInArrow(_descend(forest, spill), LEAFED)
     other = plain.where(F.length("vec") != 8 * d).mapInArrow(_descend([{}] * TREES, spill), LEAFED)
-    leaves = _split_on(cut(fits.union(other)), spill)
-    keys = ["label", "dim", "tree", "leaf"]
+    leaves, stuck = _split_on(cut(fits.union(other)), spill)
+    keys = LEAF_KEYS
     links = leaves.select(*keys, "node", "vec").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_leaf_links(cosine), EDGES)
+    if stuck is not None:
+        links = links.union(_exact(stuck, cosine))
     roots = cut(components(links))
     members = roots.select(F.col("root").alias("cluster"), "node").join(classes.select("node", F.col("n").alias("copies"), "vec"), "node")
     keys = ["cluster", "p", "q"]

@@ -63,3 +63,18 @@ def test_edge_cases(spark):
     rows = [(1, v, 0), (2, v, 0), (2, v, 0), (3, v, 1), (4, v, None), (5, None, 0), (6, [], 0), (7, [0.0, 0.0, 0.0], 0), (8, [1.0, None, 3.0], 0), (9, [float("nan"), 1.0, 2.0], 0), (10, [float("inf"), 1.0, 2.0], 0), (None, v, 0), (11, [2.0, 4.0, 6.0], 0), (12, [1.0, 2.0], 0), (13, [1.0, 2.01], 0), (None, [9.0, -1.0, 0.0], 0)]
     assert result(spark, rows) == brute(rows)
     assert result(spark, []) == []
+
+
+def test_near_copies_never_multiply(spark, monkeypatch):
+    """A group within the spill, larger than a leaf may be, beside others: no split parts it, and its rows don't double."""
+    for k, v in (("LEAF", 40), ("LARGEST", 50), ("SAMPLE", 200), ("BLOCK", 30)):
+        monkeypatch.setattr(forest, k, v)
+    seen = []
+    was = forest._leaf_links, forest.cut
+    monkeypatch.setattr(forest, "cut", lambda df: seen.append((out := was[1](df)).count()) or out)
+    r = np.random.default_rng(9)
+    c = r.standard_normal(32)
+    x = [c * s for s in r.uniform(0.1, 9, 80)] + [c + 0.01 * r.standard_normal(32) for _ in range(80)] + [c + 0.12 * r.standard_normal(32) for _ in range(40)]
+    rows = [(i, [float(t) for t in np.float32(v)], 0) for i, v in enumerate(x)] + [(1000 + i, v, 0) for i, v, _ in cloud(4, 60)]
+    assert result(spark, rows) == brute(rows)
+    assert max(seen) < 40 * len(rows)
