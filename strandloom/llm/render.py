@@ -45,10 +45,11 @@ _tag_loose = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*+)(?:>|\Z)")
 _attr = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _space = re.compile(r"[ \t\n\r\f]+")
 _close = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW}
-_rule = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _simple = re.compile(r"(?:[a-z][a-z0-9]*)?(?:[.#][A-Za-z0-9_-]+)?\Z", re.I)
-_gone = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-_useful = re.compile(r"hidden|style|class|id|type|open|start|value|reversed|colspan", re.I)
+_decl = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*(none|block|inline[a-z-]*|flex|grid|table[a-z-]*|list-item|contents|flow-root|flow|ruby[a-z-]*|visible|hidden|collapse|initial|inherit|unset|revert[a-z-]*)(?![a-z-])[^;!]*(!\s*important)?", re.I)
+_feature = re.compile(r"\(\s*(min|max)-(width|height)\s*:\s*([0-9]*\.?[0-9]+)\s*(px|em|rem)\s*\)\Z")
+SCREEN = {"width": 1280, "height": 800}  # px of the page that media queries are asked of
+_useful = re.compile(r"hidden|style|class|id|type|open|start|value|reversed|colspan|rowspan|media", re.I)
 
 
 class Node:
@@ -139,7 +140,7 @@ def parse(doc: str) -> tuple[Node, list[str]]:
             inner = doc[i : e.start() if e else n]
             i = e.end() if e else n
             if tag == "style":
-                styles.append(inner)
+                styles.append(f"@media {node.attrs['media']}{{{inner}}}" if node.attrs.get("media") else inner)
             node.kids.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
             continue
         if len(stack) < DEPTH:
@@ -156,14 +157,78 @@ def attributes(s: str) -> dict[str, str]:
     return out
 
 
-def hiding(styles: list[str]) -> set[str]:
-    """Simple selectors (tag, .class, #id, tag.class, tag#id) that some rule hides."""
-    out = set()
+Rules = dict[str, dict[str, tuple[tuple, str]]]
+
+
+def declared(css: str) -> dict[str, tuple[bool, str]]:
+    """Display and visibility of a declaration block: (important, value), the last of the most important."""
+    out: dict[str, tuple[bool, str]] = {}
+    for m in _decl.finditer(css):
+        k, v = m[1].lower(), (bool(m[3]), m[2].lower())
+        if (k == "visibility") == (v[1] in ("none", "block", "flex", "grid", "contents", "list-item", "flow", "flow-root") or v[1].startswith(("inline", "table", "ruby"))) or k == "display" and v[1] in ("visible", "hidden", "collapse"):
+            continue
+        if k not in out or v[0] >= out[k][0]:
+            out[k] = v
+    return out
+
+
+def on_screen(query: str) -> bool:
+    """Whether a media query list holds for a screen of SCREEN; features other than widths and heights don't hold."""
+    for q in query.lower().split(","):
+        parts = [x.strip() for x in re.split(r"\sand\s|\sand(?=\()", " " + q.strip())]
+        no, ok = parts[0].startswith("not "), True
+        if parts[0] == "":
+            parts = parts[1:]
+        for x in parts:
+            x = re.sub(r"\A(?:not|only)\s+", "", x)
+            if m := _feature.match(x):
+                px = float(m[3]) * (1 if m[4] == "px" else 16)
+                ok &= SCREEN[m[2]] >= px if m[1] == "min" else SCREEN[m[2]] <= px
+            elif x not in ("all", "screen"):
+                ok &= False
+                no &= x in ("print", "speech")  # of what isn't known neither it nor its opposite holds
+        if ok != no:
+            return True
+    return not query.strip()
+
+
+def hiding(styles: list[str]) -> Rules:
+    """For simple selectors (tag, .class, #id, tag.class, tag#id) the winning display and visibility with their rank in the cascade."""
+    out: Rules = {}
+    order = 0
+
+    def read(css: str) -> None:
+        nonlocal order
+        i, n = 0, len(css)
+        while i < n:
+            j = css.find("{", i)
+            if j < 0:
+                return
+            head = css[i:j].rsplit(";", 1)[-1].strip()
+            depth, k = 1, j + 1
+            while k < n and depth:
+                depth += (css[k] == "{") - (css[k] == "}")
+                k += 1
+            body, i = css[j + 1 : k - 1 if not depth else n], k
+            name = head[1:].replace("(", " ").split()[:1] if head.startswith("@") else []
+            if head.startswith("@"):
+                if name in (["layer"], ["supports"]) and " not " not in f" {head[9:].lower()} " or name == ["media"] and on_screen(head[6:]):
+                    read(body)
+                continue
+            order += 1
+            for key, (important, value) in declared(body).items():
+                for sel in head.split(","):
+                    sel = sel.strip()
+                    if sel and _simple.match(sel):
+                        rank = (important, "#" in sel, "." in sel, sel[0] not in ".#", order)
+                        sel = sel if sel[0] in ".#" else re.sub(r"\A[A-Za-z0-9]+", lambda m: m[0].lower(), sel)
+                        had = out.setdefault(sel, {})
+                        if key not in had or rank > had[key][0]:
+                            had[key] = rank, value
+
     for css in styles:
-        if "none" in css or "hidden" in css or "collapse" in css:
-            for m in _rule.finditer(re.sub(r"/\*.*?\*/", "", css, flags=re.S)):
-                if _gone.search(m[2]):
-                    out |= {s.strip() for s in m[1].split(",") if s.strip() and _simple.match(s.strip())}
+        if "display" in css.lower() or "visibility" in css.lower():
+            read(re.sub(r"/\*.*?(?:\*/|\Z)|<!--|-->", "", css, flags=re.S))
     return out
 
 
@@ -236,29 +301,53 @@ class Out:
 
 
 class Renderer:
-    def __init__(self, hidden: set[str]):
-        self.hidden = hidden
+    def __init__(self, rules: Rules):
+        self.rules, self.visible = rules, True
+
+    def style(self, n: Node, key: str) -> str | None:
+        """The value that wins the cascade, None where nothing is declared."""
+        a, best = n.attrs, None
+        if self.rules:
+            for name in (n.tag, *(f"{p}.{c}" for c in a.get("class", "").split() for p in ("", n.tag)), *(f"{p}#{a['id']}" for p in ("", n.tag) if "id" in a)):
+                if (r := self.rules.get(name, {}).get(key)) and (best is None or r > best):
+                    best = r
+        if "style" in a and (d := declared(a["style"]).get(key)) and (best is None or d[0] >= best[0][0]):
+            return d[1]
+        return best[1] if best else None
 
     def seen(self, n: Node) -> bool:
         a = n.attrs
-        if n.tag in UNSEEN or "hidden" in a and a["hidden"].lower() != "until-found" or n.tag == "dialog" and "open" not in a or n.tag == "input" and a.get("type", "").lower() == "hidden":
-            return False
-        if "style" in a and _gone.search(a["style"]):
+        if n.tag in UNSEEN or n.tag == "input" and a.get("type", "").lower() == "hidden":
             return False
-        if self.hidden:
-            names = {n.tag, *(f"{p}.{c}" for c in a.get("class", "").split() for p in ("", n.tag)), *(f"{p}#{a['id']}" for p in ("", n.tag) if "id" in a)}
-            return not names & self.hidden
-        return True
+        shown = self.style(n, "display") if a or self.rules else None
+        if shown is None or shown.startswith("revert"):
+            return not ("hidden" in a and a["hidden"].lower() != "until-found" or n.tag == "dialog" and "open" not in a)
+        return shown != "none"
+
+    def enter(self, n: Node) -> bool:
+        """Take the visibility of n on; the one before is returned."""
+        was = self.visible
+        v = self.style(n, "visibility") if n.attrs or self.rules else None
+        if v in ("visible", "initial"):
+            self.visible = True
+        elif v in ("hidden", "collapse"):
+            self.visible = False
+        return was
 
     def node(self, n: Node, o: Out, pre: bool) -> None:
         if not self.seen(n):
             return
+        was = self.enter(n)
+        self.inside(n, o, pre)
+        self.visible = was
+
+    def inside(self, n: Node, o: Out, pre: bool) -> None:
         t = n.tag
         if t == "br":
             o.brk()
             return
         if t == "input":
-            if n.attrs.get("type", "").lower() in ("submit", "button", "reset", "text", "") and n.attrs.get("value"):
+            if n.attrs.get("type", "").lower() in ("submit", "button", "reset", "text", "") and n.attrs.get("value") and self.visible:
                 o.text(f" {n.attrs['value']} ")
             return
         if t == "table":
@@ -291,7 +380,8 @@ class Renderer:
     def kids(self, kids: list, o: Out, pre: bool) -> None:
         for k in kids:
             if isinstance(k, str):
-                (o.keep if pre else o.text)(k)
+                if self.visible:
+                    (o.keep if pre else o.text)(k)
             else:
                 self.node(k, o, pre)
 
@@ -306,25 +396,46 @@ class Renderer:
                 at = number(k.attrs.get("value", ""), at)
                 mark = f"{at}. " if n.tag == "ol" else "- "
                 at += step
-                was = o.indent
+                was, seen = o.indent, self.enter(k)
                 o.block(1)
-                o.bullet, o.indent = was + mark, was + " " * len(mark)
+                o.bullet, o.indent = was + mark if self.visible else "", was + " " * len(mark)
                 self.kids(k.kids, o, pre)
                 o.bullet, o.indent = "", was
+                self.visible = seen
                 o.block(1)
             elif isinstance(k, str):
-                o.text(k)
+                if self.visible:
+                    o.text(k)
             else:
                 self.node(k, o, pre)
 
     def table(self, n: Node, o: Out) -> None:
-        rows: list[list[tuple[list[str], int]]] = []
+        rows: list[list[tuple[list[str], int, int]]] = []  # lines, columns, the first column
         loose: list = []
+        held: list[int] = []  # rows for which each column is still taken from above
 
-        def cell(k: Node) -> tuple[list[str], int]:
-            sub = Out()
+        def cell(k: Node) -> list[str]:
+            was, sub = self.enter(k), Out()
             self.kids(k.kids, sub, False)
-            return sub.done().split("\n"), min(max(number(k.attrs.get("colspan", ""), 1), 1), 100)
+            self.visible = was
+            return sub.done().split("\n")
+
+        def place(cells: list[Node]) -> None:
+            row, at, new = [], 0, []
+            for k in cells:
+                while at < len(held) and held[at]:
+                    at += 1
+                span, down = min(max(number(k.attrs.get("colspan", ""), 1), 1), 100), number(k.attrs.get("rowspan", ""), 1)
+                row.append((cell(k), span, at))
+                new.append((at, span, 65534 if down == 0 else min(max(down, 1), 65534)))
+                at += span
+            held[:] = [max(h - 1, 0) for h in held]
+            for at, span, down in new:
+                held.extend([0] * (at + span - len(held)))
+                for c in range(at, at + span):
+                    held[c] = max(held[c], down - 1)
+            if row:
+                rows.append(row)
 
         def walk(kids: list) -> None:
             for k in kids:
@@ -334,19 +445,24 @@ class Renderer:
                 elif not self.seen(k):
                     continue
                 elif k.tag in ("thead", "tbody", "tfoot"):
+                    held.clear()  # cells end with their group of rows
+                    was = self.enter(k)
                     walk(k.kids)
+                    self.visible = was
+                    held.clear()
                 elif k.tag == "tr":
-                    row = []
+                    was, cells = self.enter(k), []
                     for c in k.kids:
                         if isinstance(c, Node) and c.tag in ("td", "th"):
                             if self.seen(c):
-                                row.append(cell(c))
+                                cells.append(c)
                         elif not isinstance(c, str) or c.strip():
-                            loose.append(c)
-                    if row:
-                        rows.append(row)
+                            if self.visible or not isinstance(c, str):
+                                loose.append(c)
+                    place(cells)
+                    self.visible = was
                 elif k.tag in ("td", "th"):
-                    rows.append([cell(k)])
+                    place([k])
                 elif k.tag not in ("col", "colgroup"):
                     loose.append(k)
 
@@ -356,20 +472,18 @@ class Renderer:
             o.block(1)
         width: list[int] = []
         for row in rows:
-            at = 0
-            for lines, span in row:
-                while len(width) < at + span:
-                    width.append(0)
+            for lines, span, at in row:
+                width.extend([0] * (at + span - len(width)))
                 if span == 1:
                     width[at] = max(width[at], *(len(x) for x in lines))
-                at += span
+        left = [0]
+        for w in width:
+            left.append(left[-1] + w + 2)
         for row in rows:
-            for r in range(max(len(lines) for lines, _ in row)):
-                at, line = 0, ""
-                for lines, span in row:
-                    w = sum(width[at : at + span]) + 2 * (span - 1)
-                    line += (lines[r] if r < len(lines) else "").ljust(w) + "  "
-                    at += span
+            for r in range(max(len(lines) for lines, _, _ in row)):
+                line = ""
+                for lines, span, at in row:
+                    line = line.ljust(left[at]) + (lines[r] if r < len(lines) else "").ljust(left[at + span] - left[at] - 2) + "  "
                 o.block(1)
                 if line.strip():
                     o.keep(line.rstrip())

@@ -62,3 +62,23 @@ def test_rows(spark):
     assert by[1].text is None and by[2].text == "" and by[3].text == "x" and by[None].text == "y" and by[4].text == "deep"
     assert by[5].n_chars == 5 * 200_000 - 1 and by[6].text == "<" * 2000
     assert extract(df.limit(0)).collect() == []
+
+
+SHOWN = [
+    ("<style>@media print{.nav{display:none}}</style><p class=nav>yes", "yes"),
+    ("<style>@media (max-width:600px){.m{display:none}} @media screen and (min-width:600px){.n{display:none}}</style><p class=m>yes<p class=n>no", "yes"),
+    ("<style media=print>p{display:none}</style><p>yes", "yes"),
+    ("<style>@media not print{p{display:none}}</style><p>no<div>yes</div>", "yes"),
+    ("<style>@import 'x'; .a{display:none}.a{display:block}</style><p class=a>yes", "yes"),
+    ("<style>#i{display:block}.a{display:none}.b{display:none!important}.b{display:block}</style><p class=a id=i>yes<p class=b>no", "yes"),
+    ("<style>.a{display:none}</style><p class=a style='display:block'>yes", "yes"),
+    ("<div style='visibility:hidden'>no<p style='visibility:visible'>yes</p>no</div>", "yes"),
+    ("<style>.h{visibility:hidden}.v{visibility:visible}</style><ul class=h><li>no<li class=v>yes</ul>", "- yes"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+]
+
+
+@pytest.mark.parametrize("doc,want", SHOWN)
+def test_cascade_media_and_rowspan(doc, want):
+    assert render(doc) == want
