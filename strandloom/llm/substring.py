@@ -1,9 +1,9 @@
-"""Substring dedup by seed and extend on winnowed anchors.
+"""Substring dedup by grouping window hashes per winnowed anchor.
 
 Every window of `window` consecutive words has one anchor: the least hash among its GRAM-word grams
 (the leftmost of equal ones). The choice depends on the window's words alone, so equal windows have equal
-anchors at equal offsets, and the windows of one anchor occurrence are neighbours. An occurrence is the
-seed; its windows' hashes say how far its match with another occurrence extends to either side.
+anchors at equal offsets, and the windows of one anchor occurrence are neighbours. Matches are
+found by grouping the windows' hashes within an anchor's bucket; no pair of documents is joined or extended.
 
 1. Each task reads its texts, groups windows by anchor occurrence and drops an occurrence whose whole
    context an earlier document of the task has: those windows are repeats whatever other tasks hold. So
