@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -19,6 +19,7 @@ CONF = {
 #: bytes of an Arrow batch that goes to Python, where the session names none: rows are texts of any length
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
 
 
 def session(master: str = "local[8]", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -48,17 +49,47 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, where all executors read and write. Local mode without one gets a temporary folder; elsewhere that is an error."""
+    sc = spark.sparkContext
+    if at := spark.conf.get("spark.checkpoint.dir", None):
+        return at
+    at = sc._jsc.sc().getCheckpointDir()
+    if at.isDefined():
+        return at.get()
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if sc.applicationId not in _folders:
+        _folders[sc.applicationId] = tempfile.mkdtemp(prefix="strandloom-")
+    return _folders[sc.applicationId]
+
+
+def _shuffles(plan, found: set[int]) -> set[int]:
+    """Ids of the shuffles that an executed plan wrote."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _shuffles(plan.executedPlan(), found)
+    if kind.endswith("QueryStageExec"):
+        return _shuffles(plan.plan(), found)
+    if kind == "ShuffleExchangeExec":
+        found.add(plan.shuffleId())
+    for many in (plan.children(), plan.subqueries()):
+        for i in range(many.size()):
+            _shuffles(many.apply(i), found)
+    return found
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the session names; a folder of our own only where none is set."""
+    """Cut the lineage with a reliable checkpoint in the shared folder, and remove the shuffle files that only its plan has."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandloom-"))
+        sc.setCheckpointDir(shared_folder(spark))
     out = df.checkpoint(eager=True)
-    # shuffle files go when the driver collects what refers to them; long plans would else keep all to their end
-    del df
-    gc.collect()
-    sc._jvm.System.gc()
+    # they would else stay until the driver collects the plan; whoever runs df again computes it again
+    if (cleaner := sc._jsc.sc().cleaner()).isDefined():
+        for i in _shuffles(df._jdf.queryExecution().executedPlan(), set()):
+            cleaner.get().doCleanupShuffle(i, False)
     return out
 
 
