@@ -171,6 +171,5 @@ def sanitize_name(x: Column | str) -> Column:
 def parse_uint32(x: Column | str) -> Column:
     """Digits only, up to 4294967295, else null."""
     c = F.col(x) if isinstance(x, str) else x
-    short = F.regexp_replace(c, "^0+(?=.)", "")
-    v = F.when(c.rlike("^[0-9]+$") & (F.length(short) <= 10), short.cast("long"))
+    v = F.when((F.translate(c, "0123456789", "") == "") & (c != ""), c.try_cast("long"))
     return F.when(v <= 4294967295, v)

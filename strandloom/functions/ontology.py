@@ -32,18 +32,25 @@ def lookup(df: DataFrame, dim: DataFrame, key: str, by: str = "label") -> DataFr
     return df.join(F.broadcast(dim.withColumnRenamed(by, "__k")), F.col(key) == F.col("__k"), "left").drop("__k")
 
 
-def short_id(label: Column | str) -> Column:
-    """Short id of a label of the built-in dimension, null if unknown."""
-    c = F.col(label) if isinstance(label, str) else label
-    out = F.when(c == TERMS[0][2], TERMS[0][0])
-    for s, _, name, _ in TERMS[1:]:
-        out = out.when(c == name, s)
-    return out
-
-
-def label_of(short: Column | str) -> Column:
-    c = F.col(short) if isinstance(short, str) else short
-    out = F.when(c == TERMS[0][0], TERMS[0][2])
-    for s, _, name, _ in TERMS[1:]:
-        out = out.when(c == s, name)
-    return out
+def _built_in(x: Column | str, by: int, out: int) -> Column:
+    c = F.col(x) if isinstance(x, str) else x
+    return F.try_element_at(F.create_map(*[F.lit(v) for t in TERMS for v in (t[by], t[out])]), c)
+
+
+def _loaded(dim: DataFrame, x: Column | str, by: str, out: str) -> Column:
+    """A look-up in a loaded dimension, which goes along as one map: an ontology has a few thousand terms."""
+    c = F.col(x) if isinstance(x, str) else x
+    pairs = dim.where(F.col(by).isNotNull()).groupBy(by).agg(F.min(out).alias(out))
+    return F.try_element_at(pairs.agg(F.map_from_entries(F.collect_list(F.struct(by, out)))).scalar(), c.cast(dict(dim.dtypes)[by]))
+
+
+def short_id(label: Column | str, dim: DataFrame | None = None) -> Column:
+    """Short id of a label of the dimension, the built-in one unless given; null if unknown."""
+    return _built_in(label, 2, 0) if dim is None else _loaded(dim, label, "label", "short_id")
+
+
+def label_of(short: Column | str, dim: DataFrame | None = None) -> Column:
+    """Label of a short id, likewise."""
+    if dim is not None:
+        return _loaded(dim, short, "short_id", "label")
+    return _built_in((F.col(short) if isinstance(short, str) else short).cast("int"), 0, 2)

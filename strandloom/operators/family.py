@@ -8,12 +8,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut
 from ..sources.gff import number
 from .graph import components
 
@@ -149,10 +147,10 @@ def best_hits(f: Family, scoring: str = "mean") -> DataFrame:
         raise ValueError("no relation to rank edges by")
     e = scored_edges(f, scoring)
     c = gene_components(f).select(F.col("gene_idx").alias("lo"), "component")
-    order: list[Column] = [F.col(r).asc() for r in ("dS", "dN") if r in f.relations] + ([F.col("identity").desc()] if "identity" in e.columns else [])
-    w = W.partitionBy("component").orderBy(*order)
-    e = e.join(c, "lo").withColumns({"__rank": F.rank().over(w), "__n": F.row_number().over(W.partitionBy("component").orderBy(*order, "lo", "hi"))})
-    e = e.where("__rank = 1").withColumn("tied", F.count("*").over(W.partitionBy("component")) > 1).where("__n = 1")
+    order: list[Column] = [F.col(r) for r in ("dS", "dN") if r in f.relations] + ([-F.col("identity")] if "identity" in e.columns else [])
+    # edges of one rank are counted on the way, so that both steps combine before they shuffle
+    ranked = e.join(c, "lo").groupBy("component", F.struct(*[x.alias(f"o{i}") for i, x in enumerate(order)]).alias("o")).agg(F.count("*").alias("n"), F.min(F.struct("lo", "hi", *[x for x in e.columns if x not in ("lo", "hi")])).alias("e"))
+    e = ranked.groupBy("component").agg(F.min_by(F.struct("n", "e"), "o").alias("b")).select("b.e.*", (F.col("b.n") > 1).alias("tied"))
     name = lambda c, out: f.genes.select(F.col("gene_idx").alias(c), F.col("id").alias(out))
     return e.join(name("q", "query"), "q").join(name("s", "subject"), "s").select("query", "subject", *[r for r in RELATIONS if r in f.relations], "tied")
 
@@ -175,21 +173,33 @@ def _cells(pairs: DataFrame, row_idx: str) -> tuple[DataFrame, DataFrame]:
 def _mutual(cells: DataFrame, score: Column, lowest: bool = False) -> DataFrame:
     """Candidates (i, j): j is the best of row i, and i the best of column j; the first index wins ties."""
     c = cells.withColumn("score", score)
-    c = c if lowest else c.where("score > 0")
-    way = F.col("score").asc() if lowest else F.col("score").desc()
-    row = c.withColumn("n", F.row_number().over(W.partitionBy("i").orderBy(way, "j"))).where("n = 1").select("i", "j")
-    col = c.withColumn("n", F.row_number().over(W.partitionBy("j").orderBy(way, "i"))).where("n = 1").select("i", "j")
+    c = (c if lowest else c.where("score > 0")).select("i", "j", (F.col("score") if lowest else -F.col("score")).alias("s"))
+    row = c.groupBy("i").agg(F.min(F.struct("s", "j")).alias("b")).select("i", "b.j")
+    col = c.groupBy("j").agg(F.min(F.struct("s", "i")).alias("b")).select("b.i", "j")
     return row.join(col, ["i", "j"])
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    taken: set[int] = set()
-    keep = []
-    for i, j in pdf.sort_values("i")[["i", "j"]].itertuples(index=False):
-        if i not in taken and j not in taken:
-            keep.append((i, j))
-            taken |= {i, j}
-    return pd.DataFrame(keep, columns=["i", "j"], dtype="int64")
+def _greedy(found: DataFrame) -> DataFrame:
+    """The candidates that remain if they are taken in order of i, and each gene once.
+
+    A candidate (i, j) meets the one that ends in i and the one that begins with j, no others. Where both of these come
+    later it is taken; where one comes earlier it is taken if that one isn't; where both do, if neither is. So a candidate
+    with one earlier neighbour depends on how far a line of such neighbours goes, which pointers that double tell.
+    """
+    near = found.select("i", "j").join(found.select(F.col("j").alias("i"), F.col("i").alias("p")), "i", "left").join(found.select(F.col("i").alias("j"), F.lit(True).alias("on")), "j", "left")
+    near = near.select(F.col("i").alias("id"), F.col("j").alias("n"), F.array_distinct(F.filter(F.array("p", F.when(F.col("on"), F.col("j"))), lambda k: k < F.col("i"))).alias("early"))
+    e = cut(near.select("id", "n", "early", F.when(F.size("early") == 1, F.col("early")[0]).otherwise(F.col("id")).alias("to"), F.when(F.size("early") == 1, 1).otherwise(0).cast("long").alias("d")))
+    while True:
+        far = e.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"))
+        step = e.join(far, "to").select("id", "n", "early", F.col("to2").alias("to"), (F.col("d") + F.col("d2")).alias("d"), (F.col("to") != F.col("to2")).alias("moved"))
+        e = cut(step)
+        if e.where("moved").isEmpty():
+            break
+    taken = e.where("size(early) < 2 and d % 2 = 0").select("id", "n")
+    last = e.where("size(early) = 2").select("id", "n", F.explode("early").alias("k"))
+    held = last.join(taken.select(F.col("id").alias("k")), "k", "left_semi").select("id").distinct()
+    last = last.select("id", "n").distinct().join(held, "id", "left_anti")
+    return taken.union(last).select(F.col("id").alias("i"), F.col("n").alias("j"))
 
 
 def pair_best_hits(pairs: DataFrame, row_idx: str, scoring: str = "max") -> DataFrame:
@@ -208,10 +218,7 @@ def pair_best_hits(pairs: DataFrame, row_idx: str, scoring: str = "max") -> Data
     score = {"max": F.greatest("own", "other"), "mean": (F.col("own") + F.col("other")) / 2, "double_max": F.col("own"), "ds": F.col("own")}[s]
     found = _mutual(cells.where("i <> j"), score, s == "ds")
     if s == "double_max":
-        ship(pairs.sparkSession)
-        # candidates form paths and rings; each is walked in index order
-        comp = components(found.select(F.col("i").alias("a"), F.col("j").alias("b")))
-        found = found.join(comp.withColumnRenamed("node", "i"), "i").groupBy("root").applyInPandas(lambda pdf: _greedy(pdf), "i long, j long")
+        found = _greedy(cut(found))
     else:
         found = found.where("i < j")
     name = lambda c, out: genes.select(F.col("i").alias(c), F.col("id").alias(out))

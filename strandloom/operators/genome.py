@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, ontology
+from ..sources import gff
+
+@dataclass(frozen=True)
+class Species:
+    """A name with its genome, a features table."""
+
+    name: str
+    taxon_id: str = ""
+    features: DataFrame | None = None
+
+    def with_annotation(self, spark: SparkSession, paths: str | list[str], dim: DataFrame | None = None, sanitize: bool = True) -> Species:
+        """The species with the features of GFF3 files after those it has, numbered on."""
+        more = gff.read_gff(spark, paths, dim, sanitize)
+        if self.features is not None:
+            more = more.withColumn("feature_idx", F.col("feature_idx") + self.features.agg(F.coalesce(F.max("feature_idx"), F.lit(0))).scalar())
+            more = self.features.unionByName(more)
+        return Species(self.name, self.taxon_id, more)
+
 
 ORDER = ("scaffold", "start_pos", "end_pos", "feature_idx")
 
@@ -35,16 +55,16 @@ def by_index(features: DataFrame, index: int) -> DataFrame:
     return features.where(F.col("feature_idx") == index)
 
 
-def with_code(features: DataFrame) -> DataFrame:
-    """features with the packed code of index, strand and term."""
-    return features.withColumn("code", codec.pack_metadata("feature_idx", "strand", ontology.short_id("feature_type")))
+def with_code(features: DataFrame, dim: DataFrame | None = None) -> DataFrame:
+    """features with the packed code of index, strand and term, 0 for a type that the ontology doesn't have."""
+    return features.withColumn("code", codec.pack_metadata("feature_idx", "strand", F.coalesce(ontology.short_id("feature_type", dim), F.lit(0))))
 
 
-def record(intervals: DataFrame, features: DataFrame) -> DataFrame:
+def record(intervals: DataFrame, features: DataFrame, dim: DataFrame | None = None) -> DataFrame:
     """Intervals (scaffold, start_pos, end_pos, code) with what their code says; '' where nothing is known."""
     meta = features.select("feature_idx", "id", "source", "biotype")
     x = intervals.withColumn("feature_idx", codec.parse_index("code")).join(meta, "feature_idx", "left")
-    return x.select("scaffold", "start_pos", "end_pos", F.coalesce("id", F.lit("")).alias("id"), F.coalesce(ontology.label_of(codec.parse_term("code")), F.lit("")).alias("feature_type"), codec.parse_strand("code").alias("strand"), F.when(F.col("id").isNull(), F.array().cast("array<string>")).otherwise(F.array("id", "source", "biotype")).alias("metadata"))
+    return x.select("scaffold", "start_pos", "end_pos", F.coalesce("id", F.lit("")).alias("id"), F.coalesce(ontology.label_of(codec.parse_term("code"), dim), F.lit("")).alias("feature_type"), codec.parse_strand("code").alias("strand"), F.when(F.col("id").isNull(), F.array().cast("array<string>")).otherwise(F.array("id", "source", "biotype")).alias("metadata"))
 
 
 def metadata(features: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Interval joins and sweeps over closed intervals (scaffold, start_pos, end_pos).
 
-Joins are equi-joins on (scaffold, bin): an interval is listed under the bins it touches, and a pair is kept in
-the bin where its overlap begins, once. Sweeps cut intervals at coarse bins, so that a scaffold is swept by as
+Joins are equi-joins on (scaffold, level, bin). An interval's level is the least whose bins are as wide as it, so it
+touches two bins at most there and on every coarser level. A pair meets on the level of its longer interval, in the bin
+where the overlap begins, once; an interval is listed on its own level and on those coarser ones that the other side
+has, which one aggregate over each side tells. Sweeps cut intervals at coarse bins, so that a scaffold is swept by as
 many tasks as it has bins; the shuffle key always includes the bin, as scaffolds are few.
 """
 
@@ -11,26 +13,60 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COARSE = 1 << 20
+#: bins are 512 bases wide on level 0 and 8 times as wide on each further one; the last holds any interval
+FINEST, STEP, LEVELS = 512, 3, 12
 
 
 def _bins(df: DataFrame, lo: str, hi: str, width: int) -> DataFrame:
     return df.withColumn("__bin", F.explode(F.sequence(F.expr(f"{lo} div {width}"), F.expr(f"{hi} div {width}"))))
 
 
-def overlap_join(a: DataFrame, b: DataFrame, width: int = 512) -> DataFrame:
+def _level(lo: Column, hi: Column) -> Column:
+    n = hi - lo + 1
+    out = F.lit(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        out = F.when(n <= FINEST << (STEP * k), k).otherwise(out)
+    return out
+
+
+def _levels(df: DataFrame) -> Column:
+    """The levels that a table with __l has, one small array."""
+    return df.agg(F.sort_array(F.collect_set("__l")).alias("l")).scalar()
+
+
+def _cells(lo: str, hi: str, levels: str) -> Column:
+    """The (__level, __bin) that an interval touches on each of some levels, one row each."""
+    return F.expr(f"inline(flatten(transform({levels}, k -> transform(sequence({lo} div {_width('k')}, {hi} div {_width('k')}), b -> named_struct('__level', k, '__bin', b)))))")
+
+
+def _width(level: str) -> str:
+    return f"shiftleft({FINEST}L, {level} * {STEP})"
+
+
+def _listed(df: DataFrame, lo: str, hi: str, levels: Column) -> DataFrame:
+    """Rows on their own level, if the other side has it or finer ones, and on the other side's coarser levels."""
+    own = "if(exists(__levels, k -> k <= __l), array(__l), cast(array() as array<int>))"
+    return df.withColumn("__levels", levels).select(*df.columns, _cells(lo, hi, f"concat({own}, filter(__levels, k -> k > __l))"))
+
+
+def overlap_join(a: DataFrame, b: DataFrame) -> DataFrame:
     """All pairs that overlap: a's columns, b's others (start and end as b_start, b_end), frag_start and frag_end."""
     b = b.withColumnsRenamed({"start_pos": "b_start", "end_pos": "b_end"})
-    x = _bins(a, "start_pos", "end_pos", width).join(_bins(b, "b_start", "b_end", width), ["scaffold", "__bin"])
-    start, end = F.greatest("start_pos", "b_start"), F.least("end_pos", "b_end")
-    x = x.withColumns({"frag_start": start, "frag_end": end})
-    return x.where((F.col("frag_start") <= F.col("frag_end")) & (F.expr(f"frag_start div {width}") == F.col("__bin"))).drop("__bin")
+    a = a.withColumn("__l", _level(F.col("start_pos"), F.col("end_pos")))
+    b = b.withColumn("__l", _level(F.col("b_start"), F.col("b_end")))
+    x = _listed(a, "start_pos", "end_pos", _levels(b)).withColumnRenamed("__l", "__a")
+    x = x.join(_listed(b, "b_start", "b_end", _levels(a)).withColumnRenamed("__l", "__b"), ["scaffold", "__level", "__bin"])
+    x = x.where(F.col("__level") == F.greatest("__a", "__b"))
+    x = x.withColumns({"frag_start": F.greatest("start_pos", "b_start"), "frag_end": F.least("end_pos", "b_end")})
+    return x.where(f"frag_start <= frag_end and frag_start div {_width('__level')} = __bin").drop("__bin", "__level", "__a", "__b")
 
 
-def point_join(regions: DataFrame, points: DataFrame, lo: str = "start_pos", hi: str = "end_pos", width: int = 512, how: str = "inner") -> DataFrame:
-    """Pairs of a region and a point (scaffold, pos) in it. A point has one bin, so no pair comes twice."""
-    r = _bins(regions, f"greatest({lo}, 0)", f"greatest({hi}, 0)", width)
-    p = points.withColumn("__bin", F.expr(f"pos div {width}"))
-    return r.join(p, ["scaffold", "__bin"]).where(F.col("pos").between(F.col(lo), F.col(hi))).drop("__bin")
+def point_join(regions: DataFrame, points: DataFrame, lo: str = "start_pos", hi: str = "end_pos") -> DataFrame:
+    """Pairs of a region and a point (scaffold, pos) in it. A point has one bin on each level that regions have."""
+    r = regions.withColumn("__l", _level(F.greatest(lo, F.lit(0)), F.greatest(hi, F.lit(0))))
+    p = points.select("*", F.explode(_levels(r)).alias("__level")).withColumn("__bin", F.expr(f"pos div {_width('__level')}"))
+    r = r.select(*regions.columns, _cells(f"greatest({lo}, 0)", f"greatest({hi}, 0)", "array(__l)"))
+    return r.join(p, ["scaffold", "__level", "__bin"]).where(F.col("pos").between(F.col(lo), F.col(hi))).drop("__level", "__bin")
 
 
 def left_join_on(left: DataFrame, right: DataFrame, on: str = "metadata") -> DataFrame:
@@ -71,15 +107,14 @@ def depth(df: DataFrame, merge: bool = True, coarse: int = COARSE, most: int = 6
     With `merge`, overlapping intervals of one measurement count once. Runs end at multiples of `coarse`. More
     than `most` measurements are an error.
     """
+    n = df.agg(F.countDistinct("measurement")).scalar()
     if merge:
         df = merge_segments(df, ("measurement", "scaffold"), coarse)
-    n = df.select("measurement").distinct().count()
-    if n > most:
-        raise ValueError(f"{n} measurements; {most} are supported")
     x = _bins(df.select("scaffold", "start_pos", "end_pos"), "start_pos", "end_pos", coarse)
     s, e = F.expr(f"greatest(start_pos, __bin * {coarse})"), F.expr(f"least(end_pos + 1, (__bin + 1) * {coarse})")
     events = x.select("scaffold", "__bin", F.explode(F.array(F.struct(s.alias("p"), F.lit(1).alias("d")), F.struct(e.alias("p"), F.lit(-1).alias("d")))).alias("v"))
     events = events.groupBy("scaffold", "__bin", "v.p").agg(F.sum("v.d").alias("d")).where("d <> 0")
     w = Window.partitionBy("scaffold", "__bin").orderBy("p")
     runs = events.select("scaffold", F.col("p").alias("start_pos"), (F.lead("p").over(w) - 1).alias("end_pos"), F.sum("d").over(w).alias("count"))
-    return runs.where("end_pos is not null")
+    many = F.raise_error(F.concat(n.cast("string"), F.lit(f" measurements; {most} are supported"))).cast("boolean")
+    return runs.where(F.col("end_pos").isNotNull() & F.when(n > most, many).otherwise(True))

@@ -6,13 +6,18 @@ closed forms.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import codec
+from ..session import ship
 from .intervals import overlap_join, point_join
+from .tabular import quantiles
 
 MIN_DEPTH = 5
 
@@ -84,6 +89,19 @@ def project_calls(features: DataFrame, calls: DataFrame, feature_type: str, flan
     return f.select("feature_idx", (F.col("r_hi") - F.col("r_lo") + 1).alias("region_len")).join(x, "feature_idx", "left")
 
 
+def _body(x: DataFrame, flank: int, bins: int) -> DataFrame:
+    """(feature_idx, slot, v): each run's share of the points that interpolate a feature's body."""
+    body = x.where((F.col("rel_end") > flank) & (F.col("rel_start") <= F.col("region_len") - flank))
+    body = body.withColumns({"a": F.greatest(F.col("rel_start") - flank - 1, F.lit(0)), "z": F.least(F.col("rel_end") - flank - 1, F.col("L") - 1)})
+    # point k lies at x = k (L - 1) / (bins - 1); a run over [a, z] gives it count * clamp(min(x - a + 1, z + 1 - x))
+    lo = F.expr(f"greatest(0, ceil((a - 1) * {bins - 1} / (L - 1)))").cast("long")
+    hi = F.expr(f"least({bins - 1}, floor((z + 1) * {bins - 1} / (L - 1)))").cast("long")
+    body = body.withColumns({"lo": lo, "hi": hi}).where("lo <= hi").withColumn("k", F.explode(F.sequence("lo", "hi")))
+    at = F.col("k") * (F.col("L") - 1) / F.lit(float(bins - 1))
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), at - F.col("a") + 1, F.col("z") + 1 - at))
+    return body.select("feature_idx", (F.col("k") + flank + 1).alias("slot"), (F.col("count") * share).alias("v"))
+
+
 def profile_runs(projected: DataFrame, n: int, flank: int, bins: int) -> DataFrame:
     """(feature_idx, slot, value): depth / n in flank + bins + flank slots of every feature of length 2 * flank + 2 or more.
 
@@ -97,15 +115,7 @@ def profile_runs(projected: DataFrame, n: int, flank: int, bins: int) -> DataFra
     up = x.where(F.col("rel_start") <= flank).select("feature_idx", F.explode(F.sequence("rel_start", F.least("rel_end", F.lit(flank).cast("long")))).alias("slot"), F.col("count").cast("double").alias("v"))
     first = F.greatest("rel_start", F.col("region_len") - flank + 1)
     down = x.where(F.col("rel_end") > F.col("region_len") - flank).select("feature_idx", F.explode(F.sequence(first, F.col("rel_end"))).alias("b"), "L", F.col("count").cast("double").alias("v")).select("feature_idx", (F.col("b") - F.col("L") + bins).alias("slot"), "v")
-    body = x.where((F.col("rel_end") > flank) & (F.col("rel_start") <= F.col("region_len") - flank))
-    body = body.withColumns({"a": F.greatest(F.col("rel_start") - flank - 1, F.lit(0)), "z": F.least(F.col("rel_end") - flank - 1, F.col("L") - 1)})
-    # point k lies at x = k (L - 1) / (bins - 1); a run over [a, z] gives it count * clamp(min(x - a + 1, z + 1 - x))
-    lo = F.expr(f"greatest(0, ceil((a - 1) * {bins - 1} / (L - 1)))").cast("long")
-    hi = F.expr(f"least({bins - 1}, floor((z + 1) * {bins - 1} / (L - 1)))").cast("long")
-    body = body.withColumns({"lo": lo, "hi": hi}).where("lo <= hi").withColumn("k", F.explode(F.sequence("lo", "hi")))
-    at = F.col("k") * (F.col("L") - 1) / F.lit(float(bins - 1))
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), at - F.col("a") + 1, F.col("z") + 1 - at))
-    body = body.select("feature_idx", (F.col("k") + flank + 1).alias("slot"), (F.col("count") * share).alias("v"))
+    body = _body(x, flank, bins)
     return up.union(body).union(down).groupBy("feature_idx", "slot").agg((F.sum("v") / n).alias("value")).where("value <> 0")
 
 
@@ -135,12 +145,30 @@ def _slots(df: DataFrame, n: int) -> DataFrame:
 
 
 def mean_profile_runs(projected: DataFrame, n: int, flank: int, bins: int, exclude: DataFrame | None = None) -> DataFrame:
-    """(slot, value): mean profile of all features of sufficient length, zeros included; exclude: a table of feature_idx."""
+    """(slot, value): mean profile of all features of sufficient length, zeros included; exclude: a table of feature_idx.
+
+    Flanks are summed as steps up and down where runs begin and end, so no base is listed.
+    """
+    if bins < 2:
+        raise ValueError("bins must be 2 or more")
     x = projected if exclude is None else projected.join(exclude, "feature_idx", "left_anti")
-    genes = x.where(F.col("region_len") >= 2 * flank + 2).agg(F.countDistinct("feature_idx").alias("genes")).scalar()
-    sums = profile_runs(x, n, flank, bins).groupBy("slot").agg(F.sum("value").alias("s"))
-    full = _slots(x, 2 * flank + bins).join(sums, "slot", "left").withColumn("genes", genes)
-    return full.select("slot", F.when(F.col("genes") > 0, F.coalesce("s", F.lit(0.0)) / F.greatest("genes", F.lit(1))).otherwise(0.0).alias("value"))
+    x = x.where(F.col("region_len") >= 2 * flank + 2)
+    genes = x.agg(F.countDistinct("feature_idx").alias("genes")).scalar()
+    x = x.where(F.col("count").isNotNull()).withColumn("L", F.col("region_len") - 2 * flank)
+    step = lambda at, v: F.struct(at.cast("long").alias("slot"), v.cast("double").alias("v"))
+    end, first = F.least("rel_end", F.lit(flank)), F.greatest("rel_start", F.col("region_len") - flank + 1)
+    shift = F.lit(bins) - F.col("L")
+    up, down = F.col("rel_start") <= flank, F.col("rel_end") > F.col("region_len") - flank
+    c = F.col("count")
+    steps = F.concat(F.when(up, F.array(step(F.col("rel_start"), c), step(end + 1, -c))).otherwise(F.array().cast("array<struct<slot:bigint,v:double>>")), F.when(down, F.array(step(first + shift, c), step(F.col("rel_end") + 1 + shift, -c))).otherwise(F.array().cast("array<struct<slot:bigint,v:double>>")))
+    total = 2 * flank + bins
+    # whole numbers, at most one row a slot
+    steps = x.select(F.inline(steps)).groupBy("slot").agg(F.sum("v").alias("v"))
+    upper = F.sum(F.coalesce("v", F.lit(0.0))).over(W.orderBy("slot"))
+    flanks = _slots(x, total).join(steps, "slot", "left").select("slot", F.when((F.col("slot") <= flank) | (F.col("slot") > flank + bins), upper).otherwise(0.0).alias("f"))
+    sums = _body(x, flank, bins).groupBy("slot").agg(F.sum("v").alias("s"))
+    full = flanks.join(sums, "slot", "left").withColumn("genes", genes)
+    return full.select("slot", F.when(F.col("genes") > 0, (F.coalesce("s", F.lit(0.0)) + F.col("f")) / n / F.greatest("genes", F.lit(1))).otherwise(0.0).alias("value"))
 
 
 def mean_profile_calls(projected: DataFrame, flank: int, bins: int, by_depth: bool = True, transform: Callable[[Column], Column] | None = None, exclude: DataFrame | None = None) -> DataFrame:
@@ -151,21 +179,42 @@ def mean_profile_calls(projected: DataFrame, flank: int, bins: int, by_depth: bo
     return _slots(x, 2 * flank + bins).join(sums, "slot", "left").select("slot", F.coalesce("v", F.lit(float("nan"))).alias("value"))
 
 
+def _smooth(points: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        head, mass = pdf.iloc[0], np.zeros(points)
+        np.add.at(mass, pdf["k"].to_numpy(), pdf["c"].to_numpy())
+        step = (head["hi"] - head["lo"] + 8 * head["h"]) / (points - 1)
+        z = np.arange(1 - points, points) * (step / head["h"])
+        kernel = np.exp(-0.5 * z * z)
+        k = np.arange(points)
+        out = pd.DataFrame({"k": k.astype("int32"), "x": head["lo"] - 4 * head["h"] + k * step, "density": np.convolve(mass, kernel)[points - 1 : 2 * points - 1] / (head["n"] * head["h"] * math.sqrt(2 * math.pi))})
+        for i, c in enumerate(pdf.columns[6:]):
+            out.insert(i, c, head[c])
+        return out
+
+    return f
+
+
 def kde(values: DataFrame, points: int = 2048, by: tuple[str, ...] = ("scaffold",), value: str = "value") -> DataFrame:
-    """(by, x, density): Gaussian kernel estimate on `points` grid points over [min - 4h, max + 4h].
+    """(by, k, x, density): Gaussian kernel estimate on `points` grid points over [min - 4h, max + 4h].
 
-    h = 0.9 min(sd, IQR / 1.34) n^-0.2. Equal values are counted first, so the grid meets distinct values only.
-    A group whose spread is zero, or of one value, has no estimate. `by` names one column at least.
+    h = 0.9 min(sd, IQR / 1.34) n^-0.2. Each value is shared linearly by its two grid points, and the grid is smoothed, so
+    one task holds `points` numbers of a group whatever its size. A group whose spread is zero, or of one value, has no
+    estimate. `by` names one column at least.
     """
-    v = values.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
-    stats = v.groupBy(*by).agg(F.count("*").alias("n"), F.stddev_samp(value).alias("sd"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    ship(values.sparkSession)
+    v = values.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))).select(*by, F.col(value).cast("double").alias("__v"))
+    stats = v.groupBy(*by).agg(F.count("*").alias("n"), F.stddev_samp("__v").alias("sd"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+    stats = stats.join(quantiles(v, list(by), "__v", [0.25, 0.75]), list(by))
     iqr = (F.col("q")[1] - F.col("q")[0]) / 1.34
     spread = F.when(iqr > 0, F.least("sd", iqr)).otherwise(F.col("sd"))
-    stats = stats.withColumn("h", F.lit(0.9) * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))).where("h > 0")
-    counts = v.groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    grid = stats.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.expr(f"lo - 4 * h + k * ((hi - lo + 8 * h) / {points - 1})"))
-    z = (F.col("x") - F.col("v")) / F.col("h")
-    # each group's grid has a fixed number of points
-    pairs = counts.join(grid, list(by))
-    out = pairs.groupBy(*by, "k", "x", "n", "h").agg(F.sum(F.col("c") * F.exp(-0.5 * z * z)).alias("s"))
-    return out.select(*by, "k", "x", (F.col("s") / (F.col("n") * F.col("h") * F.lit(2.5066282746310002))).alias("density"))
+    stats = stats.select(*by, "n", "lo", "hi", (F.lit(0.9) * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h")).where("h > 0")
+    x = v.join(stats, list(by)).withColumn("__x", F.expr(f"(__v - lo + 4 * h) / ((hi - lo + 8 * h) / {points - 1})")).withColumn("__k", F.floor("__x"))
+    part = F.col("__x") - F.col("__k")
+    shares = F.inline(F.array(F.struct(F.col("__k").alias("k"), (1 - part).alias("c")), F.struct((F.col("__k") + 1).alias("k"), part.alias("c"))))
+    grid = x.select(*by, shares).groupBy(*by, "k").agg(F.sum("c").alias("c")).where(F.col("k").between(0, points - 1))
+    grid = grid.join(stats, list(by)).select("k", "c", "n", "lo", "hi", "h", *by)
+    kinds = dict(values.dtypes)
+    return grid.groupBy(*by).applyInPandas(_smooth(points), ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", k int, x double, density double")

@@ -6,6 +6,7 @@ matrices for windows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import codec, ontology
 from ..operators import family as fam
 from ..operators import genome, intervals, signal, tabular
-from ..sources import bed, calls, gff, table
+from ..session import shared_folder
+from ..sources import arrow, bed, calls, gff, table
 from .fixtures import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,7 +107,7 @@ def parse_gff(spark, d):
     attrs = F.concat(F.when(i % 5 == 0, F.concat(F.lit("ID=a,"), "id")).otherwise(F.concat(F.lit("ID=gene:"), "id")), F.when(i % 2 == 0, ";gene_biotype=protein_coding").otherwise(";Note=x%2Cy"))
     line = F.concat_ws("\t", "scaffold", F.when(i % 3 == 0, ".").otherwise("RefSeq"), "feature_type", "start_pos", "end_pos", F.lit("."), codec.strand_char("strand"), F.lit("."), attrs)
     lines = x.select("feature_idx", line.alias("value")).union(spark.createDataFrame([(-1, "##gff-version 3"), (-2, "chr1\tx\tunheard_of\t1\t2\t.\t+\t.\tID=z"), (-3, "short\tline")], "feature_idx long, value string"))
-    return gff.parse(lines).select("feature_idx", "scaffold", "start_pos", "end_pos", "strand", "feature_type", "id", "source", "biotype")
+    return gff.parse(lines, ontology.terms(spark)).select("feature_idx", "scaffold", "start_pos", "end_pos", "strand", "feature_type", "id", "source", "biotype")
 
 
 @query("SELECT scaffold, start_pos, end_pos, CASE WHEN start_pos % 3 = 0 THEN 3 ELSE strand END::INT AS strand FROM fx_bed")
@@ -221,9 +223,9 @@ def merge_calls(spark, d):
     return merged_calls(spark, d).select("scaffold", "pos", "context", "strand", long("payload", "payload"))
 
 
-@query(f"SELECT scaffold, pos, payload FROM ({MERGED}) WHERE pos BETWEEN 50000 AND 60000 AND scaffold = 'chr2'")
+@query(f"SELECT scaffold, pos, payload FROM ({MERGED}) WHERE pos BETWEEN 10000 AND 20000 AND scaffold = 'chr2'")
 def calls_in_range(spark, d):
-    return calls.in_range(merged_calls(spark, d), 50000, 60000, "chr2").select("scaffold", "pos", long("payload", "payload"))
+    return calls.in_range(merged_calls(spark, d), 10000, 20000, "chr2").select("scaffold", "pos", long("payload", "payload"))
 
 
 @query("SELECT scaffold, count(DISTINCT pos)::BIGINT AS n FROM fx_calls_raw GROUP BY scaffold")
@@ -233,14 +235,65 @@ def n_sites(spark, d):
 
 @query(f"SELECT scaffold, pos, 0::INT AS context, 0::INT AS strand, payload FROM ({MERGED})")
 def calls_roundtrip(spark, d):
-    import tempfile
-    import uuid
-
-    at = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='strandloom-')}/calls-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/calls-{uuid.uuid4().hex}"
     calls.write(merged_calls(spark, d).select("scaffold", "pos", "context", "strand", "payload"), at)
     return calls.read(spark, at).select("scaffold", "pos", "context", "strand", "payload")
 
 
+def own_folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT l_orderkey, l_linenumber, 'chr ' || l_linenumber || '|' || l_returnflag AS name, 'chr_' || l_linenumber || '_' || l_returnflag AS clean FROM lineitem")
+def sanitize_name(spark, d):
+    name = F.concat(F.lit("chr "), "l_linenumber", F.lit("|"), "l_returnflag")
+    return table_of(spark, d, "lineitem").select("l_orderkey", "l_linenumber", name.alias("name"), codec.sanitize_name(name).alias("clean"))
+
+
+# sets 1 to 7 fold one after another; a is the payload so far and b the next one
+_m, _u = "(({0} % 65536 * 2 * ({0} // 65536 % 256) + 255) // 510)", "({0} % 65536)"
+_both = [f"({_m.format('a')} + {_m.format('b')})", f"({_u.format('a')} - {_m.format('a')} + {_u.format('b')} - {_m.format('b')})"]
+
+
+@query(f"SELECT scaffold, pos, 0::INT AS context, 0::INT AS strand, list_reduce(list(payload ORDER BY file_idx), lambda a, b: {pack_sql(*_both, '0', '0')}) AS payload FROM ({COV}) GROUP BY scaffold, pos")
+def merge_calls_exact(spark, d):
+    return calls.merge(coverage_sets(spark, d), "file_idx", exact_fold=True).select("scaffold", "pos", "context", "strand", long("payload", "payload"))
+
+
+@query(f"SELECT scaffold, pos, 0::INT AS context, 1::INT AS strand, {pack_sql('m', 'u', '0', '1')} AS payload FROM (SELECT scaffold, pos, sum(meth)::BIGINT AS m, sum(unmeth)::BIGINT AS u FROM fx_calls_raw GROUP BY ALL)")
+def calls_of_counts(spark, d):
+    x = view(spark, d, "fx_calls_raw").groupBy("scaffold", "pos").agg(F.sum("meth").alias("meth"), F.sum("unmeth").alias("unmeth"))
+    return calls.aggregated(x.withColumns({"context": F.lit(codec.CPG), "strand": F.lit(codec.REV)})).select("scaffold", "pos", "context", "strand", long("payload", "payload"))
+
+
+@query(f"SELECT scaffold, pos, 0::INT AS context, 0::INT AS strand, payload FROM ({MERGED})")
+def read_call_files(spark, d):
+    """Seven gzipped coverage files, one for each set, read by path."""
+    at = own_folder(spark, "cov")
+    x = view(spark, d, "fx_calls_raw")
+    lines = x.select("file_idx", F.concat_ws("\t", "scaffold", "pos", "pos", F.lit("50.0"), "meth", "unmeth").alias("value"))
+    lines.repartition("file_idx").write.partitionBy("file_idx").option("compression", "gzip").text(at)
+    return calls.read_coverage(spark, at, codec.CPG, codec.FWD).select("scaffold", "pos", "context", "strand", long("payload", "payload"))
+
+
+@query("SELECT scaffold, pos, context::INT AS context, 3::INT AS strand, " + pack_sql("m", "u", "context", "3") + " AS payload FROM (SELECT scaffold, pos, context, sum(meth % 3)::BIGINT AS m, sum(unmeth % 2)::BIGINT AS u FROM fx_calls_raw GROUP BY ALL) WHERE m + u > 0")
+def read_read_files(spark, d):
+    """Per-read files by path, sites of one file each; names that say nothing give an unknown strand."""
+    x = view(spark, d, "fx_calls_raw").withColumn("c", F.col("context"))
+    letter = lambda s: F.substring(F.lit(s), F.col("c") + 1, F.lit(1))
+    reads = F.concat(F.array_repeat(letter("ZXH"), F.col("meth") % 3), F.array_repeat(letter("zxh"), F.col("unmeth") % 2))
+    at = own_folder(spark, "reads")
+    x.select("scaffold", F.explode(reads).alias("l"), "pos").repartition("scaffold").select(F.concat_ws("\t", F.lit("read"), F.lit("+"), "scaffold", "pos", "l").alias("value")).write.text(at)
+    return calls.read_reads(spark, at).select("scaffold", "pos", "context", F.col("strand").cast("int"), long("payload", "payload"))
+
+
+@query(f"SELECT scaffold, pos, 0::INT AS context, 0::INT AS strand, payload FROM ({MERGED})")
+def arrow_roundtrip(spark, d):
+    at = own_folder(spark, "arrow")
+    arrow.write_folder(merged_calls(spark, d), at.removeprefix("file:"), most=5000)
+    return arrow.read_folder(spark, at.removeprefix("file:")).select("scaffold", "pos", "context", "strand", "payload")
+
+
 # --- features and tables ------------------------------------------------------------------------------------
 
 FEATURE = ["feature_idx", "scaffold", "start_pos", "end_pos", "feature_type", "id"]
@@ -344,6 +397,44 @@ def table_slice(spark, d):
     return loaded(spark, d).where("row_idx between 10 and 30").select("row_idx", "v1")
 
 
+@query(f'SELECT row_idx, CASE WHEN feature_idx IS NOT NULL THEN sample_id END AS id FROM ({LOADED})')
+def table_sample_ids(spark, d):
+    return table.sample_ids(loaded(spark, d))
+
+
+@query("""SELECT 'bed' AS kind, 'm' || measurement AS level, scaffold, start_pos, end_pos, 3::INT AS strand, NULL AS id, NULL::DOUBLE AS v1 FROM fx_bed
+  UNION ALL SELECT 'csv', CASE WHEN row_idx % 2 = 0 THEN 'even' ELSE 'odd' END, NULL, NULL, NULL, NULL, sample_id, v1 FROM fx_tab""")
+def experiment_samples(spark, d):
+    """A sheet of seven BED files and two tables, read as one experiment."""
+    at = own_folder(spark, "sheet")
+    bed_lines = view(spark, d, "fx_bed").select("measurement", F.concat_ws("\t", "scaffold", F.col("start_pos") - 1, "end_pos").alias("value"))
+    bed_lines.repartition("measurement").write.partitionBy("measurement").text(f"{at}/b")
+    tab = view(spark, d, "fx_tab")
+    tab.select((F.col("row_idx") % 2).alias("half"), "sample_id", "v1").repartition("half").write.partitionBy("half").option("header", True).csv(f"{at}/t")
+    fs = spark._jvm.org.apache.hadoop.fs.Path(at).getFileSystem(spark._jsc.hadoopConfiguration())
+    one = lambda folder: next(p for p in (str(s.getPath()) for s in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(folder))) if "/part-" in p)
+    rows = []
+    for m in range(1, 8):
+        to = f"{at}/m{m}.bed"
+        fs.rename(spark._jvm.org.apache.hadoop.fs.Path(one(f"{at}/b/measurement={m}")), spark._jvm.org.apache.hadoop.fs.Path(to))
+        rows.append(("bed", f"m{m}", to))
+    rows += [("csv", name, one(f"{at}/t/half={k}")) for k, name in enumerate(("even", "odd"))]
+    x = table.experiment(spark, spark.createDataFrame(rows, "kind string, level string, path string"))
+    return x.select("kind", "level", "scaffold", "start_pos", "end_pos", "strand", F.col("sample_id").alias("id"), "v1")
+
+
+@query("SELECT (row_number() OVER (ORDER BY p_partkey))::INT AS short_id, (1000 + p_partkey)::INT AS so_id, p_name || p_partkey AS label, p_type AS definition, (row_number() OVER (ORDER BY p_partkey))::INT AS by_label, p_name || p_partkey AS by_short FROM part")
+def ontology_json(spark, d):
+    """An ontology of as many terms as there are parts, read from JSON, and looked up both ways."""
+    at = own_folder(spark, "terms")
+    node = F.struct(F.concat(F.lit("http://purl.obolibrary.org/obo/SO_"), F.lpad((F.col("p_partkey") + 1000).cast("string"), 7, "0")).alias("id"), F.concat("p_name", "p_partkey").alias("lbl"), F.struct(F.struct(F.col("p_type").alias("val")).alias("definition")).alias("meta"))
+    nodes = table_of(spark, d, "part").agg(F.array_sort(F.collect_list(F.struct("p_partkey", node.alias("n")))).alias("x"))
+    nodes.select(F.array(F.struct(F.transform("x", lambda v: v["n"]).alias("nodes"))).alias("graphs")).coalesce(1).write.json(at)
+    dim = ontology.read_terms(spark, at)
+    x = dim.withColumn("by_label", ontology.short_id("label", dim))
+    return x.withColumn("by_short", ontology.label_of("short_id", dim))
+
+
 @query("SELECT p_brand, p_type, count(*)::BIGINT AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_brand, p_type))")
 def experiment_levels(spark, d):
     return table.level_counts(table_of(spark, d, "part"), ["p_brand", "p_type"])
@@ -442,25 +533,27 @@ def coverage_meth_nonzero(spark, d):
     return _round(signal.coverage_calls(view(spark, d, "fx_features"), merged_calls(spark, d), "gene", True), "value")
 
 
-def kde_sql(values: str, points: int = 16) -> str:
-    return f"""WITH v AS ({values}), s AS (SELECT scaffold, count(*) AS n, stddev_samp(value) AS sd, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, min(value) AS lo, max(value) AS hi FROM v GROUP BY scaffold),
-  h AS (SELECT *, 0.9 * CASE WHEN q3 > q1 THEN least(sd, (q3 - q1) / 1.34) ELSE sd END * pow(n, -0.2) AS h FROM s), g AS (SELECT h.*, k, lo - 4 * h + k * ((hi - lo + 8 * h) / {points - 1}) AS x FROM h, range({points}) r(k) WHERE h > 0)
-  SELECT scaffold, k::INT AS k, round(any_value(x), 6)::DOUBLE AS x, round(sum(exp(-0.5 * ((x - value) / h) * ((x - value) / h))) / any_value(n * h) / sqrt(2 * pi()), 6)::DOUBLE AS density FROM g JOIN v USING (scaffold) GROUP BY scaffold, k"""
+def kde_sql(values: str, points: int = 2048) -> str:
+    return f"""WITH v AS MATERIALIZED ({values}), s AS (SELECT scaffold, count(*) AS n, stddev_samp(value) AS sd, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, min(value) AS lo, max(value) AS hi FROM v GROUP BY scaffold),
+  h AS MATERIALIZED (SELECT *, 0.9 * CASE WHEN q3 > q1 THEN least(sd, (q3 - q1) / 1.34) ELSE sd END * pow(n, -0.2) AS h FROM s), p AS (SELECT scaffold, (value - lo + 4 * h) / ((hi - lo + 8 * h) / {points - 1}) AS x FROM v JOIN h USING (scaffold) WHERE h > 0),
+  m AS MATERIALIZED (SELECT scaffold, k, sum(c) AS c FROM (SELECT scaffold, floor(x)::BIGINT AS k, 1 - (x - floor(x)) AS c FROM p UNION ALL SELECT scaffold, floor(x)::BIGINT + 1, x - floor(x) FROM p) GROUP BY ALL)
+  SELECT scaffold, g.k::INT AS k, round(any_value(lo - 4 * h + g.k * ((hi - lo + 8 * h) / {points - 1})), 6)::DOUBLE AS x, round(sum(c * exp(-0.5 * pow((g.k - m.k) * ((hi - lo + 8 * h) / {points - 1}) / h, 2))) / any_value(n * h) / sqrt(2 * pi()), 6)::DOUBLE AS density
+  FROM h JOIN m USING (scaffold), range({points}) g(k) WHERE h > 0 GROUP BY scaffold, g.k"""
 
 
 @query(kde_sql(f"SELECT scaffold, value FROM ({COVERAGE})"))
 def kde_bed(spark, d):
-    return _round(signal.kde(coverage_bed(spark, d), 16), "x", "density", digits=6)
+    return _round(signal.kde(coverage_bed(spark, d)), "x", "density", digits=6)
 
 
 @query(kde_sql(f"SELECT scaffold, value FROM ({METH})"))
 def kde_meth(spark, d):
-    return _round(signal.kde(coverage_meth(spark, d), 16), "x", "density", digits=6)
+    return _round(signal.kde(coverage_meth(spark, d)), "x", "density", digits=6)
 
 
 @query(kde_sql("SELECT 'all' AS scaffold, unnest([v1, v2]) AS value FROM fx_tab"))
 def kde_table(spark, d):
-    return _round(signal.kde(view(spark, d, "fx_tab").select(F.lit("all").alias("scaffold"), F.explode(F.array("v1", "v2")).alias("value")), 16), "x", "density", digits=6)
+    return _round(signal.kde(view(spark, d, "fx_tab").select(F.lit("all").alias("scaffold"), F.explode(F.array("v1", "v2")).alias("value"))), "x", "density", digits=6)
 
 
 def depth_sql(source: str) -> str:
@@ -479,69 +572,82 @@ def frequency_stacked(spark, d):
 
 
 REGION = "SELECT feature_idx, scaffold, strand, greatest(start_pos - {k}, {lo}) AS lo, end_pos + {k} AS hi FROM fx_features WHERE feature_type = 'gene'"
-BASES = f"""SELECT r.feature_idx, r.hi - r.lo + 1 AS n, CASE WHEN r.strand = 1 THEN r.hi - x.base + 1 ELSE x.base - r.lo + 1 END AS rel, x.c FROM ({REGION.format(k=20, lo=1)}) r JOIN
+#: flank and body bins that the operators default to; profiles by feature come with a smaller grid, as they have a row for each slot
+FLANK, BINS, FEW = 500, 100, (20, 10)
+
+
+def bases_sql(k: int) -> str:
+    return f"""SELECT r.feature_idx, r.hi - r.lo + 1 AS n, CASE WHEN r.strand = 1 THEN r.hi - x.base + 1 ELSE x.base - r.lo + 1 END AS rel, x.c FROM ({REGION.format(k=k, lo=1)}) r JOIN
   (SELECT scaffold, base, count(*) AS c FROM (SELECT scaffold, unnest(range(start_pos, end_pos + 1)) AS base FROM fx_bed) GROUP BY ALL) x ON x.scaffold = r.scaffold AND x.base BETWEEN r.lo AND r.hi"""
 
 
-def projected(spark, d, flank=20):
+def projected(spark, d, flank=FLANK):
     return signal.project_runs(view(spark, d, "fx_features"), intervals.depth(view(spark, d, "fx_bed"), merge=False), "gene", flank)
 
 
-@query(f"SELECT feature_idx, any_value(n)::BIGINT AS region_len, count(*)::BIGINT AS bases, sum(c)::BIGINT AS total, sum(rel * c)::BIGINT AS weighted FROM ({BASES}) GROUP BY feature_idx")
+@query(f"SELECT feature_idx, any_value(n)::BIGINT AS region_len, count(*)::BIGINT AS bases, sum(c)::BIGINT AS total, sum(rel * c)::BIGINT AS weighted FROM ({bases_sql(FLANK)}) GROUP BY feature_idx")
 def feature_frequency_bed(spark, d):
     x = projected(spark, d).where("count is not null")
     n = F.col("rel_end") - F.col("rel_start") + 1
     return x.groupBy("feature_idx").agg(F.max("region_len").alias("region_len"), F.sum(n).alias("bases"), F.sum(n * F.col("count")).alias("total"), F.sum(F.expr("cast((rel_start + rel_end) * (rel_end - rel_start + 1) div 2 as long)") * F.col("count")).alias("weighted"))
 
 
-LEVELS = f"""SELECT r.feature_idx, r.hi - r.lo + 1 AS n, CASE WHEN r.strand = 1 THEN r.hi - c.pos + 1 ELSE c.pos - r.lo + 1 END AS rel, (c.code / 255.0::DOUBLE)::FLOAT AS level, c.depth FROM ({REGION.format(k=20, lo=-1000000)}) r JOIN
+def levels_sql(k: int) -> str:
+    return f"""SELECT r.feature_idx, r.hi - r.lo + 1 AS n, CASE WHEN r.strand = 1 THEN r.hi - c.pos + 1 ELSE c.pos - r.lo + 1 END AS rel, (c.code / 255.0::DOUBLE)::FLOAT AS level, c.depth FROM ({REGION.format(k=k, lo=-1000000)}) r JOIN
   (SELECT scaffold, pos, payload % 65536 AS depth, payload // 65536 % 256 AS code FROM ({MERGED}) WHERE payload % 65536 >= 5) c ON c.scaffold = r.scaffold AND c.pos BETWEEN r.lo AND r.hi"""
 
 
-def levels(spark, d):
-    return signal.project_calls(view(spark, d, "fx_features"), merged_calls(spark, d), "gene", 20)
+def levels(spark, d, flank=FLANK):
+    return signal.project_calls(view(spark, d, "fx_features"), merged_calls(spark, d), "gene", flank)
 
 
-@query(f"SELECT feature_idx, n::BIGINT AS region_len, rel::BIGINT AS rel_base, round(level::DOUBLE, 6) AS level, depth::BIGINT AS weight FROM ({LEVELS})")
+@query(f"SELECT feature_idx, n::BIGINT AS region_len, rel::BIGINT AS rel_base, round(level::DOUBLE, 6) AS level, depth::BIGINT AS weight FROM ({levels_sql(FLANK)})")
 def feature_frequency_meth(spark, d):
     return levels(spark, d).where("rel_base is not null").select("feature_idx", "region_len", "rel_base", F.round(F.col("level").cast("double"), 6).alias("level"), "weight")
 
 
-# flank 20, 10 body bins, 7 measurements
-PROFILE = f"""SELECT feature_idx, slot, sum(v) / 7 AS value FROM (SELECT feature_idx, CASE WHEN rel <= 20 THEN rel ELSE rel - (n - 40) + 10 END AS slot, c::DOUBLE AS v FROM ({BASES}) WHERE n >= 42 AND (rel <= 20 OR rel > n - 20)
-  UNION ALL SELECT feature_idx, k + 21 AS slot, c * (1 - abs(k * (n - 41) / 9.0::DOUBLE - (rel - 21))) AS v FROM ({BASES}), range(10) t(k) WHERE n >= 42 AND rel > 20 AND rel <= n - 20 AND abs(k * (n - 41) / 9.0::DOUBLE - (rel - 21)) < 1) GROUP BY ALL"""
+def profile_sql(k: int, bins: int) -> str:
+    """Depth over 7 measurements by feature and slot: flanks base by base, the body at `bins` points between which bases count linearly."""
+    gap = f"(n - {2 * k + 1}) / {float(bins - 1)}::DOUBLE"
+    return f"""SELECT feature_idx, slot, sum(v) / 7 AS value FROM (WITH b AS MATERIALIZED ({bases_sql(k)}) SELECT feature_idx, CASE WHEN rel <= {k} THEN rel ELSE rel - (n - {2 * k}) + {bins} END AS slot, c::DOUBLE AS v FROM b WHERE n >= {2 * k + 2} AND (rel <= {k} OR rel > n - {k})
+  UNION ALL SELECT feature_idx, k + {k + 1} AS slot, c * (1 - abs(k * {gap} - (rel - {k + 1}))) AS v FROM (SELECT *, unnest(range(greatest(0, floor((rel - {k + 2}) / ({gap}))::BIGINT), least({bins - 1}, ceil((rel - {k}) / ({gap}))::BIGINT) + 1)) AS k FROM b WHERE n >= {2 * k + 2} AND rel > {k} AND rel <= n - {k})
+  WHERE abs(k * {gap} - (rel - {k + 1})) < 1) GROUP BY ALL"""
+
 
+def metagene_sql(k: int, bins: int, cond: str = "true") -> str:
+    return f"SELECT s.slot::BIGINT AS slot, round(coalesce(sum(value), 0) / (SELECT count(*) FROM ({REGION.format(k=k, lo=1)}) WHERE hi - lo + 1 >= {2 * k + 2} AND {cond}), 6)::DOUBLE AS value FROM range(1, {2 * k + bins + 1}) s(slot) LEFT JOIN (SELECT * FROM ({profile_sql(k, bins)}) WHERE {cond}) p ON p.slot = s.slot GROUP BY s.slot"
 
-@query(f"SELECT feature_idx, slot::BIGINT AS slot, round(value, 6) AS value FROM ({PROFILE}) WHERE round(value, 6) <> 0")
+
+@query(f"SELECT feature_idx, slot::BIGINT AS slot, round(value, 6) AS value FROM ({profile_sql(*FEW)}) WHERE round(value, 6) <> 0")
 def profile_bed(spark, d):
-    return _round(signal.profile_runs(projected(spark, d), 7, 20, 10).select("feature_idx", long("slot", "slot"), "value"), "value", digits=6).where("value <> 0")
+    return _round(signal.profile_runs(projected(spark, d, FEW[0]), 7, *FEW).select("feature_idx", long("slot", "slot"), "value"), "value", digits=6).where("value <> 0")
 
 
-@query(f"SELECT s.slot::BIGINT AS slot, round(coalesce(sum(value), 0) / (SELECT count(*) FROM ({REGION.format(k=20, lo=1)}) WHERE hi - lo + 1 >= 42), 6)::DOUBLE AS value FROM range(1, 51) s(slot) LEFT JOIN ({PROFILE}) p ON p.slot = s.slot GROUP BY s.slot")
+@query(metagene_sql(FLANK, BINS))
 def metagene_bed(spark, d):
-    return _round(signal.mean_profile_runs(projected(spark, d), 7, 20, 10), "value", digits=6)
+    return _round(signal.mean_profile_runs(projected(spark, d), 7, FLANK, BINS), "value", digits=6)
 
 
-@query(f"SELECT s.slot::BIGINT AS slot, round(coalesce(sum(value), 0) / (SELECT count(*) FROM ({REGION.format(k=20, lo=1)}) WHERE hi - lo + 1 >= 42 AND feature_idx % 3 <> 0), 6)::DOUBLE AS value FROM range(1, 51) s(slot) LEFT JOIN (SELECT * FROM ({PROFILE}) WHERE feature_idx % 3 <> 0) p ON p.slot = s.slot GROUP BY s.slot")
+@query(metagene_sql(FLANK, BINS, "feature_idx % 3 <> 0"))
 def metagene_exclude(spark, d):
     out = view(spark, d, "fx_features").where("feature_idx % 3 = 0").select("feature_idx")
-    return _round(signal.mean_profile_runs(projected(spark, d), 7, 20, 10, out), "value", digits=6)
+    return _round(signal.mean_profile_runs(projected(spark, d), 7, FLANK, BINS, out), "value", digits=6)
 
 
-def slots_sql(weight: str) -> str:
-    slot = "CASE WHEN rel <= 20 THEN rel WHEN rel > n - 20 THEN rel - (n - 40) + 10 ELSE 20 + ((rel - 20) * 10 + n - 41) // (n - 40) END"
-    return f"SELECT feature_idx, {slot} AS slot, sum(level::DOUBLE * {weight}) / sum({weight}) AS level, sum({weight})::DOUBLE AS weight FROM ({LEVELS}) WHERE n >= 42 GROUP BY ALL"
+def slots_sql(weight: str, k: int, bins: int) -> str:
+    slot = f"CASE WHEN rel <= {k} THEN rel WHEN rel > n - {k} THEN rel - (n - {2 * k}) + {bins} ELSE {k} + ((rel - {k}) * {bins} + n - {2 * k + 1}) // (n - {2 * k}) END"
+    return f"SELECT feature_idx, {slot} AS slot, sum(level::DOUBLE * {weight}) / sum({weight}) AS level, sum({weight})::DOUBLE AS weight FROM ({levels_sql(k)}) WHERE n >= {2 * k + 2} GROUP BY ALL"
 
 
 for _name, _sql, _kw in (("profile_meth", "depth", {}), ("profile_meth_sqrt", "sqrt(depth)", {"transform": F.sqrt}), ("profile_meth_unweighted", "1.0::DOUBLE", {"by_depth": False})):
 
-    @query(f"SELECT feature_idx, slot::BIGINT AS slot, round(level, 6) AS level, round(weight, 6) AS weight FROM ({slots_sql(_sql)})", _name)
+    @query(f"SELECT feature_idx, slot::BIGINT AS slot, round(level, 6) AS level, round(weight, 6) AS weight FROM ({slots_sql(_sql, *FEW)})", _name)
     def _profile(spark, d, kw=_kw):
-        return _round(signal.profile_calls(levels(spark, d), 20, 10, **kw).select("feature_idx", long("slot", "slot"), "level", F.col("weight").cast("double").alias("weight")), "level", "weight", digits=6)
+        return _round(signal.profile_calls(levels(spark, d, FEW[0]), *FEW, **kw).select("feature_idx", long("slot", "slot"), "level", F.col("weight").cast("double").alias("weight")), "level", "weight", digits=6)
 
-    @query(f"SELECT s.slot::BIGINT AS slot, coalesce(round(sum(level * weight) / sum(weight), 6), 'NaN'::DOUBLE) AS value FROM range(1, 51) s(slot) LEFT JOIN ({slots_sql(_sql)}) p ON p.slot = s.slot GROUP BY s.slot", _name.replace("profile", "metagene"))
+    @query(f"SELECT s.slot::BIGINT AS slot, coalesce(round(sum(level * weight) / sum(weight), 6), 'NaN'::DOUBLE) AS value FROM range(1, {2 * FLANK + BINS + 1}) s(slot) LEFT JOIN ({slots_sql(_sql, FLANK, BINS)}) p ON p.slot = s.slot GROUP BY s.slot", _name.replace("profile", "metagene"))
     def _metagene(spark, d, kw=_kw):
-        return _round(signal.mean_profile_calls(levels(spark, d), 20, 10, **kw), "value", digits=6)
+        return _round(signal.mean_profile_calls(levels(spark, d), FLANK, BINS, **kw), "value", digits=6)
 
 
 # --- quantiles ----------------------------------------------------------------------------------------------
@@ -676,7 +782,14 @@ def rbh_pairs_mean(spark, d):
     return fam.pair_best_hits(percent_pairs(spark, d), "row_key", "mean")
 
 
-@query(None)
+# candidates in order of i, each gene once: k is how many earlier neighbours a candidate has, d how far a line of single ones goes
+DOUBLE_MAX = f"""WITH RECURSIVE {CELLS}, f AS MATERIALIZED (SELECT i, j FROM m WHERE own > 0 QUALIFY row_number() OVER (PARTITION BY i ORDER BY own DESC, j) = 1 AND row_number() OVER (PARTITION BY j ORDER BY own DESC, i) = 1),
+  early AS MATERIALIZED (SELECT DISTINCT i, e FROM (SELECT a.i, b.i AS e FROM f a JOIN f b ON b.j = a.i UNION ALL SELECT a.i, b.i FROM f a JOIN f b ON b.i = a.j) WHERE e < i), k AS MATERIALIZED (SELECT f.i, f.j, count(e) AS k, min(e) AS e FROM f LEFT JOIN early USING (i) GROUP BY ALL),
+  d AS (SELECT i, 0 AS d FROM k WHERE k = 0 UNION ALL SELECT k.i, d.d + 1 FROM d JOIN k ON k.e = d.i WHERE k.k = 1), b AS (SELECT k.i, k.j FROM k JOIN d USING (i) WHERE d % 2 = 0 UNION ALL SELECT i, j FROM k WHERE k = 2 AND NOT EXISTS (SELECT 1 FROM early JOIN d ON d.i = early.e WHERE early.i = k.i AND d % 2 = 0))
+  SELECT y.id AS "GeneID", x.id AS "ParalogID", u.own AS perc_1, coalesce(v.own, 0)::DOUBLE AS perc_2, greatest(u.own, coalesce(v.own, 0)) AS max_perc, (u.own + coalesce(v.own, 0)) / 2 AS mean_perc FROM b JOIN m u ON u.i = b.i AND u.j = b.j LEFT JOIN m v ON v.i = b.j AND v.j = b.i JOIN first x ON x.i = b.i JOIN first y ON y.i = b.j"""
+
+
+@query(DOUBLE_MAX)
 def rbh_pairs_double_max(spark, d):
     return fam.pair_best_hits(percent_pairs(spark, d), "row_key", "double_max")
 

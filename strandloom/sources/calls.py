@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,13 +12,23 @@ from ..functions import codec
 SITE = ("scaffold", "pos", "context", "strand")
 
 
+def _kept(parsed: DataFrame, rest: list[str], fields: list[str], *needed: str) -> DataFrame:
+    """`rest` and `fields` of parsed lines with a scaffold and all that is needed.
+
+    Rows are dropped by a generator: a filter would be pushed below the parsing and repeat it for each condition.
+    """
+    good = F.filter(F.array(F.struct(*fields)), lambda r: reduce(lambda x, y: x & y, [r[n].isNotNull() for n in needed], r["scaffold"] != ""))
+    return parsed.select(*rest, F.inline(good))
+
+
 def parse_reads(lines: DataFrame, line: str = "value") -> DataFrame:
     """(…, scaffold, pos, context, methylated) of per-read call lines; lines that don't parse go."""
     rest = [c for c in lines.columns if c != line]
-    x = lines.withColumn("f", F.split(line, "\t", -1)).where(F.size("f") >= 5)
-    context, meth = codec.decode_call(F.substring(F.col("f")[4], 1, 1))
-    x = x.select(*rest, F.col("f")[2].alias("scaffold"), codec.parse_uint32(F.col("f")[3]).alias("pos"), context.alias("context"), meth.alias("methylated"))
-    return x.where("scaffold <> '' and pos is not null and context is not null")
+    x = lines.select(*rest, F.split(line, "\t", -1).alias("__f"))
+    at = lambda i: F.get("__f", F.lit(i))
+    context, meth = codec.decode_call(F.substring(at(4), 1, 1))
+    x = x.select(*rest, at(2).alias("scaffold"), codec.parse_uint32(at(3)).alias("pos"), context.alias("context"), meth.alias("methylated"))
+    return _kept(x, rest, ["scaffold", "pos", "context", "methylated"], "pos", "context")
 
 
 def count_reads(reads: DataFrame, strand: Column | int = codec.NA) -> DataFrame:
@@ -28,9 +40,10 @@ def count_reads(reads: DataFrame, strand: Column | int = codec.NA) -> DataFrame:
 def parse_coverage(lines: DataFrame, line: str = "value") -> DataFrame:
     """(…, scaffold, pos, meth, unmeth) of coverage lines: columns 1, 2, 5 and 6; lines that don't parse go."""
     rest = [c for c in lines.columns if c != line]
-    x = lines.withColumn("f", F.split(F.regexp_replace(line, "\r$", ""), "\t", -1)).where(F.size("f") >= 6)
-    at = lambda i: codec.parse_uint32(F.col("f")[i])
-    return x.select(*rest, F.col("f")[0].alias("scaffold"), at(1).alias("pos"), at(4).alias("meth"), at(5).alias("unmeth")).where("scaffold <> '' and pos is not null and meth is not null and unmeth is not null")
+    x = lines.select(*rest, F.split(F.regexp_replace(line, "\r$", ""), "\t", -1).alias("__f"))
+    at = lambda i: codec.parse_uint32(F.get("__f", F.lit(i)))
+    x = x.select(*rest, F.get("__f", F.lit(0)).alias("scaffold"), at(1).alias("pos"), at(4).alias("meth"), at(5).alias("unmeth"))
+    return _kept(x, rest, ["scaffold", "pos", "meth", "unmeth"], "pos", "meth", "unmeth")
 
 
 def pack(sites: DataFrame) -> DataFrame:
@@ -106,6 +119,11 @@ def create(spark: SparkSession, scaffold: str, pos: list[int], payload: list[int
     return x.select(F.lit(scaffold).alias("scaffold"), "pos", codec.get_context("payload").cast("int").alias("context"), codec.get_strand("payload").cast("int").alias("strand"), "payload")
 
 
+def aggregated(rows: DataFrame) -> DataFrame:
+    """A call set from counts (scaffold, pos, meth, unmeth, context, strand), one site a row."""
+    return pack(rows.select(*SITE, "meth", "unmeth"))
+
+
 def summary(calls: DataFrame) -> DataFrame:
     """Sites, depth and methylated calls by scaffold."""
     return calls.groupBy("scaffold").agg(F.count("*").alias("n_sites"), F.sum(codec.get_depth("payload")).alias("depth"), F.sum(codec.get_meth("payload")).alias("meth"))

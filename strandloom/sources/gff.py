@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import codec, ontology
@@ -16,8 +17,12 @@ def _attribute(name: str) -> Column:
 
 
 def parse(lines: DataFrame, dim: DataFrame | None = None, sanitize: bool = True, line: str = "value") -> DataFrame:
-    """Features of GFF3 lines; other columns of `lines` pass through. Comments, short lines and unknown types go."""
-    dim = ontology.terms(lines.sparkSession) if dim is None else dim
+    """Features of GFF3 lines; other columns of `lines` pass through. Comments and short lines go.
+
+    With an ontology, types that it doesn't have go; without one every type stays, and `term` is null where the
+    built-in dimension has none.
+    """
+    known = ontology.terms(lines.sparkSession) if dim is None else dim
     rest = [c for c in lines.columns if c != line]
     x = lines.where(~F.col(line).startswith("#")).withColumn("f", F.split(line, "\t", -1)).where(F.size("f") >= 9)
     pairs = F.filter(F.split(F.col("f")[8], ";"), lambda p: F.contains(p, F.lit("=")))
@@ -27,8 +32,8 @@ def parse(lines: DataFrame, dim: DataFrame | None = None, sanitize: bool = True,
         *rest, F.col("f")[0].alias("scaffold"), F.col("f")[3].cast("long").alias("start_pos"), F.col("f")[4].cast("long").alias("end_pos"), codec.strand_code(F.col("f")[6]).alias("strand"), F.col("f")[2].alias("feature_type"),
         (codec.sanitize_id(raw_id) if sanitize else raw_id).alias("id"), F.when(F.col("f")[1].isin(".", ""), "NA").otherwise(F.col("f")[1]).alias("source"), _attribute("gene_biotype").alias("biotype"),
     )
-    known = F.broadcast(dim.select(F.col("label").alias("feature_type"), F.col("short_id").alias("term")))  # the ontology
-    return x.join(known, "feature_type")
+    known = F.broadcast(known.select(F.col("label").alias("feature_type"), F.col("short_id").alias("term")))  # the ontology
+    return x.join(known, "feature_type", "left" if dim is None else "inner")
 
 
 def number(features: DataFrame, *order: str) -> DataFrame:
@@ -41,13 +46,11 @@ def number(features: DataFrame, *order: str) -> DataFrame:
     ranged = features.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
     ranged = ranged.withColumn("__n", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33))
     ranged = cut(ranged)
-    counts = {r["__p"]: r["count"] for r in ranged.groupBy("__p").count().collect()}  # one row a partition
-    begin, total = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        begin.append(total)
-        total += counts.get(p, 0)
-    offset = F.element_at(F.array(*[F.lit(b).cast("long") for b in begin]), F.col("__p") + 1) if begin else F.lit(0).cast("long")
-    return ranged.withColumn("feature_idx", offset + F.col("__n") + 1).drop("__p", "__n")
+    # one row a partition
+    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__c"))
+    before = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__o"))
+    return ranged.join(F.broadcast(offsets), "__p").withColumn("feature_idx", F.col("__o") + F.col("__n") + 1).drop("__p", "__n", "__o")
 
 
 def read_gff(spark: SparkSession, paths: str | list[str], dim: DataFrame | None = None, sanitize: bool = True) -> DataFrame:

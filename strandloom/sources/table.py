@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +28,11 @@ def load(table: DataFrame, features: DataFrame, id_col: str, row_idx: str, value
     return x.select("row_idx", "sample_id", "f.feature_idx", "f.scaffold", "f.start_pos", "f.end_pos", *values)
 
 
+def sample_ids(t: DataFrame) -> DataFrame:
+    """(row_idx, id) of the features behind the rows, null where none matches."""
+    return t.select("row_idx", F.when(F.col("feature_idx").isNotNull(), F.col("sample_id")).alias("id"))
+
+
 def by_id(t: DataFrame, feature_id: str) -> DataFrame:
     return t.where(F.col("feature_idx").isNotNull() & (F.col("sample_id") == feature_id)).orderBy("row_idx").limit(1)
 
@@ -46,33 +51,75 @@ def to_frame(t: DataFrame, values: list[str]) -> DataFrame:
     return t.select("row_idx", F.when(F.col("feature_idx").isNotNull(), F.col("sample_id")).alias("ID"), *values)
 
 
+@dataclass(frozen=True)
+class Variable:
+    """A node of an experiment's tree: a value with either covariates below it or the data of one sample."""
+
+    value: str
+    covariates: dict[str, Variable] | None = None
+    data: DataFrame | None = None
+
+    def __post_init__(self) -> None:
+        if (self.covariates is None) == (self.data is None):
+            raise ValueError("exactly one of covariates and data")
+
+
+def _located(spark: SparkSession, path: str) -> str:
+    """A path as the scan's file_path column has it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        raise FileNotFoundError(path)
+    return fs.getFileStatus(p).getPath().toUri().toString()
+
+
 def experiment(spark: SparkSession, sheet: DataFrame) -> DataFrame:
     """Samples of a sheet, whose last column holds paths and whose others are levels, as one table with level columns.
 
-    `.bed` files give intervals, all others CSV tables whose columns from the second on are numbers; a sheet holds
-    files of one kind and one set of columns.
+    `.bed` files give intervals, all others CSV tables whose columns from the second on are numbers; tables of one sheet
+    have the same columns. A sheet may hold both: each kind is one scan over all its files, and columns that a kind
+    doesn't have are null.
     """
     cols = sheet.columns
     if len(cols) < 2:
         raise ValueError("a sheet needs a level column and a path column")
     rows = sheet.collect()  # one row a file
-    paths, levels = [r[-1] for r in rows], [tuple(r[:-1]) for r in rows]
+    paths, levels = [r[-1] for r in rows], [tuple(None if v is None else str(v) for v in r[:-1]) for r in rows]
     if len(set(paths)) < len(paths):
         raise ValueError("paths repeat")
     if len(set(levels)) < len(levels):
         raise ValueError("levels repeat")
-    if gone := [p for p in paths if "://" not in p and not os.path.exists(p)]:
-        raise FileNotFoundError(str(gone))
-
-    def one(path: str, level: tuple) -> DataFrame:
-        if path.lower().endswith(".bed"):
-            x = bed.read_bed(spark, path).drop("path")
-        else:
-            x = spark.read.csv(path, header=True)
-            x = x.select(x.columns[0], *[F.col(f"`{c}`").cast("double").alias(c) for c in x.columns[1:]])
-        return x.select(*[F.lit(v).alias(c) for c, v in zip(cols, level)], "*")
-
-    return reduce(DataFrame.unionByName, [one(p, v) for p, v in zip(paths, levels)])
+    at = {p: _located(spark, p) for p in paths}
+    where = spark.createDataFrame([(at[p].replace("file:///", "file:/"), *v) for p, v in zip(paths, levels)], ", ".join(["__at string", *(f"`{c}` string" for c in cols[:-1])]))
+    beds = [p for p in paths if p.lower().endswith(".bed")]
+    tables = [p for p in paths if not p.lower().endswith(".bed")]
+    found = []
+    if beds:
+        found.append(bed.read_bed(spark, beds).withColumnRenamed("path", "__at"))
+    if tables:
+        x = spark.read.csv(tables, header=True, enforceSchema=False)
+        names = x.columns
+        found.append(x.select(F.col("_metadata.file_path").alias("__at"), f"`{names[0]}`", *[F.col(f"`{c}`").cast("double").alias(c) for c in names[1:]]))
+    if not found:
+        raise ValueError("an empty sheet")
+    rows_of = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+    rows_of = rows_of.withColumn("__at", F.regexp_replace("__at", "^file:///", "file:/"))
+    out = rows_of.join(where, "__at")
+    return out.select(*[f"`{c}`" for c in cols[:-1]], *[f"`{c}`" for c in rows_of.columns if c != "__at"])
+
+
+def variables(spark: SparkSession, sheet: DataFrame) -> dict[str, Variable]:
+    """The tree of an experiment's levels; each leaf holds its sample's rows, as a filter of the one table."""
+    data, cols = experiment(spark, sheet), sheet.columns[:-1]
+
+    def below(rows: list[tuple], k: int, df: DataFrame) -> dict[str, Variable]:
+        out = {}
+        for v in dict.fromkeys(r[k] for r in rows):
+            mine, part = [r for r in rows if r[k] == v], df.where(F.col(f"`{cols[k]}`").eqNullSafe(F.lit(v)))
+            out[v] = Variable(v, data=part) if k == len(cols) - 1 else Variable(v, covariates=below(mine, k + 1, part))
+        return out
+
+    return below([tuple(None if v is None else str(v) for v in r) for r in sheet.select(*[f"`{c}`" for c in cols]).collect()], 0, data)
 
 
 def level_counts(sheet: DataFrame, levels: list[str]) -> DataFrame:
