@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from math import log
 
 import numpy as np
@@ -44,6 +45,26 @@ def tokens(text: str) -> list[str]:
     return [t for t in _letters.findall(text.lower().translate({ord(k): v for k, v in LEET.items()}))]
 
 
+@lru_cache(None)
+def spellings() -> dict[str, list[int]]:
+    """The code points that each letter is written with, in either case or as a digit that stands for it."""
+    out: dict[str, list[int]] = {}
+    for cp in range(0x110000):
+        c = chr(cp)
+        c = LEET.get(c, c.lower() if len(c.lower()) == 1 else c)
+        if c.isalnum():
+            out.setdefault(c, []).append(cp)
+    return out
+
+
+@lru_cache(None)
+def letters() -> np.ndarray:
+    """1 for every code point that is a letter or digit, or stands for one."""
+    out = np.zeros(0x110000, np.uint8)
+    out[[cp for many in spellings().values() for cp in many]] = 1
+    return out
+
+
 class Automaton:
     """The determinised intersection. Accepting: (term number, edits); stems accept once a longer word is sure."""
 
@@ -70,13 +91,10 @@ class Automaton:
         clean = {add(t, 0) for t in stop}
         alphabet = sorted({c for t, _, _ in terms for c in t} | {c for t in stop for c in t})
         place = {c: i + 2 for i, c in enumerate(alphabet)}
-        self.code = np.zeros(0x110000, np.uint8 if len(alphabet) < 254 else np.uint16)  # 0: no letter, 1: a letter of no term
-        for cp in range(0x3000):
-            c = chr(cp)
-            c = LEET.get(c, c.lower() if len(c.lower()) == 1 else c)
-            if c.isalnum():
-                self.code[cp] = place.get(c, 1)
-        self.code[0x3000:] = 1
+        self.code = letters().astype(np.uint8 if len(alphabet) < 254 else np.uint16 if len(alphabet) < 65534 else np.uint32)  # 0: no letter, 1: a letter of no term
+        for c, k in place.items():
+            for cp in spellings().get(c, ()):
+                self.code[cp] = k
         size = len(alphabet) + 2
 
         def close(s: set[tuple[int, int]]) -> frozenset:
@@ -101,40 +119,46 @@ class Automaton:
         start = close({(0, 0), (1, 0)})
         names[start] = self.start = len(names)
         table, accept, todo = {}, {}, [start]
+
+        def step(s: frozenset, letter: str | None) -> int:
+            to: set[tuple[int, int]] = set()
+            for n, e in s:
+                if letter in kids[n]:
+                    to.add((kids[n][letter], e))
+                if e == 0 and n in fuzzy:
+                    to.add((n, 1))
+                    to |= {(k, 1) for k in kids[n].values()}
+            t = close({x for x in to if not (x[1] == 1 and (x[0], 0) in to)})
+            if t not in names:
+                names[t] = len(names)
+                todo.append(t)
+            return names[t]
+
         for i in stem.values():
-            table[names[("stem", i)]] = [0] + [names[("stem", i)]] * (size - 1)
+            table[names[("stem", i)]] = np.full(size, names[("stem", i)], np.int64)
+            table[names[("stem", i)]][0] = 0
             accept[names[("stem", i)]] = (i, 0)
         while todo:
             s = todo.pop()
-            row = [0] * size
             over = next((stem[n] for n, e in s if e == 0 and n in stem), None)
-            for c in range(1, size):
-                if over is not None:
-                    row[c] = names[("stem", over)]
-                    continue
-                letter = alphabet[c - 2] if c > 1 else None
-                to: set[tuple[int, int]] = set()
-                for n, e in s:
-                    if letter in kids[n]:
-                        to.add((kids[n][letter], e))
-                    if e == 0 and n in fuzzy:
-                        to.add((n, 1))
-                        to |= {(k, 1) for k in kids[n].values()}
-                to = {x for x in to if not (x[1] == 1 and (x[0], 0) in to)}
-                t = close(to)
-                if t not in names:
-                    names[t] = len(names)
-                    todo.append(t)
-                row[c] = names[t]
-            table[names[s]] = row
+            if over is not None:
+                row = np.full(size, names[("stem", over)], np.int64)
+                row[0] = 0
+            else:  # letters that no node of the state has lead where an unknown one does
+                row = np.full(size, step(s, None), np.int64)
+                row[0] = 0
+                for letter in {c for n, _ in s for c in kids[n]}:
+                    row[place[letter]] = step(s, letter)
+            table[names[s]] = row.astype(np.uint32)
             at = {n: e for n, e in sorted(s, key=lambda x: -x[1])}
             if not any(n in clean and e == 0 for n, e in s):
                 best = [(0, word[n]) for n in at if n in word and at[n] == 0] or [(at[n], far[n]) for n in at if n in far]
                 if best:
                     e, i = min(best)
                     accept[names[s]] = (i, e)
-        table[0] = [0] * size
-        self.table = np.array([table[i] for i in range(len(names))], np.uint16 if len(names) < 65536 else np.uint32)
+        table[0] = np.zeros(size, np.int64)
+        kind = np.uint16 if len(names) < 65536 else np.uint32
+        self.table = np.array([table[i].astype(kind) for i in range(len(names))])
         self.term = np.full(len(names), -1, np.int32)
         self.edits = np.zeros(len(names), np.int8)
         for s, (i, e) in accept.items():
@@ -189,7 +213,7 @@ def features(texts: list[str], auto: Automaton, seen: Counter | None = None) ->
             plain = ~quoted
             kinds = len({joined[starts[h] : ends[h]].lower() for h in mine[plain]})
             if seen is not None:
-                for h in mine[(edits > 0)]:
+                for h in mine[(edits > 0) & plain]:
                     seen[joined[starts[h] : ends[h]].lower().translate({ord(a): b for a, b in LEET.items()})] += 1
             exact, fuzzy = (plain & (edits == 0)).sum(), (plain & (edits > 0)).sum()
             value = auto.weight[term[plain]] * np.where(edits[plain] > 0, 0.7, 1.0)
@@ -241,8 +265,12 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([bad[k] for k in keys], pa.int64()), pa.array([good[k] for k in keys], pa.int64())], names=["entry", "bad", "good"])
 
 
-def lexicon(rows: list[tuple[str, int, int]], n_bad: int, n_good: int, most: int = 400, ratio: float = 6.0) -> list[tuple[str, bool, float]]:
-    """Terms by decreasing evidence (occurrences times log odds); none that another one covers or spans."""
+def lexicon(rows: list[tuple[str, int, int]], n_bad: int, n_good: int, ratio: float = 6.0) -> list[tuple[str, bool, float]]:
+    """Terms by decreasing evidence (occurrences times log odds).
+
+    Of stems none that another one covers or spans; a word that a stem covers stays if it is long enough to be
+    misspelled, as stems are matched to the letter.
+    """
     scored = []
     for entry, bad, good in rows:
         odds = ((bad + 0.5) / (n_bad + 1)) / ((good + 0.5) / (n_good + 1))
@@ -251,14 +279,12 @@ def lexicon(rows: list[tuple[str, int, int]], n_bad: int, n_good: int, most: int
     out: list[tuple[str, bool, float]] = []
     words, stems = set(), set()
     for _, is_stem, t, w in sorted(scored):
-        if any(t[:k] in stems and (k < len(t) or is_stem) for k in range(1, len(t) + 1)):
+        if (is_stem or len(t) < LEAST_FUZZY) and any(t[:k] in stems and (k < len(t) or is_stem) for k in range(1, len(t) + 1)):
             continue
         if is_stem and any(x.startswith(t) for x in words | stems):
             continue
         (stems if is_stem else words).add(t)
         out.append((t, is_stem, w))
-        if len(out) == most:
-            break
     return out
 
 
@@ -286,37 +312,41 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model(Automaton([]), np.zeros(FEATURES), np.ones(FEATURES), np.array([0.0] * FEATURES + [3.0 if flat else -3.0]))
     counts = rows.select("text", "y").mapInArrow(lean(_entries), "entry string, bad long, good long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     least = max(6, n_bad // 100)
-    found = counts.where((F.col("bad") >= least) & (F.col("bad") * n_good >= 6 * F.col("good") * n_bad)).orderBy(F.desc("bad"), "entry").limit(20_000)
+    found = counts.where((F.col("bad") >= least) & (F.col("bad") * n_good >= 6 * F.col("good") * n_bad)).orderBy(F.desc("bad"), "entry")
+    # entries of most_rows texts at most
     terms = lexicon([tuple(r) for r in found.collect()], n_bad, n_good)
     first = Automaton(terms)
 
+    def misses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: tuple[Counter, Counter] = Counter(), Counter()
+            for y in (0, 1):
+                features([t.as_py() or "" for t, k in zip(b.column(0), b.column(1)) if k.as_py() == y], first, seen[y])
+            keys = [*(seen[0] | seen[1])]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in seen)], names=["word", "good", "bad"])
+
+    # near misses that clean rows use more are words of their own
+    near = rows.select("text", "y").mapInArrow(lean(misses), "word string, good long, bad long").groupBy("word").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    stop = frozenset(r.word for r in near.where(F.col("good") * n_bad > F.col("bad") * n_good).collect())
+    auto = Automaton(terms, stop) if stop else first
+
     # the texts of hits reach the driver as numbers only
-    def measure(auto: Automaton) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                seen: Counter = Counter()
-                texts = [t.as_py() or "" for t in b.column(0)]
-                x = features(texts, auto)
-                y = b.column(1).to_numpy()
-                features([t for t, k in zip(texts, y) if not k], auto, seen)
-                stop = [w for w, _ in seen.most_common()]
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b.column(1), pa.array([" ".join(stop) if k == 0 else "" for k in range(len(b))], pa.string())], names=["x", "y", "stop"])
-
-        return run
-
-    kind = "x binary, y int, stop string"
-    measured = rows.select("text", "y").mapInArrow(lean(measure(first)), kind).collect()
-    stop = frozenset(sorted({w for r in measured for w in r.stop.split()})[:2000])
-    auto = first
-    if stop:  # near misses that clean rows use are words of their own
-        auto = Automaton(terms, stop)
-        measured = rows.select("text", "y").mapInArrow(lean(measure(auto)), kind).collect()
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = features([t.as_py() or "" for t in b.column(0)], auto)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b.column(1)], names=["x", "y"])
+
+    measured = rows.select("text", "y").mapInArrow(lean(measure), "x binary, y int").collect()
     x = np.array([np.frombuffer(r.x) for r in measured])
     return Model(auto, *fit(x, np.array([r.y for r in measured], float)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, predicted) for every row. Null and empty texts score as texts without words; equal texts score equally."""
+    """(doc_id, score, predicted) for every row.
+
+    Null and empty texts score as texts without words; equal texts score equally, so ties and repeated rows don't
+    matter. Ids may be null. An empty table gives no rows; other columns of any name are ignored.
+    """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded by the lexicon's size
@@ -331,7 +361,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text scores under 0.5."""
+    """The rows of docs, all columns of whatever names, whose text scores under 0.5.
+
+    Null and empty texts score as texts without words; of repeated rows all stay or none. An empty table gives no rows.
+    """
     spark = docs.sparkSession
     ship(spark)
     shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)

@@ -51,6 +51,42 @@ def test_automaton_is_edit_distance():
         assert (auto.edits[s] if auto.term[s] >= 0 else None) == want, w
 
 
+def hits(auto, text):
+    return tx.features([text], auto)[0, :3].tolist()
+
+
+def test_terms_of_any_script():
+    """A term of letters beyond U+3000 is found like any other; an ideographic space parts words."""
+    terms = [("愚か者達奴", False, 1.0), ("바보멍청이", False, 1.0), ("scumbag", False, 1.0)]
+    auto = tx.Automaton(terms)
+    for t, _, _ in terms:
+        exact, has, fuzzy = hits(auto, f"a {t} b\u3000{t}, c {t[:-1]}")
+        assert has == 1 and exact > 1 and fuzzy > 0, t
+    assert hits(auto, "ＳＣＵＭＢＡＧ") == [0, 0, 0]  # full-width letters are letters of their own
+
+
+def test_no_bound_on_near_misses():
+    """Every word that is to be left alone is, however many there are."""
+    r = random.Random(3)
+    stop = set()
+    while len(stop) < 2500:
+        w = list("abominable")
+        w[r.randrange(10)] = chr(0x4E00 + r.randrange(300))
+        stop.add("".join(w))
+    auto = tx.Automaton([("abominable", False, 1.0)], frozenset(stop))
+    assert hits(auto, " ".join(sorted(stop))) == [0, 0, 0]
+    assert hits(auto, "abominible")[2] > 0
+
+
+def test_lexicon_keeps_every_term():
+    rows = [(f"wterm{i:04d}x", 50, 0) for i in range(1500)]
+    assert len(tx.lexicon(rows, 100, 1000)) == 1500
+    got = tx.lexicon([("svilwor", 90, 0), ("wvilword", 60, 0), ("wvil", 60, 0)], 100, 1000)
+    assert ("vilword", False) in [(t, s) for t, s, _ in got]  # a stem matches to the letter alone
+    auto = tx.Automaton(got)
+    assert hits(auto, "vilword vilwords")[0] > 0 and hits(auto, "vilwird")[2] > 0
+
+
 def corpus(seed, n):
     r = random.Random(seed)
     plain = [f"{a}{b}{c}" for a, b, c in itertools.product(["ba", "lo", "mi", "ru"], ["ne", "ta", "su", "vo"], ["", "k", "n"])]
