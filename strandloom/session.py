@@ -93,5 +93,19 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def parted(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """df checkpointed by hash of keys and sorted by them, so that joins on these keys move and sort only their other side.
+
+    Adaptive plans don't tell how they end up partitioned; this one is planned without.
+    """
+    spark, name = df.sparkSession, "spark.sql.adaptive.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return cut(df.repartition(parts, *keys).sortWithinPartitions(*keys))
+    finally:
+        spark.conf.set(name, was)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
