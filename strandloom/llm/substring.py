@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, ship
+from ..session import cut, parted, ship
 from . import _text as T
 
 GRAM = 6
@@ -349,7 +349,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     seeds = docs.select(*key, "text").mapInArrow(T.lean(_seeds(window, parts * SPREAD)), "bucket int, blob binary")
     met = cut(bucketed(seeds).mapInArrow(T.lean(_join_seeds), JOINED))
     # texts are parted and sorted once; both joins find them so
-    texts = cut(docs.repartition(parts, *key).sortWithinPartitions(*key))
+    texts = parted(docs, parts, *key)
     ends = met.where("open").groupBy(*key).agg(F.collect_list("lo").alias("starts"))
     windows = texts.join(ends, key).select(*key, "text", "starts").mapInArrow(T.lean(_extend(window, parts * SPREAD)), "bucket int, blob binary")
     ranges = met.where("not open").drop("open").union(bucketed(windows).mapInArrow(T.lean(_resolve), RANGES))
