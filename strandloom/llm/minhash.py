@@ -5,16 +5,16 @@
 2. Each class is posted under the coordinate-value pairs of its signature's first `PREFIX` coordinates
    only: a pair of similarity s has no such list in common with probability (1 - s) ^ PREFIX. Lists with
    one entry vanish in the count. In a list, collisions are counted over whole signatures, of 16 bits a
-   coordinate, skipping pairs that an earlier coordinate also lists; `MATCH` of `COORDS` are a candidate. A list yields a spanning forest of its
-   matching pairs, never all of them.
+   coordinate; `MATCH` of `COORDS` are a candidate. A list yields a spanning forest of its matching pairs, never
+   all of them.
 3. Components of these candidates are the groups within which links are confirmed on full shingle
    sets, recomputed from the texts of group members alone. A pair is compared until its two sides
    are known to be connected.
 
 Lists over `BLOCK` entries and groups over `GROUP` members are first compared with one pivot each, the
 least member, in chunks: near copies of one text join it, and need no comparison among each other to be
-connected. Only what the pivot doesn't take, the rest, then meets all members, in pairs of blocks. A hot
-group of n near copies so costs about n comparisons, and a task never holds more than two blocks.
+connected. A hot group of n near copies so costs about n comparisons. Of a list, see _candidates for what the
+pivot doesn't take; of a group, that meets all members, in pairs of blocks. A task never holds more than two blocks.
 
 A pair of Jaccard similarity 0.85 agrees on fewer than MATCH coordinates with probability 3e-6 and shares no
 list with probability 9e-10, less for greater similarity; none under the threshold is ever linked.
@@ -23,6 +23,7 @@ list with probability 9e-10, less for greater similarity; none under the thresho
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ from ._graph import EDGES, components
 
 COORDS, MATCH, PREFIX = 64, 40, 11
 BLOCK, GROUP = 2000, 400
+DEEPER, LEVELS = 6, 5  # further coordinates that a large list of unlike members is posted under; how often
 SLICE = 500_000  # shingles that are compared at once
 _r = np.random.Generator(np.random.PCG64(77))
 MUL = _r.integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -132,13 +134,12 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
 
 
 def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists (coord, value, p, q, node, side, sig) to spanning edges of the pairs with MATCH collisions."""
+    """Lists (list, p, q, node, side, sig) to spanning edges of the pairs with MATCH collisions."""
     out: list[tuple[int, int]] = []
-    for (c, _, p, q), rows in _groups(batches, 4):
+    for (_, p, q), rows in _groups(batches, 3):
         if len(rows) == 2 and p == q:  # most lists
             x, y = (np.frombuffer(r[2], np.uint16) for r in rows)
-            hit = x == y
-            if hit.sum() >= MATCH and not hit[:c].any():
+            if (x == y).sum() >= MATCH:
                 out.append((rows[0][0], rows[1][0]))
         elif len(rows) > 1:
             ids = np.array([r[0] for r in rows], np.int64)
@@ -238,14 +239,55 @@ def _confirm(k: int, percent: int) -> Callable:
     return run
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row.
+def _near() -> Column:
+    """Coordinates on which sig and pivot_sig collide."""
+    return sum((F.expr(f"cast(substring(sig, {2 * c + 1}, 2) = substring(pivot_sig, {2 * c + 1}, 2) as int)") for c in range(COORDS)), F.lit(0))
 
-    Null, empty and blank texts have no shingles and link with nothing; texts of fewer than k words are
-    one shingle. Rows with equal sets are linked, so repeated rows share a component; component_id is the
-    least doc_id in it (nulls aside) and kept marks rows that carry it. An empty table gives no rows. Other
-    columns of any name are ignored.
+
+def _candidates(classes: DataFrame) -> DataFrame:
+    """Edges of a forest over the classes' pairs with MATCH collisions that share a list.
+
+    A list over BLOCK entries is compared with its pivot, the least node: what collides with it enough is connected
+    through it. If at most BLOCK of the others are left, they meet all members, so the work is in proportion to the
+    list. If more are left, the list is one that unlike documents share, as by a common line: its members are
+    posted anew, under the pair of the list and one more coordinate-value pair, for each of the next DEEPER coordinates. Pairs
+    that collide enough share one of these but for a chance of 0.15 ^ DEEPER, unlike ones part. Lists of LEVELS + 1
+    coordinates that are still large go in pairs of blocks, whatever is left.
     """
+    post = F.array(*[F.expr(f"substring(post, {4 * c + 1}, 4)") for c in range(PREFIX)])
+    posted = classes.select("node", F.posexplode(post).alias("at", "value")).select("node", "at", F.xxhash64("at", "value").alias("list"))
+    sized = _sized(posted, ["list"]).join(classes.select("node", "sig"), "node")  # signatures go to lists of two or more alone
+    keys, found = ["list", "p", "q"], []
+
+    def collide(x: DataFrame) -> DataFrame:
+        return x.select(*keys, "node", "side", "sig").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(T.lean(_collide), EDGES)
+
+    for level in range(LEVELS + 1):
+        small = sized.where(F.col("size") <= BLOCK).withColumns({"p": F.lit(0), "q": F.lit(0), "side": F.lit(0)}).drop("size")
+        large = sized.where(F.col("size") > BLOCK)
+        pivots = large.groupBy("list").agg(F.min(F.struct("node", F.col("sig").alias("pivot_sig"))).alias("pivot")).select("list", F.col("pivot.node").alias("pivot"), "pivot.pivot_sig")
+        linked = cut(large.join(pivots, "list").where(_near() >= MATCH).select("list", "node", "pivot", "size"))
+        if linked.isEmpty():  # a pivot collides with itself, so there is no large list
+            found.append(collide(small))
+            break
+        found.append(linked.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        left = linked.groupBy("list").agg((F.first("size") - F.count("*")).alias("left")).where("left > 0")
+        few = left if level == LEVELS else left.where(F.col("left") <= BLOCK)
+        rest = _rest(large.join(few.select("list"), "list"), ["list"], linked.select("list", "node"), BLOCK)
+        found.append(collide(small.unionByName(rest.select(small.columns))))
+        if level == LEVELS:
+            break
+        many = large.join(left.where(F.col("left") > BLOCK).select("list"), "list")
+        deeper = F.explode(F.transform(F.sequence(F.lit(1), F.lit(DEEPER)), lambda k: (F.col("at") + k) % COORDS))
+        # a row of a list that splits goes on; lists of one end in the count
+        again = many.select("node", "sig", "list", deeper.alias("at"))
+        again = cut(again.select("node", "sig", "at", F.xxhash64("list", "at", F.expr("substring(sig, 2 * at + 1, 2)")).alias("list")))
+        sized = _sized(again, ["list"])
+    return reduce(DataFrame.union, found)
+
+
+def grouped(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """(doc_id, fp, n_shingles, component_id, root): root names the component, null for a text without shingles."""
     spark = df.sparkSession
     ship(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -254,23 +296,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     some = sig.where("n_shingles > 0").withColumn("key", F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id0"), "fp"))
     classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("post").alias("post"), F.first("sig").alias("sig"))
     classes = cut(classes.select(F.xxhash64("h1", "h2").alias("node"), "h1", "h2", "least", "key.id0", "key.fp", "post", "sig"))
-    posted = classes.select("node", F.posexplode(F.array(*[F.expr(f"substring(post, {4 * c + 1}, 4)") for c in range(PREFIX)])).alias("coord", "value"))
-    group = ["coord", "value"]
-    sized = _sized(posted, group).join(classes.select("node", "sig"), "node")  # signatures go to lists of two or more alone
-    # a list's pivot is its least node; what collides with it enough is connected through it
-    near = sum((F.expr(f"cast(substring(sig, {2 * c + 1}, 2) = substring(pivot_sig, {2 * c + 1}, 2) as int)") for c in range(COORDS)), F.lit(0))
-    large = sized.where(F.col("size") > BLOCK)
-    pivots = large.groupBy(*group).agg(F.min(F.struct("node", F.col("sig").alias("pivot_sig"))).alias("pivot")).select(*group, F.col("pivot.node").alias("pivot"), "pivot.pivot_sig")
-    linked = cut(large.join(pivots, group).where(near >= MATCH).select(*group, "node", "pivot"))
-    small = sized.where(F.col("size") <= BLOCK).withColumns({"p": F.lit(0), "q": F.lit(0), "side": F.lit(0)}).drop("size")
-    lists = small if linked.isEmpty() else small.unionByName(_rest(sized, group, linked.drop("pivot"), BLOCK))
-
-    def collide(x: DataFrame) -> DataFrame:
-        keys = [*group, "p", "q"]
-        return x.select(*keys, "node", "side", "sig").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(T.lean(_collide), EDGES)
-
-    stars = linked.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    candidates = components(collide(lists).union(stars))
+    candidates = components(_candidates(classes))
     members = cut(candidates.join(classes.drop("post", "sig"), "node").select(F.col("root").alias("cluster"), "node", "h1", "h2", "id0", "fp"))
     sized = cut(_sized(members.select("cluster", "node"), ["cluster"]))
     # one text of each clustered class, fetched once
@@ -291,19 +317,38 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             edges = edges.union(cut(confirm(rest)))
     roots = components(edges)
     named = classes.select("h1", "h2", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("h1", "h2", "component_id")
-    full = sig.where("n_shingles > 0").join(named, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id")
-    none = sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.union(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("h1", "h2", "component_id", "root")
+    full = sig.where("n_shingles > 0").join(named, ["h1", "h2"]).select("doc_id", "fp", "n_shingles", "component_id", "root")
+    none = sig.where("n_shingles = 0").select("doc_id", "fp", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
+    return full.union(none)
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row.
+
+    Null, empty and blank texts have no shingles and link with nothing; texts of fewer than k words are
+    one shingle. Rows with equal sets are linked, so repeated rows share a component; component_id is the
+    least doc_id in it (nulls aside) and kept marks rows that carry it. An empty table gives no rows. Other
+    columns of any name are ignored.
+    """
+    found = grouped(df, id_col, text_col, k, percent)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 85) -> DataFrame:
-    """The rows of df, all columns, that stand for their component; rows with one id are one document.
+    """One row of df, all columns, for each component: the one of the least id, then of the least hash of its text.
 
-    A row without an id gets one from its text, greater than all others, so such rows with equal texts are one
-    document too, and stay only where their component has no document with an id.
+    Rows with one id and one text are one document, rows with one id and other texts are others. A row without an
+    id gets one from its text, greater than all others, so such rows with equal texts are one document too, and
+    stay only where their component has no document with an id. Null, empty and blank texts are components of
+    their own. An empty table gives no rows; columns may have any names.
     """
-    own = F.lit(2**62) + F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(2**61))
-    rows = df.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), own))
-    kept = near_duplicates(rows, "__id", text_col, k, percent).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return rows.join(kept, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+    own, text = "__own", "__fp"
+    while own in df.columns or text in df.columns:
+        own, text = own + "_", text + "_"
+    fp = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = df.withColumns({own: F.coalesce(F.col(id_col).cast("long"), F.lit(2**62) + F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(2**61))), text: fp})
+    found = grouped(rows, own, text_col, k, percent)
+    some = found.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("k")).select("k.*")
+    kept = some.union(found.where("root is null").select("doc_id", "fp").distinct()).select(F.col("doc_id").alias(own), F.col("fp").alias(text))
+    return rows.join(kept, [own, text], "left_semi").dropDuplicates([own, text]).drop(own, text)

@@ -61,6 +61,31 @@ def test_blocks(spark, monkeypatch):
     assert result(spark, rows) == brute(rows)
 
 
+def test_a_line_that_unlike_documents_share(spark, monkeypatch):
+    """A list of unlike members parts by further coordinates; near copies among them are found all the same."""
+    monkeypatch.setattr(minhash, "BLOCK", 12)
+    r = random.Random(7)
+    line = " ".join(f"common{i}" for i in range(40))
+    rows = []
+    for i in range(160):
+        own = " ".join(f"v{r.randrange(10**6)}" for _ in range(r.randrange(15, 60)))
+        rows.append((i, own + " " + line))
+        if i % 8 == 0:
+            rows.append((1000 + i, own + " " + line + " end"))
+    assert result(spark, rows) == brute(rows)
+
+
+def test_representatives(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(6, a, "x", 1), (6, b, "x", 2), (6, a, "x", 1), (7, a + " z", "y", 3), (3, b + " z", "y", 4), (8, None, "n", 5), (9, "", "n", 6), (None, "", "n", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __own string, __fp long")
+    out = minhash.representatives(df)
+    assert out.columns == df.columns
+    # 6 and 3 stand for the two texts; b of 6 is a copy of 3's, which has the least id
+    assert sorted((r.doc_id, r[3]) for r in out.collect() if r.doc_id is not None) == [(3, 4), (6, 1), (8, 5), (9, 6)] and out.count() == 5
+    assert minhash.representatives(df.limit(0)).collect() == []
+
+
 def test_edge_cases(spark):
     long = " ".join(f"x{i % 7000}" for i in range(400_000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "ONE"), (6, "two words"), (6, "two words"), (7, None), (None, "a b c d"), (None, "A b c d"), (9, "a b c d"), (None, "lone text here"), (11, long), (12, long + " y"), (6, "other text of the same id")]
