@@ -4,15 +4,22 @@ Base spans come from exact patterns and always stay. Looser patterns propose fur
 groups and written-out addresses. The candidates and base spans of a document, in text order, are the nodes of
 a graph. Its skip edges join each token to the next one, however distant, with the same content (the same
 digits, the same address) or similar content (the same last seven digits, the same local part), so a
-repeated token is a chain and never all pairs. Node potentials are a softmax over shape features, edge
-potentials the agreement of labels that joined tokens show; both are fitted on base labels. Loopy belief
-propagation with base nodes held fixed then labels the rest. A candidate becomes a span if its label's
-probability reaches `least` and some token of its chain is a base span of that kind.
+repeated token is a chain and never all pairs. Node potentials are a softmax over shape features and the
+log odds of the words beside a token; edge potentials are the agreement of labels that joined tokens show. Loopy
+belief propagation with base nodes held fixed labels the rest, and a candidate becomes a span if its label's
+probability reaches `least`.
+
+What is fitted comes from all documents, without labels by hand: base spans, other spellings of each (whose label is
+known), plain numbers, and candidates, which have the label of a base span in their chain or, with weight
+`unlabelled`, none. As a token that only looks like an entity may be anything, other spellings count as no entity
+with weight `doubt`. A lone token so stays below `least` unless the words beside it speak for it; repeats in a document
+support each other, and one base span settles its chain.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from hashlib import sha256
@@ -33,9 +40,12 @@ _ip = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _card = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _digit = re.compile(r"[0-9]")
-_loose = re.compile(r"(?<![A-Za-z0-9+])\+?\(?[0-9]++(?:[ ().\-/]{1,3}[0-9]++)*")
+_loose = re.compile(r"(?<![A-Za-z0-9+.])\+?\(?[0-9]++(?:[ ().\-/]{1,3}[0-9]++)*+(?![A-Za-z_])")
 _spelled = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,64}+(?: ?(?:\.|\[dot\]|\(dot\)| dot ) ?[A-Za-z0-9-]{1,64}+)+", re.I)
-NODE, EDGE = 12, 2  # features of a node; kinds of edge: same, similar
+_word = re.compile(r"[^\W\d_]+")
+NODE, EDGE, BESIDE = 17, 2, 256  # features of a node; kinds of edge: same, similar; buckets of the words before and after
+#: numbers that are no personal data, as examples of shapes that a corpus may lack
+PLAIN = ["1234567", "20240115", "2024-01-15", "15/01/2024", "15.01.2024", "1234567890", "123456789012", "1234567890123456", "1.234.567", "12 345 678", "978-3-16-148410-0", "3.14159265", "4821-775520", "1999-2004", "1.000.000.000"]
 
 
 def luhn(digits: str) -> bool:
@@ -82,7 +92,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Looser spans that overlap no base span and no earlier candidate."""
     found = []
-    if "@" in text or "at" in text.lower():
+    if "@" in text or "dot" in (low := text.lower()) and "at" in low:
         found += [m.span() for m in _spelled.finditer(text) if "@" in m.group() or "dot" in m.group().lower()]
     if _digit.search(text):
         found += [m.span() for m in _loose.finditer(text) if len(digits_of(m.group())) >= 7]
@@ -112,9 +122,38 @@ def keys(s: str) -> tuple[str, str]:
 
 def shape(s: str) -> list[float]:
     d = digits_of(s)
-    n, dots, groups = len(d), s.count("."), len(re.findall(r"[0-9]+", s))
+    n, groups = len(d), [len(g) for g in re.findall(r"[0-9]+", s)]
     mail = "@" in address(s)
-    return [1.0, mail, s.startswith("+"), "(" in s, dots == 3 and groups == 4, 12 <= n <= 19 and not mail, 9 <= n <= 15 and not mail, 7 <= n < 9, n > 19, groups == 1, "-" in s or " " in s, luhn(d) if 12 <= n <= 19 else 0.0]
+    if mail:
+        return [1.0, 1.0, *[0.0] * (NODE - 3), address(s).count("@") == 1 and "." in address(s).split("@")[-1]]
+    four = len(groups) == 4 and s.count(".") == 3
+    date = groups in ([4, 2, 2], [2, 2, 4], [1, 2, 4], [2, 1, 4], [4, 4])
+    return [1.0, 0.0, s.startswith("+"), "(" in s, four, 12 <= n <= 19, 9 <= n <= 15, 7 <= n < 9, n > 19, len(groups) == 1, "-" in s or " " in s, luhn(d) if 12 <= n <= 19 else 0.0, groups[-3:] == [3, 3, 4], groups == [4, 4, 4, 4] or groups == [4, 6, 5], date, four and all(int(g) <= 255 for g in re.findall(r"[0-9]+", s) if len(g) < 5), 0.0]
+
+
+def beside(text: str, a: int, b: int) -> tuple[int, int]:
+    """Buckets of the words before and after a span, 0 where there is none."""
+    before, after = _word.findall(text[max(0, a - 24) : a]), _word.findall(text[b : b + 24])
+    bucket = lambda w: 1 + zlib.crc32(w.lower().encode()) % (BESIDE - 1)
+    return bucket(before[-1]) if before else 0, bucket(after[0]) if after else 0
+
+
+def spellings(kind: int, s: str) -> list[str]:
+    """Other ways to write a base span, none of which the patterns of its kind take."""
+    if kind == 0:
+        local, domain = s.split("@", 1)
+        return [f"{local} [at] {domain.replace('.', ' [dot] ')}", f"{local} at {domain.replace('.', ' dot ')}"]
+    d = digits_of(s)
+    if kind == 1:
+        return [s.replace(".", " . ")]
+    if kind == 2:
+        parts = [d[i : i + 4] for i in range(0, len(d), 4)]
+        return [".".join(parts), "/".join(parts)]
+    tail = [d[-10:-7], d[-7:-4], d[-4:]]
+    if not tail[0]:
+        return [d]
+    head = [d[:-10]] if d[:-10] else []
+    return ["-".join(tail), " ".join(head + tail), f"({tail[0]}) {tail[1]}-{tail[2]}", ".".join(tail), "".join(tail)]
 
 
 def chains(tokens: list[str]) -> list[tuple[int, int, int]]:
@@ -131,15 +170,18 @@ def chains(tokens: list[str]) -> list[tuple[int, int, int]]:
 
 
 class Field:
-    """Node weights (features x labels) and edge weights (agreement by kind)."""
+    """Node weights (features x labels, and words beside x labels) and edge weights (agreement by kind)."""
 
-    def __init__(self, node: np.ndarray, edge: np.ndarray, rounds: int = 15, damping: float = 0.5):
+    def __init__(self, node: np.ndarray, edge: np.ndarray, rounds: int = 15, damping: float = 0.5, near: np.ndarray | None = None):
         self.node, self.edge, self.rounds, self.damping = node, edge, rounds, damping
+        self.near = np.zeros((2, BESIDE, OTHER + 1)) if near is None else near
 
-    def beliefs(self, x: np.ndarray, held: np.ndarray, edges: list[tuple[int, int, int]]) -> np.ndarray:
+    def beliefs(self, x: np.ndarray, held: np.ndarray, edges: list[tuple[int, int, int]], words: np.ndarray | None = None) -> np.ndarray:
         """Label probabilities of each node by loopy sum-product; held is a label or -1."""
         n, k = len(x), OTHER + 1
         unary = x @ self.node
+        if words is not None:
+            unary = unary + self.near[0, words[:, 0]] + self.near[1, words[:, 1]]
         fixed = held >= 0
         unary[fixed] = -30.0
         unary[fixed, held[fixed]] = 0.0
@@ -173,82 +215,111 @@ def nodes(text: str) -> tuple[list[tuple[int, int]], np.ndarray, list[str]]:
     return [(a, b) for a, b, _ in all_], np.array([k for _, _, k in all_], np.int64), [text[a:b] for a, b, _ in all_]
 
 
-def added(text: str, field: Field, least: float) -> list[tuple[int, int, int]]:
-    where, held, strings = nodes(text)
-    if not (held < 0).any() or not (held >= 0).any():
-        return []  # nothing to label, or no base span that could stand for a chain
-    edges = chains(strings)
-    root = list(range(len(held)))
-    for a, b, _ in edges:
-        while root[a] != a:
-            a = root[a]
-        while root[b] != b:
-            root[b] = root[root[b]]
-            b = root[b]
-        root[max(a, b)] = min(a, b)
+def tops(n: int, edges: list[tuple[int, int, int]]) -> list[int]:
+    """The first node of each node's chain."""
+    root = list(range(n))
 
     def top(i: int) -> int:
         while root[i] != i:
+            root[i] = root[root[i]]
             i = root[i]
         return i
 
-    tops = [top(i) for i in range(len(held))]
-    backed = {(tops[i], int(held[i])) for i in range(len(held)) if held[i] >= 0}
-    p = field.beliefs(np.array([shape(s) for s in strings]), held, edges)
+    for a, b, _ in edges:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    return [top(i) for i in range(n)]
+
+
+def added(text: str, field: Field, least: float) -> list[tuple[int, int, int]]:
+    where, held, strings = nodes(text)
+    if not (held < 0).any():
+        return []
+    p = field.beliefs(np.array([shape(s) for s in strings], float), held, chains(strings), np.array([beside(text, a, b) for a, b in where]))
     best = p[:, :OTHER].argmax(1)
-    return [(a, int(best[i]), b) for i, (a, b) in enumerate(where) if held[i] < 0 and p[i, best[i]] >= least and (tops[i], int(best[i])) in backed]
+    return [(a, int(best[i]), b) for i, (a, b) in enumerate(where) if held[i] < 0 and p[i, best[i]] >= least]
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (kind of count, features, label): nodes, and edges by kind and agreement."""
+    """Counts of (what, x, label): nodes and other spellings by features, words beside, and edges by kind and agreement."""
     for b in batches:
         count: Counter = Counter()
         for text in b.column(0):
             text = text.as_py() or ""
-            _, held, strings = nodes(text)
-            for s, k in zip(strings, held):
-                count["node", " ".join(f"{v:g}" for v in shape(s)), int(k) if k >= 0 else OTHER] += 1
-            for i, j, kind in chains(strings):
-                if held[i] >= 0 or held[j] >= 0:  # as held tokens say: a pair with a free one is no disagreement
-                    if held[i] >= 0 and held[j] >= 0:
-                        count["edge", str(kind), int(held[i] == held[j])] += 1
+            where, held, strings = nodes(text)
+            if not strings:
+                continue
+            edges = chains(strings)
+            top = tops(len(strings), edges)
+            kinds = {top[i]: int(k) for i, k in reversed(list(enumerate(held))) if k >= 0}
+            for i, (s, k) in enumerate(zip(strings, held)):
+                y = int(k) if k >= 0 else kinds.get(top[i], OTHER)
+                count["node", " ".join(f"{v:g}" for v in shape(s)), y] += 1
+                for side, w in enumerate(beside(text, *where[i])):
+                    count["beside", f"{side} {w}", y] += 1
+                for other in spellings(y, s) if k >= 0 else ():
+                    count["spelled", " ".join(f"{v:g}" for v in shape(other)), y] += 1
+            for i, j, kind in edges:
+                if held[i] >= 0 and held[j] >= 0:  # as held tokens say: a pair with a free one is no disagreement
+                    count["edge", str(kind), int(held[i] == held[j])] += 1
         rows = list(count.items())
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([k[2] for k, _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64())], names=["what", "x", "y", "n"])
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 20_000, penalty: float = 1.0) -> Field:
-    """Fit the potentials to the base labels of at most `most_rows` documents, chosen by a hash of the id.
+def train(docs: DataFrame, text_col: str = "text", doubt: float = 0.2, unlabelled: float = 0.1, penalty: float = 1.0) -> Field:
+    """Fit the potentials to the base labels of all documents.
 
-    The driver receives counts of feature combinations, whose number doesn't depend on the input.
+    The driver receives counts of feature combinations, whose number doesn't depend on the input. Null and empty texts,
+    and empty tables, count nothing; without base spans no candidate becomes one.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    ids = docs.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.crc32(F.concat(F.lit("pick"), F.col("doc_id").cast("string"))), "doc_id").limit(most_rows)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "doc_id")  # most_rows ids at most
-    got = rows.select("text").mapInArrow(lean(_tally), "what string, x string, y int, n long").groupBy("what", "x", "y").agg(F.sum("n").alias("n")).orderBy("what", "x", "y").collect()
-    agree = np.ones((EDGE, 2))
+    ship(docs.sparkSession)
+    got = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lean(_tally), "what string, x string, y int, n long").groupBy("what", "x", "y").agg(F.sum("n").alias("n")).orderBy("what", "x", "y").collect()
+    # before anything is counted: tokens of the same content nearly always agree, similar ones mostly
+    agree, near = np.array([[1.0, 50.0], [1.0, 10.0]]), np.zeros((2, BESIDE, OTHER + 1))
     xs, ys, ns = [], [], []
+
+    def example(x: list[float], y: int, n: float) -> None:
+        xs.append(x)
+        ys.append(y)
+        ns.append(n)
+
     for r in got:
         if r.what == "edge":
             agree[int(r.x), r.y] += r.n
+        elif r.what == "beside":
+            side, w = map(int, r.x.split())
+            near[side, w, r.y] += r.n
         else:
-            xs.append([float(v) for v in r.x.split()])
-            ys.append(r.y)
-            ns.append(r.n)
+            x = [float(v) for v in r.x.split()]
+            if r.what == "spelled":
+                example(x, r.y, (1 - doubt) * r.n)
+                example(x, OTHER, doubt * r.n)
+            else:
+                example(x, r.y, r.n if r.y != OTHER else unlabelled * r.n)
     w = np.zeros((NODE, OTHER + 1))
-    if xs:
+    if any(y != OTHER for y in ys):
+        each = sum(n for n, y in zip(ns, ys) if y != OTHER) / len(PLAIN)
+        for number in PLAIN:
+            example([float(v) for v in shape(number)], OTHER, each)
         x, y, n = np.array(xs), np.eye(OTHER + 1)[ys], np.array(ns, float)
-        for _ in range(2000):  # weighted softmax regression by gradient steps
+        for _ in range(3000):  # weighted softmax regression by gradient steps
             z = x @ w
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             step = (x.T @ (n[:, None] * (y - p)) - penalty * w) / n.sum()
-            w += 2.0 * step
+            w += step
             if np.abs(step).max() < 1e-6:
                 break
+    else:
+        w[0, OTHER] = 10.0
+    # log odds of a word given the label against any label; few counts say little
+    whole = near.sum(2, keepdims=True) + 1.0
+    whole /= whole.sum(1, keepdims=True)
+    share = (near + 50 * whole) / (near.sum(1, keepdims=True) + 50)
+    log_odds = np.clip(np.log(share / whole), -1.5, 1.5)
     # k labels agree by chance once in k
     edge = np.log(agree[:, 1] / agree[:, 0] * OTHER)
-    return Field(w, np.clip(edge, 0.0, 12.0))
+    return Field(w, np.clip(edge, 0.0, 12.0), near=log_odds)
 
 
 def _find(field: Field, least: float) -> Callable:
@@ -259,7 +330,7 @@ def _find(field: Field, least: float) -> Callable:
                 text = text.as_py() or ""
                 x = base_spans(text)
                 base.append([(KINDS[k], a, e) for a, k, e in x])
-                more.append([(KINDS[k], a, e) for a, k, e in added(text, field, least)] if x else [])
+                more.append([(KINDS[k], a, e) for a, k, e in added(text, field, least)])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("from", pa.int32()), ("to", pa.int32())]))
             as_rows = lambda v: [[{"kind": k, "from": a, "to": e} for k, a, e in r] for r in v]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(as_rows(base), kind), pa.array(as_rows(more), kind)], names=["doc_id", "base", "added"])
@@ -274,7 +345,7 @@ def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     """(doc_id, base, added) for every row: spans in code points, end exclusive.
 
     Null and empty texts have none. Rows are independent, so repeats and ties don't matter; other columns of
-    any name are ignored.
+    any name are ignored. An empty table gives no rows.
     """
     ship(docs.sparkSession)
     kind = dict(docs.select(id_col).dtypes)[id_col]
@@ -289,7 +360,7 @@ def _mask(field: Field, least: float, text_at: int) -> Callable:
                 text = t.as_py()
                 if text:
                     base = base_spans(text)
-                    spans = sorted((a, e, k) for a, k, e in [*base, *(added(text, field, least) if base else [])])
+                    spans = sorted((a, e, k) for a, k, e in [*base, *added(text, field, least)])
                     if spans:
                         parts, at, label = [], 0, None
                         for a, e, k in spans:  # overlapping spans are masked as one, under the first's name
@@ -304,7 +375,11 @@ def _mask(field: Field, least: float, text_at: int) -> Callable:
 
 
 def mask(docs: DataFrame, field: Field, text_col: str = "text", least: float = 0.9) -> DataFrame:
-    """docs with every span in text_col replaced by its kind in brackets; null stays null, other columns are kept."""
+    """docs with every span in text_col replaced by its kind in brackets.
+
+    Null stays null and empty texts empty; rows are independent; other columns of any name are kept. An empty table
+    gives no rows.
+    """
     ship(docs.sparkSession)
     return docs.mapInArrow(lean(_mask(field, least, docs.columns.index(text_col))), docs.schema)
 
