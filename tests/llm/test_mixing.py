@@ -72,6 +72,16 @@ def test_budgets(spark, budget):
         assert {r.doc_id for r in got} == {d for d, *_ in rows}
 
 
+@pytest.mark.parametrize("budget", ["same", None])
+def test_many_sources(spark, monkeypatch, budget):
+    """More sources than the driver takes give the same rows."""
+    rows = [(i, " ".join("w" * (1 + i % 23)), f"s{(i * i) % 37}", "x") for i in range(500)] + [(999, "", "empty", "x")]
+    take = lambda: sorted((r.doc_id, r.epoch, round(r.weight, 9)) for r in mixing.mix(frame(spark, rows), 0.97, 3.0, budget).collect())
+    want = take()
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 5)
+    assert take() == want and len(want) > 300
+
+
 def test_columns_and_edges(spark):
     rows = corpus(2, 100)
     out = mixing.mix(frame(spark, rows), budget=None, columns=True)
