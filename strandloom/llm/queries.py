@@ -10,10 +10,18 @@ from pyspark.sql import functions as F
 
 from ..session import table
 
-TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
 SHARDS = (1.0,) * 8
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file is: in the folder that TOKENIZERS names, else where its package says."""
+    if folder := os.environ.get("TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import remove_repeats
 
@@ -65,7 +73,7 @@ def op7_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode
 
-    return encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", digest=True)
+    return encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), digest=True)
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from strandloom.llm import forest
@@ -78,3 +79,21 @@ def test_near_copies_never_multiply(spark, monkeypatch):
     rows = [(i, [float(t) for t in np.float32(v)], 0) for i, v in enumerate(x)] + [(1000 + i, v, 0) for i, v, _ in cloud(4, 60)]
     assert result(spark, rows) == brute(rows)
     assert max(seen) < 40 * len(rows)
+
+
+def test_a_hot_group_at_full_size(spark, monkeypatch):
+    """10,000 vectors of one label at about cosine 0.999, with the constants as they are: it ends, rows stay few, every link is counted."""
+    seen = []
+    was = forest.cut
+    monkeypatch.setattr(forest, "cut", lambda df: seen.append((out := was(df)).count()) or out)
+    r = np.random.default_rng(3)
+    n, d = 10_000, 64
+    c = r.standard_normal(d)
+    x = np.float32(c + 0.0316 * np.linalg.norm(c) / np.sqrt(d) * r.standard_normal((n, d)))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x), "label": 0}), "vec_id long, embedding array<float>, label int")
+    got = {v.vec_id: (v.n_links, v.component_id) for v in forest.near_vectors(df).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    links = np.concatenate([(u[i : i + 500] @ u.T >= 0.98).sum(1) - 1 for i in range(0, n, 500)])
+    assert links.min() > n // 2
+    assert got == {i: (int(links[i]), 0) for i in range(n)}
+    assert max(seen) <= 40 * n

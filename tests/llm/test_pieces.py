@@ -1,6 +1,5 @@
 """Encoding against the library: ids, spans, decoding, and normalisation through a compiled map."""
 
-import os
 import random
 import struct
 
@@ -10,8 +9,9 @@ sp = pytest.importorskip("sentencepiece")
 pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
 
 from strandloom.llm import pieces  # noqa: E402
+from strandloom.llm.queries import tokenizer
 
-MODEL = os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
+MODEL = tokenizer("piece_bpe_32k.model")
 TEXTS = ["", " ", "  two  spaces ", "a", "plain words here", "É ñ ß 漢字 🙂 ‍", "▁mark▁ ▁", "tab\tnew\nline\r", "<s> </s> <unk>", "x" * 3000, " " * 40 + "end", "\u0000nul", "1.2.3.4 a@b.c", "é"]
 
 

@@ -80,7 +80,9 @@ def test_mixing(stages):
 
 
 def test_encoding(stages):
-    lib = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pipeline.MODEL)
+    from strandloom.llm import queries
+
+    lib = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=queries.tokenizer("piece_bpe_32k.model"))
     text = {r.doc_id: r.text for r in stages[4]}
     assert Counter(r.doc_id for r in stages[5]) == Counter(r.doc_id for r in stages[4])
     for r in stages[5]:

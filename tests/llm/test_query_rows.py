@@ -102,7 +102,7 @@ def test_op7(spark, docs):
 
 
 def test_op8(spark, docs):
-    lib = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=f"{queries.TOKENIZERS}/piece_bpe_32k.model")
+    lib = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=queries.tokenizer("piece_bpe_32k.model"))
     for r in queries.op8_pieces(spark, SF).collect():
         ids = lib.encode(docs[r.doc_id].text or "", add_bos=True, add_eos=True)
         assert (r.n_tokens, r.ids_sha256) == (len(ids), sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
