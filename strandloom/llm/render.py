@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import html
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 from ._text import lean
 
-DEPTH = 300  # elements nested deeper join their ancestor of this depth, as browsers do at some depth
+COLUMNS = 1000  # the most that the HTML standard lets a cell span
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul caption td th xmp".split())
@@ -45,7 +47,8 @@ _tag_loose = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*+)(?:>|\Z)")
 _attr = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _space = re.compile(r"[ \t\n\r\f]+")
 _close = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW}
-_simple = re.compile(r"(?:[a-z][a-z0-9]*)?(?:[.#][A-Za-z0-9_-]+)?\Z", re.I)
+_compound = re.compile(r"(?:[a-z][a-z0-9]*|\*)?(?:[.#][A-Za-z0-9_-]+)*\Z", re.I)
+_simple = re.compile(r"[.#]?[A-Za-z0-9_*-]+")
 _decl = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*(none|block|inline[a-z-]*|flex|grid|table[a-z-]*|list-item|contents|flow-root|flow|ruby[a-z-]*|visible|hidden|collapse|initial|inherit|unset|revert[a-z-]*)(?![a-z-])[^;!]*(!\s*important)?", re.I)
 _feature = re.compile(r"\(\s*(min|max)-(width|height)\s*:\s*([0-9]*\.?[0-9]+)\s*(px|em|rem)\s*\)\Z")
 SCREEN = {"width": 1280, "height": 800}  # px of the page that media queries are asked of
@@ -53,29 +56,44 @@ _useful = re.compile(r"hidden|style|class|id|type|open|start|value|reversed|cols
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "names")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.kids = tag, attrs, []
+        self.names = frozenset([tag, "*", *(f".{c}" for c in attrs.get("class", "").split()), *([f"#{attrs['id']}"] if "id" in attrs else [])]) if attrs else frozenset([tag, "*"])
 
 
 def parse(doc: str) -> tuple[Node, list[str]]:
     """The element tree (kids are nodes and strings) and the text of its style elements."""
     root = Node("html", {})
     stack, styles, i, n = [root], [], 0, len(doc)
+    up = Counter(["html"])  # tags of the open elements: looking for one that isn't open would walk deep stacks in vain
+
+    def close(k: int) -> None:
+        up.subtract(x.tag for x in stack[k:])
+        del stack[k:]
+
+    def push(node: Node) -> None:
+        stack.append(node)
+        up[node.tag] += 1
 
     def text(s: str) -> None:
         if s:
             stack[-1].kids.append(html.unescape(s) if "&" in s else s)
 
     def ends(what: frozenset[str], stop: frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            t = stack[k].tag
-            if t in what:
-                del stack[k:]
-                return ends(what, stop) if len(what) > 2 else None
-            if t in stop:
-                return None
+        while any(up[t] for t in what):
+            for k in range(len(stack) - 1, 0, -1):
+                t = stack[k].tag
+                if t in what:
+                    close(k)
+                    break
+                if t in stop:
+                    return
+            else:
+                return
+            if len(what) <= 2:
+                return
 
     while i < n:
         j = doc.find("<", i)
@@ -104,10 +122,12 @@ def parse(doc: str) -> tuple[Node, list[str]]:
                 stack[-1].kids.append(Node("br", {}))
                 continue
             inline = tag not in BLOCK
-            for k in range(len(stack) - 1, 0, -1):
+            if not up[tag] and tag != "p":
+                continue
+            for k in range(len(stack) - 1, 0, -1) if up[tag] else ():
                 t = stack[k].tag
                 if t == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if t in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") or inline and t in BLOCK:
                     break
@@ -117,20 +137,20 @@ def parse(doc: str) -> tuple[Node, list[str]]:
             continue
         if tag in ("html", "body"):
             if tag == "body":
-                for k in range(1, len(stack)):
+                for k in range(1, len(stack) if up["head"] else 0):
                     if stack[k].tag == "head":
-                        del stack[k:]
+                        close(k)
                         break
-                if all(s.tag != "body" for s in stack):
+                if not up["body"]:
                     stack[-1].kids.append(b := Node("body", attributes(m[3])))
-                    stack.append(b)
+                    push(b)
             continue
         if stack[-1].tag == "head" and tag not in HEAD:
-            stack.pop()
+            close(len(stack) - 1)
         if tag in ENDS:
             ends(*ENDS[tag])
         if tag in _H and stack[-1].tag in _H or tag == "a" and stack[-1].tag == "a":
-            stack.pop()
+            close(len(stack) - 1)
         node = Node(tag, attributes(m[3]))
         stack[-1].kids.append(node)
         if tag in VOID:
@@ -143,8 +163,7 @@ def parse(doc: str) -> tuple[Node, list[str]]:
                 styles.append(f"@media {node.attrs['media']}{{{inner}}}" if node.attrs.get("media") else inner)
             node.kids.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
             continue
-        if len(stack) < DEPTH:
-            stack.append(node)
+        push(node)
     return root, styles
 
 
@@ -157,7 +176,26 @@ def attributes(s: str) -> dict[str, str]:
     return out
 
 
-Rules = dict[str, dict[str, tuple[tuple, str]]]
+#: by the rightmost id, class, tag or *: (rank, property, value, compounds from right to left with how each stands to the next one)
+Rules = dict[str, list[tuple[tuple, str, str, list[tuple[str, frozenset[str]]]]]]
+
+
+def selector(sel: str) -> list[tuple[str, frozenset[str]]] | None:
+    """Compounds from right to left, each as (" ", ">" or "" before the first, its simple selectors); None for what isn't read."""
+    out: list[tuple[str, frozenset[str]]] = []
+    link = ""
+    for part in re.sub(r"\s*>\s*", " > ", sel.strip()).split()[::-1]:
+        if part == ">":
+            if link != " ":
+                return None
+            link = ">"
+        elif _compound.match(part):
+            names = frozenset(x if x[0] in ".#" else x.lower() for x in _simple.findall(part))
+            out.append((link, names - {"*"} if len(names) > 1 else names))
+            link = " "
+        else:
+            return None
+    return out if out and link == " " else None
 
 
 def declared(css: str) -> dict[str, tuple[bool, str]]:
@@ -193,7 +231,7 @@ def on_screen(query: str) -> bool:
 
 
 def hiding(styles: list[str]) -> Rules:
-    """For simple selectors (tag, .class, #id, tag.class, tag#id) the winning display and visibility with their rank in the cascade."""
+    """Rules for display and visibility with their rank in the cascade. Selectors are tags, classes, ids and * in any compound, with descendant and child combinators."""
     out: Rules = {}
     order = 0
 
@@ -218,13 +256,11 @@ def hiding(styles: list[str]) -> Rules:
             order += 1
             for key, (important, value) in declared(body).items():
                 for sel in head.split(","):
-                    sel = sel.strip()
-                    if sel and _simple.match(sel):
-                        rank = (important, "#" in sel, "." in sel, sel[0] not in ".#", order)
-                        sel = sel if sel[0] in ".#" else re.sub(r"\A[A-Za-z0-9]+", lambda m: m[0].lower(), sel)
-                        had = out.setdefault(sel, {})
-                        if key not in had or rank > had[key][0]:
-                            had[key] = rank, value
+                    if parts := selector(sel):
+                        names = [x for _, p in parts for x in p]
+                        rank = (important, sum(x[0] == "#" for x in names), sum(x[0] == "." for x in names), sum(x[0] not in ".#*" for x in names), order)
+                        last = min(parts[0][1], key=lambda x: ("#.".find(x[0]) % 3, x))
+                        out.setdefault(last, []).append((rank, key, value, parts))
 
     for css in styles:
         if "display" in css.lower() or "visibility" in css.lower():
@@ -302,15 +338,43 @@ class Out:
 
 class Renderer:
     def __init__(self, rules: Rules):
-        self.rules, self.visible = rules, True
+        self.rules, self.visible, self.path = rules, True, []  # path: the elements around the one at hand
+
+    def fits(self, parts: list[tuple[str, frozenset[str]]], n: Node) -> bool:
+        """Whether a selector matches n. Going outward, the nearest ancestor that fits a compound is taken, and the next one if a child combinator then fails."""
+        if not parts[0][1] <= n.names:
+            return False
+
+        def outer(i: int, at: int) -> bool:  # compounds from i on, around path[at]
+            while i < len(parts):
+                link, names = parts[i]
+                if link == ">":
+                    if at == 0 or not names <= self.path[at - 1].names:
+                        return False
+                    i, at = i + 1, at - 1
+                    continue
+                child = any(x == ">" for x, _ in parts[i + 1 :])
+                for k in range(at - 1, -1, -1):
+                    if names <= self.path[k].names:
+                        if not child:
+                            i, at = i + 1, k
+                            break
+                        if outer(i + 1, k):
+                            return True
+                else:
+                    return False
+            return True
+
+        return outer(1, len(self.path))
 
     def style(self, n: Node, key: str) -> str | None:
         """The value that wins the cascade, None where nothing is declared."""
         a, best = n.attrs, None
         if self.rules:
-            for name in (n.tag, *(f"{p}.{c}" for c in a.get("class", "").split() for p in ("", n.tag)), *(f"{p}#{a['id']}" for p in ("", n.tag) if "id" in a)):
-                if (r := self.rules.get(name, {}).get(key)) and (best is None or r > best):
-                    best = r
+            for name in n.names:
+                for rank, k, value, parts in self.rules.get(name, ()):
+                    if k == key and (best is None or rank > best[0]) and self.fits(parts, n):
+                        best = rank, value
         if "style" in a and (d := declared(a["style"]).get(key)) and (best is None or d[0] >= best[0][0]):
             return d[1]
         return best[1] if best else None
@@ -325,21 +389,26 @@ class Renderer:
         return shown != "none"
 
     def enter(self, n: Node) -> bool:
-        """Take the visibility of n on; the one before is returned."""
+        """Go into n and take its visibility on; the one before is returned, for leave."""
         was = self.visible
         v = self.style(n, "visibility") if n.attrs or self.rules else None
         if v in ("visible", "initial"):
             self.visible = True
         elif v in ("hidden", "collapse"):
             self.visible = False
+        self.path.append(n)
         return was
 
+    def leave(self, was: bool) -> None:
+        self.visible = was
+        self.path.pop()
+
     def node(self, n: Node, o: Out, pre: bool) -> None:
         if not self.seen(n):
             return
         was = self.enter(n)
         self.inside(n, o, pre)
-        self.visible = was
+        self.leave(was)
 
     def inside(self, n: Node, o: Out, pre: bool) -> None:
         t = n.tag
@@ -401,7 +470,7 @@ class Renderer:
                 o.bullet, o.indent = was + mark if self.visible else "", was + " " * len(mark)
                 self.kids(k.kids, o, pre)
                 o.bullet, o.indent = "", was
-                self.visible = seen
+                self.leave(seen)
                 o.block(1)
             elif isinstance(k, str):
                 if self.visible:
@@ -417,7 +486,7 @@ class Renderer:
         def cell(k: Node) -> list[str]:
             was, sub = self.enter(k), Out()
             self.kids(k.kids, sub, False)
-            self.visible = was
+            self.leave(was)
             return sub.done().split("\n")
 
         def place(cells: list[Node]) -> None:
@@ -425,7 +494,7 @@ class Renderer:
             for k in cells:
                 while at < len(held) and held[at]:
                     at += 1
-                span, down = min(max(number(k.attrs.get("colspan", ""), 1), 1), 100), number(k.attrs.get("rowspan", ""), 1)
+                span, down = min(max(number(k.attrs.get("colspan", ""), 1), 1), COLUMNS), number(k.attrs.get("rowspan", ""), 1)
                 row.append((cell(k), span, at))
                 new.append((at, span, 65534 if down == 0 else min(max(down, 1), 65534)))
                 at += span
@@ -448,7 +517,7 @@ class Renderer:
                     held.clear()  # cells end with their group of rows
                     was = self.enter(k)
                     walk(k.kids)
-                    self.visible = was
+                    self.leave(was)
                     held.clear()
                 elif k.tag == "tr":
                     was, cells = self.enter(k), []
@@ -460,7 +529,7 @@ class Renderer:
                             if self.visible or not isinstance(c, str):
                                 loose.append(c)
                     place(cells)
-                    self.visible = was
+                    self.leave(was)
                 elif k.tag in ("td", "th"):
                     place([k])
                 elif k.tag not in ("col", "colgroup"):
@@ -490,17 +559,25 @@ class Renderer:
             o.block(1)
 
 
+def depth(root: Node) -> int:
+    most, todo = 0, [(root, 1)]
+    while todo:
+        n, d = todo.pop()
+        most = max(most, d)
+        todo += [(k, d + 1) for k in n.kids if not isinstance(k, str)]
+    return most
+
+
 def render(doc: str) -> str:
     root, styles = parse(doc)
     out = Out()
+    # calls nest with the elements; in this interpreter they take heap, not stack
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * depth(root) + 1000))
     Renderer(hiding(styles)).node(root, out, False)
     return out.done()
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import sys
-
-    sys.setrecursionlimit(20_000)
     for b in batches:
         texts = [None if t.as_py() is None else render(t.as_py()) for t in b.column(1)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array([len(t or "") for t in texts], pa.int64()), pa.array([len(t.split("\n")) if t else 0 for t in texts], pa.int64())], names=["page_id", "text", "n_chars", "n_lines"])

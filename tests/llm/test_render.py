@@ -1,6 +1,7 @@
 """Rendering: expected layouts, and that all visible words come out once and in order."""
 
 import random
+import re
 
 import pytest
 
@@ -79,6 +80,202 @@ SHOWN = [
 ]
 
 
+SHOWN += [
+    ("<style>.a .b{display:none}</style><div class=a><p><i class=b>no</i>yes</p></div><p class=b>too", "yes\n\ntoo"),
+    ("<style>.a > .b{display:none}</style><div class=a><p class=b>no</p><div><p class=b>yes</p></div></div>", "yes"),
+    ("<style>div .a > p.b em{display:none}</style><div><div class=a><div class=a><p class=b><em>no</em>yes</div></div></div><p class=b><em>too</em>", "yes\n\ntoo"),
+    ("<style>.a.b{display:none}p#i.c{display:none}* .d{display:none}</style><p class='b a'>no<p class=a>yes<p id=i class=c>no<p><b class=d>no</b>", "yes"),
+    ("<style>.x .a{display:none}#o .a{display:block}</style><div id=o class=x><p class=a>yes</div>", "yes"),
+    ("<div>" * 400 + "<div hidden>no</div>yes" + "</div>" * 400 + "<p>after", "yes\n\nafter"),
+    ("<b>" * 3000 + "<p hidden>no</p>yes", "yes"),
+    ("<table><tr>" + "".join(f"<td>{i % 10}" for i in range(301)) + "<tr><td colspan=300>wide<td>z</table>", "  ".join(str(i % 10) for i in range(301)) + "\n" + "wide".ljust(900) + "z"),
+]
+
+
 @pytest.mark.parametrize("doc,want", SHOWN)
 def test_cascade_media_and_rowspan(doc, want):
     assert render(doc) == want
+
+
+# --- a second renderer, from the tree that was written rather than from its markup -----------------------------------------
+
+STYLE = "<style>.n{display:none} .a .m{display:none} div > .k{display:none} .h{visibility:hidden} .v{visibility:visible} .a .n.v{display:block} @media print{.a{display:none}}</style>"
+MARGINS = {"div": 1, "p": 2, "h2": 2, "section": 1, "blockquote": 2, "pre": 2}
+
+
+def tree(r, depth, inside=()):
+    """Random kids: words, or (tag, classes, hidden, kids)."""
+    out = []
+    for _ in range(r.randrange(1, 5)):
+        x = r.random()
+        classes = tuple(c for c in "namkhv" if r.random() < 0.12)
+        hidden = r.random() < 0.06
+        if depth == 0 or x < 0.4:
+            out.append(r.choice([" ", "", "\n"]) + " ".join(f"w{r.randrange(10**6)}" for _ in range(r.randrange(1, 4))) + r.choice([" ", "", "  "]))
+        elif x < 0.47 and "li" not in inside:
+            out.append(("br", (), False, []))
+        elif x < 0.6:
+            out.append((r.choice(["span", "b", "i"]), classes, hidden, [k for k in tree(r, 0, inside)]))
+        elif x < 0.7 and "p" not in inside:
+            tag = r.choice(["ul", "ol"])
+            out.append((tag, classes, hidden, [("li", (), r.random() < 0.1, [f"w{r.randrange(10**6)} ", *tree(r, depth - 1, (*inside, "li"))]) for _ in range(r.randrange(1, 4))]))
+        elif x < 0.78 and "p" not in inside:
+            rows = [("tr", (), False, [("td", (), r.choice([1, 1, 1, 2]), [f"w{r.randrange(10 ** r.randrange(1, 6))}"]) for _ in range(r.randrange(1, 4))]) for _ in range(r.randrange(1, 4))]
+            out.append(("table", classes, hidden, rows))
+        elif "p" not in inside:
+            tag = r.choice(["div", "section", "p", "h2", "blockquote", "pre"])
+            kids = ["w1\n  w2 \nw3"] if tag == "pre" else tree(r, depth - 1, (*inside, "p") if tag in ("p", "h2") else inside)
+            out.append((tag, classes, hidden, kids))
+    return out
+
+
+def markup(kids):
+    parts = []
+    for k in kids:
+        if isinstance(k, str):
+            parts.append(k)
+            continue
+        tag, classes, hidden, inner = k
+        attrs = f' class="{" ".join(classes)}"' if classes else ""
+        if tag == "td":
+            attrs = f" rowspan={hidden}"
+        elif hidden:
+            attrs += " hidden"
+        parts.append("<br>" if tag == "br" else f"<{tag}{attrs}>{markup(inner)}</{tag}>")
+    return "".join(parts)
+
+
+def gone(k, around):
+    tag, c, hidden, _ = k
+    below_a = any("a" in x[1] for x in around)
+    if below_a and {"n", "v"} <= set(c):
+        return False
+    rules = []  # (specificity, order, hides)
+    if "n" in c:
+        rules.append((1, 0))
+    if "m" in c and below_a:
+        rules.append((2, 1))
+    if "k" in c and around and around[-1][0] == "div":
+        rules.append((1, 2))
+    return bool(rules) or tag != "td" and hidden is True
+
+
+def seen(c, was):
+    return True if "v" in c else False if "h" in c else was
+
+
+def tokens(kids, around, visible, indent, pre=False):
+    """Gaps, text, breaks and whole lines, each with its indent."""
+    for n, k in enumerate(kids):
+        if isinstance(k, str):
+            if visible:
+                yield ("pre" if pre else "text", k, indent)
+            continue
+        tag, c, _, inner = k
+        if gone(k, around):
+            continue
+        now, path = seen(c, visible), (*around, k)
+        if tag == "br":
+            yield ("break", "", indent)
+        elif tag in ("span", "b", "i"):
+            yield from tokens(inner, path, now, indent, pre)
+        elif tag in ("ul", "ol"):
+            gap = 1 if indent else 2
+            yield ("gap", gap, indent)
+            at = 0
+            for li in inner:
+                if not gone(li, path):
+                    at += 1
+                    mark = f"{at}. " if tag == "ol" else "- "
+                    yield ("gap", 1, indent)
+                    if now:
+                        yield ("mark", indent + mark, indent)
+                    yield from tokens(li[3], (*path, li), now, indent + " " * len(mark))
+                    yield ("unmark", "", indent)
+                    yield ("gap", 1, indent)
+            yield ("gap", gap, indent)
+        elif tag == "table":
+            yield ("gap", 2, indent)
+            grid = {}
+            for y, tr in enumerate(inner):
+                x = 0
+                for td in tr[3]:
+                    while (y, x) in grid:
+                        x += 1
+                    for d in range(td[2]):
+                        grid[y + d, x] = td[3][0] if d == 0 and now else ""
+                    x += 1
+            width = [max(len(v) for (_, x), v in grid.items() if x == at) for at in range(max(x for _, x in grid) + 1)]
+            for y in range(len(inner)):
+                line = "  ".join(grid.get((y, x), "").ljust(w) for x, w in enumerate(width)).rstrip()
+                if line:
+                    yield ("gap", 1, indent)
+                    yield ("line", line, indent)
+            yield ("gap", 2, indent)
+        else:
+            yield ("gap", MARGINS[tag], indent)
+            yield from tokens(inner, path, now, indent + "  " if tag == "blockquote" else indent, tag == "pre")
+            yield ("gap", MARGINS[tag], indent)
+
+
+def second(kids):
+    """Lines from tokens: what stands between gaps is one run, cut at breaks."""
+    lines, run, gap, mark = [], [], 0, None
+
+    def put(line):
+        nonlocal gap, mark
+        if gap > 1 and lines and lines[-1]:
+            lines.append("")
+        gap = 0
+        lines.append(line)
+
+    def finish():
+        nonlocal run, mark
+        pieces = [[]]
+        for kind, s, indent in run:
+            if kind == "break":
+                pieces.append([])
+            elif kind == "pre":
+                for j, part in enumerate(s.split("\n")):
+                    if j:
+                        pieces.append([])
+                    pieces[-1].append((part, indent, True))
+            else:
+                pieces[-1].append((s, indent, False))
+        for j, piece in enumerate(pieces):
+            kept = any(raw for *_, raw in piece)
+            text = "".join(s for s, *_ in piece)
+            text = text if kept else re.sub(r"\s+", " ", text).strip(" ")
+            if text:
+                lead = piece[0][1]
+                if mark is not None:
+                    lead, mark = mark, None
+                put((lead + text).rstrip(" "))
+            elif j < len(pieces) - 1:
+                put("")
+        run = []
+
+    for kind, s, indent in tokens(kids, (), True, ""):
+        if kind == "gap":
+            finish()
+            gap = max(gap, s)
+        elif kind == "mark":
+            mark = s
+        elif kind == "unmark":
+            finish()
+            mark = None
+        elif kind == "line":
+            put((mark if mark is not None else indent) + s)
+            mark = None
+        else:
+            run.append((kind, s, indent))
+    finish()
+    return "\n".join(lines).strip("\n")
+
+
+def test_against_a_second_renderer():
+    r = random.Random(11)
+    for n in range(1500):
+        kids = tree(r, 3)
+        doc = STYLE + markup(kids)
+        assert render(doc) == second(kids), (n, doc)
