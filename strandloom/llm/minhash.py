@@ -36,7 +36,7 @@ from ._graph import EDGES, components
 
 COORDS, MATCH, PREFIX = 64, 40, 11
 BLOCK, GROUP = 2000, 400
-DEEPER, LEVELS = 6, 5  # further coordinates that a large list of unlike members is posted under; how often
+DEEPER, LEVELS = 8, 5  # further pairs of coordinates that a large list of unlike members is posted under; how often
 SLICE = 500_000  # shingles that are compared at once
 _r = np.random.Generator(np.random.PCG64(77))
 MUL = _r.integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -250,39 +250,40 @@ def _candidates(classes: DataFrame) -> DataFrame:
     A list over BLOCK entries is compared with its pivot, the least node: what collides with it enough is connected
     through it. If at most BLOCK of the others are left, they meet all members, so the work is in proportion to the
     list. If more are left, the list is one that unlike documents share, as by a common line: its members are
-    posted anew, under the pair of the list and one more coordinate-value pair, for each of the next DEEPER coordinates. Pairs
-    that collide enough share one of these but for a chance of 0.15 ^ DEEPER, unlike ones part. Lists of LEVELS + 1
-    coordinates that are still large go in pairs of blocks, whatever is left.
+    posted anew, under the list and two more coordinate-value pairs together, for each of the next DEEPER pairs of
+    coordinates. A pair of similarity s shares one of these but for a chance of (1 - s^2) ^ DEEPER, and unlike ones part.
+    Lists that are still large after LEVELS such rounds go in pairs of blocks, whatever is left.
     """
     post = F.array(*[F.expr(f"substring(post, {4 * c + 1}, 4)") for c in range(PREFIX)])
     posted = classes.select("node", F.posexplode(post).alias("at", "value")).select("node", "at", F.xxhash64("at", "value").alias("list"))
-    sized = _sized(posted, ["list"]).join(classes.select("node", "sig"), "node")  # signatures go to lists of two or more alone
+    sigs = classes.select("node", "sig")
     keys, found = ["list", "p", "q"], []
 
     def collide(x: DataFrame) -> DataFrame:
         return x.select(*keys, "node", "side", "sig").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(T.lean(_collide), EDGES)
 
     for level in range(LEVELS + 1):
-        small = sized.where(F.col("size") <= BLOCK).withColumns({"p": F.lit(0), "q": F.lit(0), "side": F.lit(0)}).drop("size")
+        # signatures go to lists of two or more alone
+        sized = cut(_sized(posted, ["list"]))
+        small = sized.where(F.col("size") <= BLOCK).withColumns({"p": F.lit(0), "q": F.lit(0), "side": F.lit(0)}).drop("size").join(sigs, "node")
         large = sized.where(F.col("size") > BLOCK)
-        pivots = large.groupBy("list").agg(F.min(F.struct("node", F.col("sig").alias("pivot_sig"))).alias("pivot")).select("list", F.col("pivot.node").alias("pivot"), "pivot.pivot_sig")
-        linked = cut(large.join(pivots, "list").where(_near() >= MATCH).select("list", "node", "pivot", "size"))
-        if linked.isEmpty():  # a pivot collides with itself, so there is no large list
+        if large.isEmpty():
             found.append(collide(small))
             break
+        large = cut(large.join(sigs, "node").select("node", "at", "list", "size", "sig"))
+        pivots = large.groupBy("list").agg(F.min(F.struct("node", F.col("sig").alias("pivot_sig"))).alias("pivot")).select("list", F.col("pivot.node").alias("pivot"), "pivot.pivot_sig")
+        linked = cut(large.join(pivots, "list").where(_near() >= MATCH).select("list", "node", "pivot", "size"))
         found.append(linked.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        left = linked.groupBy("list").agg((F.first("size") - F.count("*")).alias("left")).where("left > 0")
+        left = cut(linked.groupBy("list").agg((F.first("size") - F.count("*")).alias("left")).where("left > 0"))
         few = left if level == LEVELS else left.where(F.col("left") <= BLOCK)
-        rest = _rest(large.join(few.select("list"), "list"), ["list"], linked.select("list", "node"), BLOCK)
+        rest = _rest(large.join(few.select("list"), "list").select(large.columns), ["list"], linked.select("list", "node"), BLOCK)
         found.append(collide(small.unionByName(rest.select(small.columns))))
-        if level == LEVELS:
+        many = left.where(F.col("left") > BLOCK)
+        if level == LEVELS or many.isEmpty():
             break
-        many = large.join(left.where(F.col("left") > BLOCK).select("list"), "list")
-        deeper = F.explode(F.transform(F.sequence(F.lit(1), F.lit(DEEPER)), lambda k: (F.col("at") + k) % COORDS))
-        # a row of a list that splits goes on; lists of one end in the count
-        again = many.select("node", "sig", "list", deeper.alias("at"))
-        again = cut(again.select("node", "sig", "at", F.xxhash64("list", "at", F.expr("substring(sig, 2 * at + 1, 2)")).alias("list")))
-        sized = _sized(again, ["list"])
+        many = large.join(many.select("list"), "list").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(DEEPER))))
+        value = lambda c: F.expr(f"substring(sig, 2 * (({c}) % {COORDS}) + 1, 2)")
+        posted = many.select("node", ((F.col("at") + 2 * F.col("k")) % COORDS).cast("int").alias("at"), F.xxhash64("list", "k", value("at + 2 * k - 1"), value("at + 2 * k")).alias("list"))
     return reduce(DataFrame.union, found)
 
 
