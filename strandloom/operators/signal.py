@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..session import ship
+from ..session import cut, ship
 from .intervals import overlap_join, point_join
 from .tabular import quantiles
 
@@ -205,7 +205,7 @@ def kde(values: DataFrame, points: int = 2048, by: tuple[str, ...] = ("scaffold"
     estimate. `by` names one column at least.
     """
     ship(values.sparkSession)
-    v = values.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))).select(*by, F.col(value).cast("double").alias("__v"))
+    v = cut(values.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))).select(*by, F.col(value).cast("double").alias("__v")))  # asked three times
     stats = v.groupBy(*by).agg(F.count("*").alias("n"), F.stddev_samp("__v").alias("sd"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
     stats = stats.join(quantiles(v, list(by), "__v", [0.25, 0.75]), list(by))
     iqr = (F.col("q")[1] - F.col("q")[0]) / 1.34
