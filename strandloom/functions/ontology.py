@@ -13,6 +13,7 @@ TERMS = [
     (56, 336, "pseudogene", "A sequence like a gene that has lost its function."), (57, 655, "ncRNA", "A transcript that is not translated."), (58, 167, "promoter", "A region at which transcription starts."), (59, 165, "enhancer", "A region that raises transcription."),
 ]
 SCHEMA = "short_id int, so_id int, label string, definition string"
+GRAPHS = "graphs array<struct<nodes array<struct<id string, lbl string, meta struct<definition struct<val string>>>>>>"
 
 
 def terms(spark: SparkSession) -> DataFrame:
@@ -20,11 +21,15 @@ def terms(spark: SparkSession) -> DataFrame:
 
 
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
-    """The dimension from an OBO-graph JSON file; short ids number its SO nodes in order of appearance."""
-    nodes = spark.read.option("multiLine", True).json(path).select(F.posexplode(F.col("graphs")[0]["nodes"]).alias("pos", "n"))
-    kept = nodes.select("pos", F.regexp_extract(F.col("n.id"), r"SO_([0-9]+)$", 1).alias("id"), F.col("n.lbl").alias("label"), F.col("n.meta.definition.val").alias("definition")).where("id <> ''")
-    # one file of a few thousand terms
-    return kept.selectExpr("cast(row_number() over (order by pos) as int) as short_id", "cast(id as int) as so_id", "label", "definition")
+    """The dimension from an OBO-graph JSON file, or a folder of them; short ids number the SO nodes in order of appearance, files by path.
+
+    A task holds a file at a time, so a large ontology comes in several.
+    """
+    from ..sources.gff import number  # which needs this module
+
+    nodes = spark.read.schema(GRAPHS).option("multiLine", True).json(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.col("graphs")[0]["nodes"]).alias("pos", "n"))
+    kept = nodes.select("file", "pos", F.regexp_extract(F.col("n.id"), r"SO_([0-9]+)$", 1).alias("id"), F.col("n.lbl").alias("label"), F.col("n.meta.definition.val").alias("definition")).where("id <> ''")
+    return number(kept, "file", "pos").selectExpr("cast(feature_idx as int) as short_id", "cast(id as int) as so_id", "label", "definition")
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, by: str = "label") -> DataFrame:
@@ -32,13 +37,19 @@ def lookup(df: DataFrame, dim: DataFrame, key: str, by: str = "label") -> DataFr
     return df.join(F.broadcast(dim.withColumnRenamed(by, "__k")), F.col(key) == F.col("__k"), "left").drop("__k")
 
 
+def find(df: DataFrame, dim: DataFrame, key: str, by: str, out: str, name: str) -> DataFrame:
+    """df with `name`: the least `out` of the terms whose `by` is df's key, null where unknown. A join, for an ontology of any size."""
+    pairs = dim.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("__k")).agg(F.min(out).alias(name))
+    return df.join(pairs, F.col(key).cast(dict(dim.dtypes)[by]) == F.col("__k"), "left").drop("__k")
+
+
 def _built_in(x: Column | str, by: int, out: int) -> Column:
     c = F.col(x) if isinstance(x, str) else x
     return F.try_element_at(F.create_map(*[F.lit(v) for t in TERMS for v in (t[by], t[out])]), c)
 
 
 def _loaded(dim: DataFrame, x: Column | str, by: str, out: str) -> Column:
-    """A look-up in a loaded dimension, which goes along as one map: an ontology has a few thousand terms."""
+    """A look-up in a loaded dimension, which goes along as one map that is searched from end to end: for a few thousand terms; `find` takes any number."""
     c = F.col(x) if isinstance(x, str) else x
     pairs = dim.where(F.col(by).isNotNull()).groupBy(by).agg(F.min(out).alias(out))
     return F.try_element_at(pairs.agg(F.map_from_entries(F.collect_list(F.struct(by, out)))).scalar(), c.cast(dict(dim.dtypes)[by]))

@@ -57,14 +57,16 @@ def by_index(features: DataFrame, index: int) -> DataFrame:
 
 def with_code(features: DataFrame, dim: DataFrame | None = None) -> DataFrame:
     """features with the packed code of index, strand and term, 0 for a type that the ontology doesn't have."""
-    return features.withColumn("code", codec.pack_metadata("feature_idx", "strand", F.coalesce(ontology.short_id("feature_type", dim), F.lit(0))))
+    x = features.withColumn("__term", ontology.short_id("feature_type")) if dim is None else ontology.find(features, dim, "feature_type", "label", "short_id", "__term")
+    return x.withColumn("code", codec.pack_metadata("feature_idx", "strand", F.coalesce("__term", F.lit(0)))).drop("__term")
 
 
 def record(intervals: DataFrame, features: DataFrame, dim: DataFrame | None = None) -> DataFrame:
     """Intervals (scaffold, start_pos, end_pos, code) with what their code says; '' where nothing is known."""
     meta = features.select("feature_idx", "id", "source", "biotype")
-    x = intervals.withColumn("feature_idx", codec.parse_index("code")).join(meta, "feature_idx", "left")
-    return x.select("scaffold", "start_pos", "end_pos", F.coalesce("id", F.lit("")).alias("id"), F.coalesce(ontology.label_of(codec.parse_term("code"), dim), F.lit("")).alias("feature_type"), codec.parse_strand("code").alias("strand"), F.when(F.col("id").isNull(), F.array().cast("array<string>")).otherwise(F.array("id", "source", "biotype")).alias("metadata"))
+    x = intervals.withColumns({"feature_idx": codec.parse_index("code"), "__term": codec.parse_term("code")}).join(meta, "feature_idx", "left")
+    x = x.withColumn("__type", ontology.label_of("__term")) if dim is None else ontology.find(x, dim, "__term", "short_id", "label", "__type")
+    return x.select("scaffold", "start_pos", "end_pos", F.coalesce("id", F.lit("")).alias("id"), F.coalesce("__type", F.lit("")).alias("feature_type"), codec.parse_strand("code").alias("strand"), F.when(F.col("id").isNull(), F.array().cast("array<string>")).otherwise(F.array("id", "source", "biotype")).alias("metadata"))
 
 
 def metadata(features: DataFrame) -> DataFrame:
