@@ -22,6 +22,11 @@ from .tabular import quantiles
 MIN_DEPTH = 5
 
 
+def on_scaffolds(features: DataFrame, others: DataFrame) -> DataFrame:
+    """Features of the scaffolds that others have. Names go along with the tasks: parted by scaffold, a few tasks would have all features."""
+    return features.join(F.broadcast(others.select("scaffold").distinct()), "scaffold", "left_semi")
+
+
 def coverage_bed(features: DataFrame, bed: DataFrame, feature_type: str, filter_zeros: bool = False, per_feature: bool = False) -> DataFrame:
     """(scaffold, feature_idx, value): covered share for each fragment of `feature_type` with an interval.
 
@@ -32,7 +37,7 @@ def coverage_bed(features: DataFrame, bed: DataFrame, feature_type: str, filter_
     frags = frags.select("feature_idx", (F.col("frag_end") - F.col("frag_start") + 1).alias("n"))
     if per_feature:
         frags = frags.groupBy("feature_idx").agg(F.sum("n").alias("n"))
-    here = features.join(bed.select("scaffold").distinct(), "scaffold", "left_semi")
+    here = on_scaffolds(features, bed)
     x = here.join(frags, "feature_idx", "left").select("scaffold", "feature_idx", (F.coalesce("n", F.lit(0)) / (F.col("end_pos") - F.col("start_pos") + 1)).alias("value"))
     return x.where("value <> 0") if filter_zeros else x
 
@@ -42,7 +47,7 @@ def coverage_calls(features: DataFrame, calls: DataFrame, feature_type: str, fil
     mine = features.where(F.col("feature_type") == feature_type).select("feature_idx", "scaffold", "start_pos", "end_pos")
     hits = point_join(mine, calls.where(codec.get_depth("payload") > 0).select("scaffold", "pos", codec.get_percent_code("payload").alias("code")))
     sums = hits.groupBy("feature_idx").agg(F.sum("code").alias("code"))  # whole numbers: no order of summation
-    here = mine.join(calls.select("scaffold").distinct(), "scaffold", "left_semi")
+    here = on_scaffolds(mine, calls)
     x = here.join(sums, "feature_idx", "left").select("scaffold", "feature_idx", (F.coalesce("code", F.lit(0)) / F.lit(255.0) / (F.col("end_pos") - F.col("start_pos") + 1)).alias("value"))
     return x.where("value <> 0") if filter_zeros else x
 
@@ -52,18 +57,25 @@ def region(features: DataFrame, flank: int, clip: bool) -> DataFrame:
     return features.withColumns({"r_lo": F.greatest(lo, F.lit(1)) if clip else lo, "r_hi": F.col("end_pos") + flank})
 
 
-def project_runs(features: DataFrame, runs: DataFrame, feature_type: str, flank: int = 500) -> DataFrame:
-    """Depth along features, 5' to 3': (feature_idx, region_len, rel_start, rel_end, count), one row for each run of depth.
-
-    Regions are padded by flank and clipped at base 1; a feature without depth has one row with null run.
-    """
+def regions(features: DataFrame, feature_type: str, flank: int = 500) -> DataFrame:
+    """Features of a type, padded by flank and clipped at base 1: (feature_idx, scaffold, strand, start_pos, end_pos, region_len)."""
     f = region(features.where(F.col("feature_type") == feature_type), flank, True).select("feature_idx", "scaffold", "strand", F.col("r_lo").alias("start_pos"), F.col("r_hi").alias("end_pos"))
+    return f.withColumn("region_len", F.col("end_pos") - F.col("start_pos") + 1)
+
+
+def runs_along(f: DataFrame, runs: DataFrame) -> DataFrame:
+    """Runs of depth along `regions`, 5' to 3': (feature_idx, region_len, rel_start, rel_end, count). They come as the join has them, not moved by feature."""
     x = overlap_join(f, runs.where("count > 0"))
     rev = F.col("strand") == codec.REV
     a, b = F.col("frag_start") - F.col("start_pos") + 1, F.col("frag_end") - F.col("start_pos") + 1
-    n = F.col("end_pos") - F.col("start_pos") + 1
-    hit = x.select("feature_idx", F.when(rev, n + 1 - b).otherwise(a).alias("rel_start"), F.when(rev, n + 1 - a).otherwise(b).alias("rel_end"), "count")
-    return f.select("feature_idx", n.alias("region_len")).join(hit, "feature_idx", "left")
+    n = F.col("region_len")
+    return x.select("feature_idx", "region_len", F.when(rev, n + 1 - b).otherwise(a).alias("rel_start"), F.when(rev, n + 1 - a).otherwise(b).alias("rel_end"), "count")
+
+
+def project_runs(features: DataFrame, runs: DataFrame, feature_type: str, flank: int = 500) -> DataFrame:
+    """`runs_along` the regions of a type; a feature without depth has one row with null run, for which all rows move by feature."""
+    f = regions(features, feature_type, flank)
+    return f.select("feature_idx", "region_len").join(runs_along(f, runs).drop("region_len"), "feature_idx", "left")
 
 
 def explode_bases(projected: DataFrame) -> DataFrame:
@@ -71,35 +83,55 @@ def explode_bases(projected: DataFrame) -> DataFrame:
     return projected.where("count is not null").select("feature_idx", F.explode(F.sequence("rel_start", "rel_end")).alias("rel_base"), "count")
 
 
-def project_calls(features: DataFrame, calls: DataFrame, feature_type: str, flank: int = 500, min_depth: int = MIN_DEPTH, context: int | None = codec.CPG) -> DataFrame:
+def levels_along(features: DataFrame, calls: DataFrame, feature_type: str, flank: int = 500, min_depth: int = MIN_DEPTH, context: int | None = codec.CPG) -> DataFrame:
     """Levels along features, 5' to 3': (feature_idx, region_len, rel_base, level FLOAT, weight); calls of one base are pooled by depth.
 
-    Regions aren't clipped; features of scaffolds without calls are left out, and a feature without calls has one
-    row with null base.
+    Regions aren't clipped. Bases are pooled before they meet features, so the pairs need not move.
     """
-    f = features.where(F.col("feature_type") == feature_type).join(calls.select("scaffold").distinct(), "scaffold", "left_semi")
-    f = region(f, flank, False).select("feature_idx", "scaffold", "strand", "r_lo", "r_hi")
+    f = region(features.where(F.col("feature_type") == feature_type), flank, False).select("feature_idx", "scaffold", "strand", "r_lo", "r_hi")
     c = calls.select("scaffold", "pos", codec.get_depth("payload").alias("depth"), codec.get_percent_code("payload").alias("code"), codec.get_context("payload").alias("c")).where(F.col("depth") >= max(min_depth, 1))
     if context is not None:
         c = c.where(F.col("c") == context)
-    x = point_join(f, c.drop("c"), "r_lo", "r_hi")
+    c = c.groupBy("scaffold", "pos").agg(F.sum(F.col("code") * F.col("depth")).alias("s"), F.sum("depth").alias("weight"))
+    c = c.select("scaffold", "pos", (F.col("s") / F.lit(255.0) / F.col("weight")).cast("float").alias("level"), "weight")
+    x = point_join(f, c, "r_lo", "r_hi")
     rel = F.when(F.col("strand") == codec.REV, F.col("r_hi") - F.col("pos") + 1).otherwise(F.col("pos") - F.col("r_lo") + 1)
-    x = x.groupBy("feature_idx", rel.alias("rel_base")).agg(F.sum(F.col("code") * F.col("depth")).alias("s"), F.sum("depth").alias("weight"))
-    x = x.select("feature_idx", "rel_base", (F.col("s") / F.lit(255.0) / F.col("weight")).cast("float").alias("level"), "weight")
+    return x.select("feature_idx", (F.col("r_hi") - F.col("r_lo") + 1).alias("region_len"), rel.alias("rel_base"), "level", "weight")
+
+
+def project_calls(features: DataFrame, calls: DataFrame, feature_type: str, flank: int = 500, min_depth: int = MIN_DEPTH, context: int | None = codec.CPG) -> DataFrame:
+    """`levels_along` features; those of scaffolds without calls are left out, and a feature without calls has one row with null base, for which
+    all rows move by feature."""
+    x = levels_along(features, calls, feature_type, flank, min_depth, context).drop("region_len")
+    f = region(on_scaffolds(features.where(F.col("feature_type") == feature_type), calls), flank, False)
     return f.select("feature_idx", (F.col("r_hi") - F.col("r_lo") + 1).alias("region_len")).join(x, "feature_idx", "left")
 
 
-def _body(x: DataFrame, flank: int, bins: int) -> DataFrame:
-    """(feature_idx, slot, v): each run's share of the points that interpolate a feature's body."""
-    body = x.where((F.col("rel_end") > flank) & (F.col("rel_start") <= F.col("region_len") - flank))
-    body = body.withColumns({"a": F.greatest(F.col("rel_start") - flank - 1, F.lit(0)), "z": F.least(F.col("rel_end") - flank - 1, F.col("L") - 1)})
+SLOT = "array<struct<slot:bigint,v:double>>"
+
+
+def _slot(at: Column, v: Column) -> Column:
+    return F.struct(at.cast("long").alias("slot"), v.cast("double").alias("v"))
+
+
+def _if(cond: Column, slots: Column) -> Column:
+    return F.when(cond, slots).otherwise(F.array().cast(SLOT))
+
+
+def _parts(x: DataFrame, flank: int, bins: int) -> tuple[DataFrame, Column, Column, Column, Callable[[Column], Column]]:
+    """Runs of features long enough, with their length L; whether they lie in the flank before, in the one after, or reach a point (lo to hi) of
+    those that interpolate the body; and the share of a run that point k has."""
+    if bins < 2:
+        raise ValueError("bins must be 2 or more")
+    x = x.where((F.col("region_len") >= 2 * flank + 2) & F.col("count").isNotNull()).withColumn("L", F.col("region_len") - 2 * flank)
+    up, down = F.col("rel_start") <= flank, F.col("rel_end") > F.col("region_len") - flank
+    inside = (F.col("rel_end") > flank) & (F.col("rel_start") <= F.col("region_len") - flank)
+    x = x.withColumns({"a": F.greatest(F.col("rel_start") - flank - 1, F.lit(0)), "z": F.least(F.col("rel_end") - flank - 1, F.col("L") - 1)})
     # point k lies at x = k (L - 1) / (bins - 1); a run over [a, z] gives it count * clamp(min(x - a + 1, z + 1 - x))
-    lo = F.expr(f"greatest(0, ceil((a - 1) * {bins - 1} / (L - 1)))").cast("long")
-    hi = F.expr(f"least({bins - 1}, floor((z + 1) * {bins - 1} / (L - 1)))").cast("long")
-    body = body.withColumns({"lo": lo, "hi": hi}).where("lo <= hi").withColumn("k", F.explode(F.sequence("lo", "hi")))
-    at = F.col("k") * (F.col("L") - 1) / F.lit(float(bins - 1))
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), at - F.col("a") + 1, F.col("z") + 1 - at))
-    return body.select("feature_idx", (F.col("k") + flank + 1).alias("slot"), (F.col("count") * share).alias("v"))
+    x = x.withColumns({"lo": F.expr(f"greatest(0, ceil((a - 1) * {bins - 1} / (L - 1)))").cast("long"), "hi": F.expr(f"least({bins - 1}, floor((z + 1) * {bins - 1} / (L - 1)))").cast("long")})
+    at = lambda k: k * (F.col("L") - 1) / F.lit(float(bins - 1))
+    share = lambda k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), at(k) - F.col("a") + 1, F.col("z") + 1 - at(k)))
+    return x, up, down, inside & (F.col("lo") <= F.col("hi")), share
 
 
 def profile_runs(projected: DataFrame, n: int, flank: int, bins: int) -> DataFrame:
@@ -108,15 +140,13 @@ def profile_runs(projected: DataFrame, n: int, flank: int, bins: int) -> DataFra
     Flanks go base by base; the body is interpolated linearly at `bins` evenly spaced points (two or more). Slots
     without depth have no row.
     """
-    if bins < 2:
-        raise ValueError("bins must be 2 or more")
-    x = projected.where((F.col("region_len") >= 2 * flank + 2) & F.col("count").isNotNull())
-    x = x.withColumn("L", F.col("region_len") - 2 * flank)
-    up = x.where(F.col("rel_start") <= flank).select("feature_idx", F.explode(F.sequence("rel_start", F.least("rel_end", F.lit(flank).cast("long")))).alias("slot"), F.col("count").cast("double").alias("v"))
+    x, up, down, inside, share = _parts(projected, flank, bins)
+    body = _if(inside, F.transform(F.sequence("lo", F.greatest("lo", "hi")), lambda k: _slot(k + flank + 1, F.col("count") * share(k))))
     first = F.greatest("rel_start", F.col("region_len") - flank + 1)
-    down = x.where(F.col("rel_end") > F.col("region_len") - flank).select("feature_idx", F.explode(F.sequence(first, F.col("rel_end"))).alias("b"), "L", F.col("count").cast("double").alias("v")).select("feature_idx", (F.col("b") - F.col("L") + bins).alias("slot"), "v")
-    body = _body(x, flank, bins)
-    return up.union(body).union(down).groupBy("feature_idx", "slot").agg((F.sum("v") / n).alias("value")).where("value <> 0")
+    before = _if(up, F.transform(F.sequence("rel_start", F.greatest("rel_start", F.least("rel_end", F.lit(flank).cast("long")))), lambda b: _slot(b, F.col("count"))))
+    after = _if(down, F.transform(F.sequence(first, F.greatest(first, F.col("rel_end"))), lambda b: _slot(b - F.col("L") + bins, F.col("count"))))
+    slots = x.select("feature_idx", F.inline(F.concat(before, body, after)))
+    return slots.groupBy("feature_idx", "slot").agg((F.sum("v") / n).alias("value")).where("value <> 0")
 
 
 def weigh(depth: Column, transform: Callable[[Column], Column] | None, by_depth: bool = True) -> Column:
@@ -131,12 +161,17 @@ def weigh(depth: Column, transform: Callable[[Column], Column] | None, by_depth:
     return F.when(bad, F.raise_error(F.lit("weights must be finite and not negative")).cast("double")).otherwise(w)
 
 
-def profile_calls(projected: DataFrame, flank: int, bins: int, by_depth: bool = True, transform: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(feature_idx, slot, level, weight): weighted mean levels in slots that hold weight."""
+def _weighted(projected: DataFrame, flank: int, bins: int, by_depth: bool, transform: Callable[[Column], Column] | None) -> DataFrame:
+    """(feature_idx, slot, level, w): the bases of features long enough that have weight."""
     x = projected.where((F.col("region_len") >= 2 * flank + 2) & F.col("rel_base").isNotNull()).withColumn("L", F.col("region_len") - 2 * flank)
     b = F.col("rel_base")
     slot = F.when(b <= flank, b).when(b > F.col("region_len") - flank, b - F.col("L") + bins).otherwise(flank + F.expr(f"((rel_base - {flank}) * {bins} + L - 1) div L"))
-    x = x.select("feature_idx", slot.alias("slot"), F.col("level").cast("double").alias("level"), weigh(F.col("weight"), transform, by_depth).alias("w")).where("w > 0")
+    return x.select("feature_idx", slot.alias("slot"), F.col("level").cast("double").alias("level"), weigh(F.col("weight"), transform, by_depth).alias("w")).where("w > 0")
+
+
+def profile_calls(projected: DataFrame, flank: int, bins: int, by_depth: bool = True, transform: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(feature_idx, slot, level, weight): weighted mean levels in slots that hold weight."""
+    x = _weighted(projected, flank, bins, by_depth, transform)
     return x.groupBy("feature_idx", "slot").agg((F.sum(F.col("level") * F.col("w")) / F.sum("w")).alias("level"), F.sum("w").alias("weight"))
 
 
@@ -145,37 +180,40 @@ def _slots(df: DataFrame, n: int) -> DataFrame:
 
 
 def mean_profile_runs(projected: DataFrame, n: int, flank: int, bins: int, exclude: DataFrame | None = None) -> DataFrame:
-    """(slot, value): mean profile of all features of sufficient length, zeros included; exclude: a table of feature_idx.
-
-    Flanks are summed as steps up and down where runs begin and end, so no base is listed.
-    """
-    if bins < 2:
-        raise ValueError("bins must be 2 or more")
+    """(slot, value): mean profile of all features of sufficient length, zeros included; exclude: a table of feature_idx."""
     x = projected if exclude is None else projected.join(exclude, "feature_idx", "left_anti")
-    x = x.where(F.col("region_len") >= 2 * flank + 2)
-    genes = x.agg(F.countDistinct("feature_idx").alias("genes")).scalar()
-    x = x.where(F.col("count").isNotNull()).withColumn("L", F.col("region_len") - 2 * flank)
-    step = lambda at, v: F.struct(at.cast("long").alias("slot"), v.cast("double").alias("v"))
+    return _mean_of_runs(x, x.select("feature_idx", "region_len").distinct(), n, flank, bins)
+
+
+def metagene_runs(features: DataFrame, runs: DataFrame, feature_type: str, n: int, flank: int, bins: int, exclude: DataFrame | None = None) -> DataFrame:
+    """mean_profile_runs of the features of a type: runs are summed by slot where they meet features, and only the sums move."""
+    f = regions(features if exclude is None else features.join(exclude, "feature_idx", "left_anti"), feature_type, flank)
+    return _mean_of_runs(runs_along(f, runs), f.select("feature_idx", "region_len"), n, flank, bins)
+
+
+def _mean_of_runs(x: DataFrame, features: DataFrame, n: int, flank: int, bins: int) -> DataFrame:
+    """Flanks are summed as steps up and down where runs begin and end, so no base is listed."""
+    genes = features.where(F.col("region_len") >= 2 * flank + 2).agg(F.count("*").alias("genes")).scalar()
+    x, up, down, inside, share = _parts(x, flank, bins)
     end, first = F.least("rel_end", F.lit(flank)), F.greatest("rel_start", F.col("region_len") - flank + 1)
     shift = F.lit(bins) - F.col("L")
-    up, down = F.col("rel_start") <= flank, F.col("rel_end") > F.col("region_len") - flank
     c = F.col("count")
-    steps = F.concat(F.when(up, F.array(step(F.col("rel_start"), c), step(end + 1, -c))).otherwise(F.array().cast("array<struct<slot:bigint,v:double>>")), F.when(down, F.array(step(first + shift, c), step(F.col("rel_end") + 1 + shift, -c))).otherwise(F.array().cast("array<struct<slot:bigint,v:double>>")))
     total = 2 * flank + bins
-    # whole numbers, at most one row a slot
-    steps = x.select(F.inline(steps)).groupBy("slot").agg(F.sum("v").alias("v"))
-    upper = F.sum(F.coalesce("v", F.lit(0.0))).over(W.orderBy("slot"))
-    flanks = _slots(x, total).join(steps, "slot", "left").select("slot", F.when((F.col("slot") <= flank) | (F.col("slot") > flank + bins), upper).otherwise(0.0).alias("f"))
-    sums = _body(x, flank, bins).groupBy("slot").agg(F.sum("v").alias("s"))
-    full = flanks.join(sums, "slot", "left").withColumn("genes", genes)
+    steps = F.concat(_if(up, F.array(_slot(F.col("rel_start"), c), _slot(end + 1, -c))), _if(down, F.array(_slot(first + shift, c), _slot(F.col("rel_end") + 1 + shift, -c))))
+    # at most one row a slot
+    steps = x.select(F.inline(steps)).groupBy("slot").agg(F.sum("v").alias("step"))
+    body = x.where(inside).withColumn("k", F.explode(F.sequence("lo", "hi"))).groupBy((F.col("k") + flank + 1).alias("slot")).agg(F.sum(c * share(F.col("k"))).alias("s"))
+    w = W.orderBy("slot").rowsBetween(W.unboundedPreceding, W.currentRow)
+    full = _slots(x, total).join(steps, "slot", "left").withColumns({"f": F.sum(F.coalesce("step", F.lit(0.0))).over(w), "genes": genes}).join(body, "slot", "left")
+    full = full.withColumn("f", F.when((F.col("slot") <= flank) | (F.col("slot") > flank + bins), F.col("f")).otherwise(0.0))
     return full.select("slot", F.when(F.col("genes") > 0, (F.coalesce("s", F.lit(0.0)) + F.col("f")) / n / F.greatest("genes", F.lit(1))).otherwise(0.0).alias("value"))
 
 
 def mean_profile_calls(projected: DataFrame, flank: int, bins: int, by_depth: bool = True, transform: Callable[[Column], Column] | None = None, exclude: DataFrame | None = None) -> DataFrame:
     """(slot, value): weighted mean over the features measured at each slot, NaN where none is."""
     x = projected if exclude is None else projected.join(exclude, "feature_idx", "left_anti")
-    p = profile_calls(x, flank, bins, by_depth, transform)
-    sums = p.groupBy("slot").agg((F.sum(F.col("level") * F.col("weight")) / F.sum("weight")).alias("v"))
+    # the mean over features of their means, all weighted, is that over bases
+    sums = _weighted(x, flank, bins, by_depth, transform).groupBy("slot").agg((F.sum(F.col("level") * F.col("w")) / F.sum("w")).alias("v"))
     return _slots(x, 2 * flank + bins).join(sums, "slot", "left").select("slot", F.coalesce("v", F.lit(float("nan"))).alias("value"))
 
 
@@ -207,10 +245,11 @@ def kde(values: DataFrame, points: int = 2048, by: tuple[str, ...] = ("scaffold"
     ship(values.sparkSession)
     v = cut(values.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))).select(*by, F.col(value).cast("double").alias("__v")))  # asked three times
     stats = v.groupBy(*by).agg(F.count("*").alias("n"), F.stddev_samp("__v").alias("sd"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
-    stats = stats.join(quantiles(v, list(by), "__v", [0.25, 0.75]), list(by))
+    stats = stats.join(F.broadcast(quantiles(v, list(by), "__v", [0.25, 0.75])), list(by))
     iqr = (F.col("q")[1] - F.col("q")[0]) / 1.34
     spread = F.when(iqr > 0, F.least("sd", iqr)).otherwise(F.col("sd"))
     stats = stats.select(*by, "n", "lo", "hi", (F.lit(0.9) * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h")).where("h > 0")
+    stats = F.broadcast(stats)  # a row for each group: parted by group, a few tasks would have all values
     x = v.join(stats, list(by)).withColumn("__x", F.expr(f"(__v - lo + 4 * h) / ((hi - lo + 8 * h) / {points - 1})")).withColumn("__k", F.floor("__x"))
     part = F.col("__x") - F.col("__k")
     shares = F.inline(F.array(F.struct(F.col("__k").alias("k"), (1 - part).alias("c")), F.struct((F.col("__k") + 1).alias("k"), part.alias("c"))))
