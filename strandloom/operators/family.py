@@ -5,7 +5,7 @@ Relations are edge tables (row_idx, col_idx, value) over a dense gene index; no
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +33,7 @@ class Family:
     genes: DataFrame  # gene_idx, id, scaffold, start_pos, end_pos
     topology: DataFrame  # row_idx, col_idx, both ways
     relations: dict[str, DataFrame] = field(default_factory=dict)  # row_idx, col_idx, value
+    edges: DataFrame | None = None  # lo, hi, and the relations' greatest values with lo as query (f_) and as subject (b_); what the others come from
 
 
 def family(features: DataFrame, pairs: DataFrame) -> Family:
@@ -54,17 +55,35 @@ def family(features: DataFrame, pairs: DataFrame) -> Family:
     genes = number(first.select("id", "f.*"), "scaffold", "start_pos", "end_pos", "id").withColumnRenamed("feature_idx", "gene_idx")
     at = genes.select("id", "gene_idx")
     x = x.join(at.select(F.col("id").alias("query"), F.col("gene_idx").alias("q")), "query").join(at.select(F.col("id").alias("subject"), F.col("gene_idx").alias("s")), "subject")
-    both = x.select(F.col("q").alias("row_idx"), F.col("s").alias("col_idx"))
-    out = Family(genes, both.union(both.select("col_idx", "row_idx")).distinct())
-    sides = {"dN": (F.least("q", "s"), F.greatest("q", "s")), "dS": (F.least("q", "s"), F.greatest("q", "s")), "id_subject_query": (F.col("q"), F.col("s")), "id_query_subject": (F.col("s"), F.col("q"))}
+    # one row for each two genes; a self pair is forward
+    forth = F.col("q") <= F.col("s")
+    e = x.groupBy(F.least("q", "s").alias("lo"), F.greatest("q", "s").alias("hi")).agg(F.lit(True).alias("on"), *[F.max(F.when(way, F.col(r))).alias(f"{p}_{r}") for r in rel for p, way in (("f", forth), ("b", ~forth))]).drop("on")
+    both = F.array(F.struct(F.col("lo").alias("row_idx"), F.col("hi").alias("col_idx")), F.struct(F.col("hi").alias("row_idx"), F.col("lo").alias("col_idx")))
+    out = Family(genes, e.select(F.inline(F.array_distinct(both))), edges=e)
     for r in rel:
-        a, b = sides[r]
-        out.relations[r] = x.groupBy(a.alias("row_idx"), b.alias("col_idx")).agg(F.max(r).alias("value"))
+        out.relations[r] = e.select(F.inline(_of_edge(r))).where("value is not null")
     return out
 
 
+def _of_edge(r: str) -> Column:
+    """The cells (row_idx, col_idx, value) of a relation that an edge fills, null values among them."""
+    cell = lambda a, b, v: F.struct(F.col(a).alias("row_idx"), F.col(b).alias("col_idx"), v.alias("value"))
+    f, b = F.col(f"f_{r}"), F.col(f"b_{r}")
+    if r in RELATIONS[:2]:
+        return F.array(cell("lo", "hi", F.greatest(f, b)))
+    return F.array(cell("lo", "hi", f), cell("hi", "lo", b)) if r == RELATIONS[2] else F.array(cell("hi", "lo", f), cell("lo", "hi", b))
+
+
 def column(f: Family, gene_idx: int) -> DataFrame:
     """Column gene_idx of every relation, dense: (relation, gene_idx, value)."""
+    if f.edges is not None and f.relations:
+        # the gene's edges are asked for once, and all relations go to the genes as columns of one row
+        mine = f.edges.where((F.col("lo") == gene_idx) | (F.col("hi") == gene_idx))
+        tagged = lambda n: F.transform(_of_edge(n), lambda c: F.struct(F.lit(n).alias("relation"), c["row_idx"].alias("gene_idx"), c["col_idx"].alias("col_idx"), c["value"].alias("value")))
+        cells = F.concat(*[tagged(n) for n in f.relations])
+        wide = mine.select(F.inline(cells)).where(F.col("col_idx") == gene_idx).groupBy("gene_idx").agg(*[F.max(F.when(F.col("relation") == n, F.col("value"))).alias(n) for n in f.relations])
+        x = f.genes.select("gene_idx").join(wide, "gene_idx", "left")
+        return x.select(F.inline(F.array(*[F.struct(F.lit(n).alias("relation"), F.col("gene_idx").alias("gene_idx"), F.coalesce(n, F.lit(0.0)).alias("value")) for n in f.relations])))
     parts = [f.genes.select("gene_idx").join(r.where(F.col("col_idx") == gene_idx).select(F.col("row_idx").alias("gene_idx"), "value"), "gene_idx", "left").select(F.lit(n).alias("relation"), "gene_idx", F.coalesce("value", F.lit(0.0)).alias("value")) for n, r in f.relations.items()]
     return reduce(DataFrame.union, parts)
 
@@ -114,8 +133,13 @@ def scored_edges(f: Family, scoring: str = "mean") -> DataFrame:
     scoring = {"avg": "mean", "average": "mean", "minimum": "min", "maximum": "max"}.get(scoring.lower(), scoring.lower())
     if scoring not in ("mean", "min", "max"):
         raise ValueError("scoring must be mean, min or max")
-    e = topology_graph(f).select(F.col("a").alias("lo"), F.col("b").alias("hi"))
     has_sq, has_qs = (r in f.relations for r in RELATIONS[2:])
+    if f.edges is not None:
+        way = F.coalesce("f_" + (RELATIONS[2] if has_sq else RELATIONS[3]), F.lit(0.0)) != 0 if has_sq or has_qs else F.lit(True)
+        at = [F.greatest(f"f_{r}", f"b_{r}") if r in RELATIONS[:2] else F.when(way, F.col(f"f_{r}")).otherwise(F.col(f"b_{r}")) for r in RELATIONS if r in f.relations]
+        e = f.edges.where("lo < hi").select("lo", "hi", F.when(way, F.col("lo")).otherwise(F.col("hi")).alias("q"), F.when(way, F.col("hi")).otherwise(F.col("lo")).alias("s"), *[F.coalesce(v, F.lit(0.0)).alias(r) for v, r in zip(at, [r for r in RELATIONS if r in f.relations])])
+        return _identity(e, f, scoring)
+    e = topology_graph(f).select(F.col("a").alias("lo"), F.col("b").alias("hi"))
     if has_sq:
         e = _cell(e, f, "id_subject_query", "lo", "hi", "__way")
     elif has_qs:
@@ -131,6 +155,10 @@ def scored_edges(f: Family, scoring: str = "mean") -> DataFrame:
         e = _cell(e, f, "id_subject_query", "q", "s", "id_subject_query")
     if has_qs:
         e = _cell(e, f, "id_query_subject", "s", "q", "id_query_subject")
+    return _identity(e, f, scoring)
+
+
+def _identity(e: DataFrame, f: Family, scoring: str) -> DataFrame:
     vals = [F.col(r) for r in RELATIONS[2:] if r in f.relations]
     if vals:
         two = len(vals) == 2
@@ -145,6 +173,9 @@ def best_hits(f: Family, scoring: str = "mean") -> DataFrame:
     """
     if not f.relations:
         raise ValueError("no relation to rank edges by")
+    if f.edges is not None:
+        f = replace(f, edges=cut(f.edges))  # asked for edges and components
+        f.topology = f.edges.select(F.col("lo").alias("row_idx"), F.col("hi").alias("col_idx"))  # lo < hi is all that a graph takes
     e = scored_edges(f, scoring)
     c = gene_components(f).select(F.col("gene_idx").alias("lo"), "component")
     order: list[Column] = [F.col(r) for r in ("dS", "dN") if r in f.relations] + ([-F.col("identity")] if "identity" in e.columns else [])
@@ -155,14 +186,18 @@ def best_hits(f: Family, scoring: str = "mean") -> DataFrame:
     return e.join(name("q", "query"), "q").join(name("s", "subject"), "s").select("query", "subject", *[r for r in RELATIONS if r in f.relations], "tied")
 
 
-def _cells(pairs: DataFrame, row_idx: str) -> tuple[DataFrame, DataFrame]:
-    """Gene indices by first appearance (all of column 1, then all of column 2), and the last written value of each cell."""
+def _cells(pairs: DataFrame, row_idx: str, half: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Gene indices by first appearance (all of column 1, then all of column 2), and the last written value of each cell; `half`: of those with i < j."""
     a, b, p1, p2 = (c for c in pairs.columns if c != row_idx)
     pairs = pairs.select(F.col(row_idx).alias("r"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(p1).alias("p1"), F.col(p2).alias("p2"))
     seen = pairs.select(F.lit(0).alias("c"), "r", F.col("a").alias("id")).union(pairs.select(F.lit(1), "r", "b"))
     first = seen.groupBy("id").agg(F.min(F.struct("c", "r")).alias("f"))
     genes = number(first.select("id", "f.c", "f.r"), "c", "r").select("id", F.col("feature_idx").alias("i"))
     x = pairs.join(genes.select(F.col("id").alias("a"), F.col("i").alias("x")), "a").join(genes.select(F.col("id").alias("b"), F.col("i").alias("y")), "b")
+    if half:
+        on = F.col("x") < F.col("y")
+        x = x.where("x <> y").groupBy(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
+        return genes, x.agg(F.max_by(F.struct(F.when(on, F.col("p1")).otherwise(F.col("p2")).alias("own"), F.when(on, F.col("p2")).otherwise(F.col("p1")).alias("other")), "r").alias("v")).select("i", "j", "v.own", "v.other")
     # within a row the second cell is written after the first
     cell = lambda i, j, k, own, other: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), "r", F.lit(k).alias("k"), F.col(own).alias("own"), F.col(other).alias("other"))
     cells = x.select(F.explode(F.array(cell("x", "y", 0, "p1", "p2"), cell("y", "x", 1, "p2", "p1"))).alias("v")).select("v.*")
@@ -202,6 +237,23 @@ def _greedy(found: DataFrame) -> DataFrame:
     return taken.union(last).select(F.col("id").alias("i"), F.col("n").alias("j"))
 
 
+def _alike(pairs: DataFrame, row_idx: str, s: str) -> DataFrame:
+    """pair_best_hits by a score that both directions share: the best of a row is the best of that column.
+
+    Each row writes both cells of its two genes, so the last row of an unordered pair tells both; of candidates a gene keeps one.
+    """
+    genes, last = _cells(pairs, row_idx, True)
+    score = {"max": F.greatest("own", "other"), "mean": (F.col("own") + F.col("other")) / 2, "ds": F.col("own")}[s]
+    c = last.where("i < j").withColumn("score", score)
+    c = c.select("i", "j", F.col("score").alias("s"), "own", "other") if s == "ds" else c.where("score > 0").select("i", "j", (-F.col("score")).alias("s"), "own", "other")
+    side = lambda a, b, own, other: F.struct(F.col(a).alias("i"), F.struct("s", F.col(b).alias("j"), F.col(own).alias("own"), F.col(other).alias("other")).alias("b"))
+    best = cut(c.select(F.inline(F.array(side("i", "j", "own", "other"), side("j", "i", "other", "own")))).groupBy("i").agg(F.min("b").alias("b")).select("i", "b.j", "b.own", F.col("b.other").alias("back")))
+    x = best.where("i < j").join(best.where("j < i").select(F.col("i").alias("j"), F.col("j").alias("i")), ["i", "j"])
+    name = lambda c, out: genes.select(F.col("i").alias(c), F.col("id").alias(out))
+    x = x.join(name("j", "GeneID"), "j").join(name("i", "ParalogID"), "i")
+    return x.select("GeneID", "ParalogID", F.col("own").alias("ds"), F.least("own", "back").alias("min_ds")) if s == "ds" else _percents(x)
+
+
 def pair_best_hits(pairs: DataFrame, row_idx: str, scoring: str = "max") -> DataFrame:
     """Reciprocal best hits of (gene, paralog, value1, value2) by position; row_idx gives the rows' order.
 
@@ -214,18 +266,18 @@ def pair_best_hits(pairs: DataFrame, row_idx: str, scoring: str = "max") -> Data
     if s == "ds":
         a, b, v = [c for c in pairs.columns if c != row_idx][:3]
         pairs = pairs.select(row_idx, a, b, v, F.col(v).alias("__v"))
+    if s != "double_max":
+        return _alike(pairs, row_idx, s)
     genes, cells = _cells(pairs, row_idx)
-    score = {"max": F.greatest("own", "other"), "mean": (F.col("own") + F.col("other")) / 2, "double_max": F.col("own"), "ds": F.col("own")}[s]
-    found = _mutual(cells.where("i <> j"), score, s == "ds")
-    if s == "double_max":
-        found = _greedy(cut(found))
-    else:
-        found = found.where("i < j")
+    cells = cut(cells)  # asked four times
+    found = _greedy(cut(_mutual(cells.where("i <> j"), F.col("own"))))
     name = lambda c, out: genes.select(F.col("i").alias(c), F.col("id").alias(out))
     back = cells.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("own").alias("back"))
     x = found.join(cells.select("i", "j", "own"), ["i", "j"]).join(back, ["i", "j"], "left").withColumn("back", F.coalesce("back", F.lit(0.0)))
     x = x.join(name("j", "GeneID"), "j").join(name("i", "ParalogID"), "i")
-    if s == "ds":
-        return x.select("GeneID", "ParalogID", F.col("own").alias("ds"), F.least("own", "back").alias("min_ds"))
+    return _percents(x)
+
+
+def _percents(x: DataFrame) -> DataFrame:
     return x.select("GeneID", "ParalogID", F.col("own").alias("perc_1"), F.col("back").alias("perc_2"), F.greatest("own", "back").alias("max_perc"), ((F.col("own") + F.col("back")) / 2).alias("mean_perc"))
 

@@ -29,14 +29,34 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[root]
 
 
+#: edges that a task's Python holds before it contracts them, about
+MOST = 1 << 20
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace the edges of a task by one star per local component, merging as they come."""
-    have: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    """Replace the edges of a task by stars of local components. Edges are contracted MOST at a time, and stars go out when they fill half of
+    that, so memory has a bound whatever the task holds; rounds join what was parted."""
+    have: list[list[np.ndarray]] = [[], []]
+    size = 0
     for x in batches:
-        n, r = local_roots(*(np.concatenate([h, x.column(i).to_numpy()]) for i, h in enumerate(have)))
-        have = [n[n != r], r[n != r]]
-    if len(have[0]):
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in have], names=["a", "b"])
+        for i in (0, 1):
+            have[i].append(x.column(i).to_numpy())
+        size += len(x)
+        if size >= MOST:
+            n, r = local_roots(*(np.concatenate(h) for h in have))
+            n, r = n[n != r], r[n != r]
+            if len(n) > MOST // 2:
+                yield from _edges(n, r)
+                n, r = n[:0], r[:0]
+            have, size = [[n], [r]], len(n)
+    if size:
+        n, r = local_roots(*(np.concatenate(h) for h in have))
+        yield from _edges(n[n != r], r[n != r])
+
+
+def _edges(a: np.ndarray, b: np.ndarray, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(a), rows):
+        yield pa.RecordBatch.from_arrays([pa.array(a[k : k + rows]), pa.array(b[k : k + rows])], names=["a", "b"])
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -2,11 +2,13 @@
 
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import ontology
-from strandloom.operators import intervals
+from strandloom.operators import family, graph, intervals
 from strandloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +56,29 @@ def test_pairs_stay_where_they_meet(spark, name):
 def test_values_of_a_group_stay_spread(spark):
     df = registry.QUERIES["kde_bed"](spark, SF)
     assert not re.search(r"SortMergeJoin \[scaffold#\d+\]", exchanged(df))
+
+
+def test_contracting_holds_a_bounded_number_of_edges(monkeypatch):
+    monkeypatch.setattr(graph, "MOST", 1000)
+    read = []
+
+    def batches():
+        for k in range(100):
+            read.append(k)
+            a = np.arange(k * 1000, k * 1000 + 1000, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(a + 1)], names=["a", "b"])
+
+    out = graph._contract(batches())
+    first = next(out)
+    assert len(read) < 10
+    assert len(first) + sum(len(b) for b in out) == 50000 and len(read) == 100
+
+
+def test_family_resolves_pairs_once(spark):
+    f = registry.the_family(spark, SF)
+    for df in (family.column(f, 5), family.scored_edges(f)):
+        assert len(re.findall(r"SortMergeJoin \[(query|subject)#|BroadcastHashJoin \[(query|subject)#", exchanged(df))) == 2
+
+
+def test_best_hits_resolve_pairs_once(spark):
+    assert not re.search(r"Join \[a#|Join \[b#|row_key", exchanged(registry.QUERIES["rbh_pairs_mean"](spark, SF)))
