@@ -64,20 +64,21 @@ class Variable:
             raise ValueError("exactly one of covariates and data")
 
 
-def _located(spark: SparkSession, path: str) -> str:
-    """A path as the scan's file_path column has it."""
+def _located(spark: SparkSession, path: str) -> list[str]:
+    """The files of a path, itself or those in a folder, as the scan's file_path column has them."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(p):
         raise FileNotFoundError(path)
-    return fs.getFileStatus(p).getPath().toUri().toString()
+    files = [s.getPath() for s in fs.listStatus(p) if s.isFile()]
+    return [f.toUri().toString() for f in files if not f.getName().startswith(("_", "."))]
 
 
 def experiment(spark: SparkSession, sheet: DataFrame) -> DataFrame:
     """Samples of a sheet, whose last column holds paths and whose others are levels, as one table with level columns.
 
     `.bed` files give intervals, all others CSV tables whose columns from the second on are numbers; tables of one sheet
-    have the same columns. A sheet may hold both: each kind is one scan over all its files, and columns that a kind
+    have the same columns. A path may be a folder, whose files make the sample. A sheet may hold both: each kind is one scan over all its files, and columns that a kind
     doesn't have are null.
     """
     cols = sheet.columns
@@ -90,7 +91,7 @@ def experiment(spark: SparkSession, sheet: DataFrame) -> DataFrame:
     if len(set(levels)) < len(levels):
         raise ValueError("levels repeat")
     at = {p: _located(spark, p) for p in paths}
-    where = spark.createDataFrame([(at[p].replace("file:///", "file:/"), *v) for p, v in zip(paths, levels)], ", ".join(["__at string", *(f"`{c}` string" for c in cols[:-1])]))
+    where = spark.createDataFrame([(f.replace("file:///", "file:/"), *v) for p, v in zip(paths, levels) for f in at[p]], ", ".join(["__at string", *(f"`{c}` string" for c in cols[:-1])]))
     beds = [p for p in paths if p.lower().endswith(".bed")]
     tables = [p for p in paths if not p.lower().endswith(".bed")]
     found = []
@@ -104,7 +105,7 @@ def experiment(spark: SparkSession, sheet: DataFrame) -> DataFrame:
         raise ValueError("an empty sheet")
     rows_of = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
     rows_of = rows_of.withColumn("__at", F.regexp_replace("__at", "^file:///", "file:/"))
-    out = rows_of.join(where, "__at")
+    out = rows_of.join(F.broadcast(where), "__at")  # a row for each file: parted by path, a few tasks would have all rows
     return out.select(*[f"`{c}`" for c in cols[:-1]], *[f"`{c}`" for c in rows_of.columns if c != "__at"])
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import ontology
 from strandloom.operators import family, graph, intervals
 from strandloom.plans import registry
+from strandloom.sources import table
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,3 +83,29 @@ def test_family_resolves_pairs_once(spark):
 
 def test_best_hits_resolve_pairs_once(spark):
     assert not re.search(r"Join \[a#|Join \[b#|row_key", exchanged(registry.QUERIES["rbh_pairs_mean"](spark, SF)))
+
+
+def test_samples_of_many_files(spark, tmp_path):
+    for name, lines in {"m1.bed/a": "s1\t4\t9\n", "m1.bed/b": "s1\t0\t3\n", "t/a": "id,v\ng1,1\n", "t/b": "id,v\ng2,2\n", "x.csv": "id,v\ng3,3\n"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(lines)
+    sheet = spark.createDataFrame([("bed", f"{tmp_path}/m1.bed"), ("many", f"{tmp_path}/t"), ("one", f"{tmp_path}/x.csv")], "level string, path string")
+    x = table.experiment(spark, sheet)
+    assert sorted(((r.level, r.start_pos, r.id, r.v) for r in x.collect()), key=str) == [("bed", 1, None, None), ("bed", 5, None, None), ("many", None, "g1", 1.0), ("many", None, "g2", 2.0), ("one", None, "g3", 3.0)]
+    assert "SortMergeJoin" not in exchanged(x)
+
+
+@pytest.mark.parametrize("name, most", [("read_call_files", 7), ("read_read_files", 5)])
+def test_sets_are_written_by_many_tasks(spark, monkeypatch, tmp_path, name, most):
+    """sf0.01 has 150,000 orders of 13 bases a tenth: 3 places and more of each scaffold."""
+    monkeypatch.setattr(registry, "own_folder", lambda s, n: f"{tmp_path}/{n}")
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        registry.QUERIES[name](spark, "/root/testdata/sf0.01")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert len(list(tmp_path.rglob("part-*"))) > most
