@@ -118,20 +118,15 @@ def _if(cond: Column, slots: Column) -> Column:
     return F.when(cond, slots).otherwise(F.array().cast(SLOT))
 
 
-def _parts(x: DataFrame, flank: int, bins: int) -> tuple[DataFrame, Column, Column, Column, Callable[[Column], Column]]:
-    """Runs of features long enough, with their length L; whether they lie in the flank before, in the one after, or reach a point (lo to hi) of
-    those that interpolate the body; and the share of a run that point k has."""
+def _zones(x: DataFrame, flank: int, bins: int) -> tuple[DataFrame, Column, Column, Column]:
+    """Runs of features long enough, with the body's length L and their part of it, bases a to z from 0; whether they reach the flank before, the
+    one after, and the body."""
     if bins < 2:
         raise ValueError("bins must be 2 or more")
     x = x.where((F.col("region_len") >= 2 * flank + 2) & F.col("count").isNotNull()).withColumn("L", F.col("region_len") - 2 * flank)
     up, down = F.col("rel_start") <= flank, F.col("rel_end") > F.col("region_len") - flank
     inside = (F.col("rel_end") > flank) & (F.col("rel_start") <= F.col("region_len") - flank)
-    x = x.withColumns({"a": F.greatest(F.col("rel_start") - flank - 1, F.lit(0)), "z": F.least(F.col("rel_end") - flank - 1, F.col("L") - 1)})
-    # point k lies at x = k (L - 1) / (bins - 1); a run over [a, z] gives it count * clamp(min(x - a + 1, z + 1 - x))
-    x = x.withColumns({"lo": F.expr(f"greatest(0, ceil((a - 1) * {bins - 1} / (L - 1)))").cast("long"), "hi": F.expr(f"least({bins - 1}, floor((z + 1) * {bins - 1} / (L - 1)))").cast("long")})
-    at = lambda k: k * (F.col("L") - 1) / F.lit(float(bins - 1))
-    share = lambda k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), at(k) - F.col("a") + 1, F.col("z") + 1 - at(k)))
-    return x, up, down, inside & (F.col("lo") <= F.col("hi")), share
+    return x.withColumns({"a": F.greatest(F.col("rel_start") - flank - 1, F.lit(0)), "z": F.least(F.col("rel_end") - flank - 1, F.col("L") - 1)}), up, down, inside
 
 
 def profile_runs(projected: DataFrame, n: int, flank: int, bins: int) -> DataFrame:
@@ -140,8 +135,12 @@ def profile_runs(projected: DataFrame, n: int, flank: int, bins: int) -> DataFra
     Flanks go base by base; the body is interpolated linearly at `bins` evenly spaced points (two or more). Slots
     without depth have no row.
     """
-    x, up, down, inside, share = _parts(projected, flank, bins)
-    body = _if(inside, F.transform(F.sequence("lo", F.greatest("lo", "hi")), lambda k: _slot(k + flank + 1, F.col("count") * share(k))))
+    x, up, down, inside = _zones(projected, flank, bins)
+    # point k lies at x = k (L - 1) / (bins - 1); a run over [a, z] gives it count * clamp(min(x - a + 1, z + 1 - x))
+    x = x.withColumns({"lo": F.expr(f"greatest(0, ceil((a - 1) * {bins - 1} / (L - 1)))").cast("long"), "hi": F.expr(f"least({bins - 1}, floor((z + 1) * {bins - 1} / (L - 1)))").cast("long")})
+    at = lambda k: k * (F.col("L") - 1) / F.lit(float(bins - 1))
+    share = lambda k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), at(k) - F.col("a") + 1, F.col("z") + 1 - at(k)))
+    body = _if(inside & (F.col("lo") <= F.col("hi")), F.transform(F.sequence("lo", F.greatest("lo", "hi")), lambda k: _slot(k + flank + 1, F.col("count") * share(k))))
     first = F.greatest("rel_start", F.col("region_len") - flank + 1)
     before = _if(up, F.transform(F.sequence("rel_start", F.greatest("rel_start", F.least("rel_end", F.lit(flank).cast("long")))), lambda b: _slot(b, F.col("count"))))
     after = _if(down, F.transform(F.sequence(first, F.greatest(first, F.col("rel_end"))), lambda b: _slot(b - F.col("L") + bins, F.col("count"))))
@@ -186,27 +185,44 @@ def mean_profile_runs(projected: DataFrame, n: int, flank: int, bins: int, exclu
 
 
 def metagene_runs(features: DataFrame, runs: DataFrame, feature_type: str, n: int, flank: int, bins: int, exclude: DataFrame | None = None) -> DataFrame:
-    """mean_profile_runs of the features of a type: runs are summed by slot where they meet features, and only the sums move."""
+    """mean_profile_runs of the features of a type: runs are summed by slot where they meet features, and only the sums move.
+
+    Runs may overlap, as depth is their sum: stacked intervals, each with count 1, need no sweep. A bin has many features and many runs, which a
+    merge join pairs faster than a broadcast one.
+    """
     f = regions(features if exclude is None else features.join(exclude, "feature_idx", "left_anti"), feature_type, flank)
-    return _mean_of_runs(runs_along(f, runs), f.select("feature_idx", "region_len"), n, flank, bins)
+    return _mean_of_runs(runs_along(f.hint("merge"), runs), f.select("feature_idx", "region_len"), n, flank, bins)
+
+
+STEP = "array<struct<slot:bigint,jump:bigint,slope:bigint>>"
 
 
 def _mean_of_runs(x: DataFrame, features: DataFrame, n: int, flank: int, bins: int) -> DataFrame:
-    """Flanks are summed as steps up and down where runs begin and end, so no base is listed."""
+    """A run gives slots a function that is linear but for a few breaks, where it jumps and its slope changes. The breaks are summed by slot and
+    added up along the slots, so neither bases nor points are listed and pairs are met once. All is counted in whole (bins - 1)ths.
+    """
     genes = features.where(F.col("region_len") >= 2 * flank + 2).agg(F.count("*").alias("genes")).scalar()
-    x, up, down, inside, share = _parts(x, flank, bins)
+    x, up, down, inside = _zones(x, flank, bins)
+    m, run = F.lit(bins - 1), F.col("L") - 1
+    # body point k lies at base k run / m: in whole runs it has c; within a base before a or after z, c (1 - distance)
+    x = x.withColumns({"c": F.col("count").cast("long"), "p0": F.expr(f"if(a = 0, 0, (a - 1) * {bins - 1} div (L - 1) + 1)"), "p1": F.expr(f"(a * {bins - 1} + L - 2) div (L - 1)")})
+    x = x.withColumns({"p2": F.expr(f"z * {bins - 1} div (L - 1) + 1"), "p3": F.expr(f"least({bins}, ((z + 1) * {bins - 1} - 1) div (L - 1) + 1)")})
+    c, p0, p1, p2, p3 = (F.col(k) for k in ("c", "p0", "p1", "p2", "p3"))
+    rise = lambda p: p * run - (F.col("a") - 1) * m
+    fall = lambda p: (F.col("z") + 1) * m - p * run
+    at = lambda slot, jump, slope=F.lit(0): F.struct(slot.cast("long").alias("slot"), jump.cast("long").alias("jump"), slope.cast("long").alias("slope"))
+    body = F.array(at(p0 + flank + 1, c * rise(p0), c * run), at(p1 + flank + 1, c * (m - rise(p1)), -c * run), at(p2 + flank + 1, c * (fall(p2) - m), -c * run), at(p3 + flank + 1, -c * fall(p3), c * run))
     end, first = F.least("rel_end", F.lit(flank)), F.greatest("rel_start", F.col("region_len") - flank + 1)
     shift = F.lit(bins) - F.col("L")
-    c = F.col("count")
-    total = 2 * flank + bins
-    steps = F.concat(_if(up, F.array(_slot(F.col("rel_start"), c), _slot(end + 1, -c))), _if(down, F.array(_slot(first + shift, c), _slot(F.col("rel_end") + 1 + shift, -c))))
+    before, after = F.array(at(F.col("rel_start"), c * m), at(end + 1, -c * m)), F.array(at(first + shift, c * m), at(F.col("rel_end") + 1 + shift, -c * m))
+    some = lambda cond, steps: F.when(cond, steps).otherwise(F.array().cast(STEP))
     # at most one row a slot
-    steps = x.select(F.inline(steps)).groupBy("slot").agg(F.sum("v").alias("step"))
-    body = x.where(inside).withColumn("k", F.explode(F.sequence("lo", "hi"))).groupBy((F.col("k") + flank + 1).alias("slot")).agg(F.sum(c * share(F.col("k"))).alias("s"))
-    w = W.orderBy("slot").rowsBetween(W.unboundedPreceding, W.currentRow)
-    full = _slots(x, total).join(steps, "slot", "left").withColumns({"f": F.sum(F.coalesce("step", F.lit(0.0))).over(w), "genes": genes}).join(body, "slot", "left")
-    full = full.withColumn("f", F.when((F.col("slot") <= flank) | (F.col("slot") > flank + bins), F.col("f")).otherwise(0.0))
-    return full.select("slot", F.when(F.col("genes") > 0, (F.coalesce("s", F.lit(0.0)) + F.col("f")) / n / F.greatest("genes", F.lit(1))).otherwise(0.0).alias("value"))
+    steps = x.select(F.inline(F.concat(some(up, before), some(inside, body), some(down, after)))).groupBy("slot").agg(F.sum("jump").alias("jump"), F.sum("slope").alias("slope"))
+    w = W.orderBy("slot")
+    upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    full = _slots(x, 2 * flank + bins).join(steps, "slot", "left").fillna(0, ["jump", "slope"]).withColumn("slope", F.sum("slope").over(upto))
+    full = full.withColumns({"s": F.sum("jump").over(upto) + F.coalesce(F.sum("slope").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "genes": genes})
+    return full.select("slot", F.when(F.col("genes") > 0, F.col("s") / m / n / F.greatest("genes", F.lit(1))).otherwise(0.0).alias("value"))
 
 
 def mean_profile_calls(projected: DataFrame, flank: int, bins: int, by_depth: bool = True, transform: Callable[[Column], Column] | None = None, exclude: DataFrame | None = None) -> DataFrame:

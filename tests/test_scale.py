@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import ontology
-from strandloom.operators import family, graph, intervals
+from strandloom.operators import family, graph, intervals, signal
 from strandloom.plans import registry
 from strandloom.sources import table
 
@@ -109,3 +109,27 @@ def test_sets_are_written_by_many_tasks(spark, monkeypatch, tmp_path, name, most
         spark.conf.set("spark.sql.adaptive.enabled", was)
         spark.conf.set("spark.sql.shuffle.partitions", parts)
     assert len(list(tmp_path.rglob("part-*"))) > most
+
+
+@pytest.mark.parametrize("name", ["metagene_bed", "metagene_exclude"])
+def test_metagene_meets_intervals_once(spark, name):
+    """Neither a sweep of depth nor a second join for the body, and one kind of join at every size."""
+    plan = exchanged(registry.QUERIES[name](spark, SF))
+    assert len(re.findall(r"Join \[scaffold#", plan)) == len(re.findall(r"SortMergeJoin \[scaffold#", plan)) == 1
+    assert not re.search(r"Window \[.*\], \[scaffold#", plan)
+
+
+def test_breaks_give_the_interpolated_profile(spark):
+    """Overlapping runs, bodies of 2 bases and more, of fewer bases than points and of more; against bases one by one."""
+    rng, flank, bins = np.random.default_rng(3), 2, 5
+    lengths = [2, 3, 4, 5, 6, 9, 31]
+    runs = [(i, n + 2 * flank, *sorted(int(v) for v in rng.integers(1, n + 2 * flank + 1, 2)), int(rng.integers(1, 4))) for i, n in enumerate(lengths) for _ in range(12)]
+    want = np.zeros(2 * flank + bins)
+    for _, n, a, z, c in runs:
+        base = np.zeros(n)
+        base[a - 1 : z] = c
+        body = base[flank:-flank]
+        want += np.concatenate([base[:flank], np.interp(np.arange(bins) * (len(body) - 1) / (bins - 1), np.arange(len(body)), body), base[-flank:]])
+    x = spark.createDataFrame(runs, "feature_idx long, region_len long, rel_start long, rel_end long, count long")
+    got = [r.value for r in signal.mean_profile_runs(x, 3, flank, bins).orderBy("slot").collect()]
+    assert np.allclose(got, want / 3 / len(lengths), atol=1e-12, rtol=0)
