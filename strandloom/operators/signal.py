@@ -83,10 +83,10 @@ def explode_bases(projected: DataFrame) -> DataFrame:
     return projected.where("count is not null").select("feature_idx", F.explode(F.sequence("rel_start", "rel_end")).alias("rel_base"), "count")
 
 
-def levels_along(features: DataFrame, calls: DataFrame, feature_type: str, flank: int = 500, min_depth: int = MIN_DEPTH, context: int | None = codec.CPG) -> DataFrame:
+def levels_along(features: DataFrame, calls: DataFrame, feature_type: str, flank: int = 500, min_depth: int = MIN_DEPTH, context: int | None = codec.CPG, parts: int | None = None) -> DataFrame:
     """Levels along features, 5' to 3': (feature_idx, region_len, rel_base, level FLOAT, weight); calls of one base are pooled by depth.
 
-    Regions aren't clipped. Bases are pooled before they meet features, so the pairs need not move.
+    Regions aren't clipped. Bases are pooled before they meet features, so the pairs need not move. They meet in `parts` tasks, if given.
     """
     f = region(features.where(F.col("feature_type") == feature_type), flank, False).select("feature_idx", "scaffold", "strand", "r_lo", "r_hi")
     c = calls.select("scaffold", "pos", codec.get_depth("payload").alias("depth"), codec.get_percent_code("payload").alias("code"), codec.get_context("payload").alias("c")).where(F.col("depth") >= max(min_depth, 1))
@@ -94,7 +94,7 @@ def levels_along(features: DataFrame, calls: DataFrame, feature_type: str, flank
         c = c.where(F.col("c") == context)
     c = c.groupBy("scaffold", "pos").agg(F.sum(F.col("code") * F.col("depth")).alias("s"), F.sum("depth").alias("weight"))
     c = c.select("scaffold", "pos", (F.col("s") / F.lit(255.0) / F.col("weight")).cast("float").alias("level"), "weight")
-    x = point_join(f, c, "r_lo", "r_hi")
+    x = point_join(f, c, "r_lo", "r_hi", parts)
     rel = F.when(F.col("strand") == codec.REV, F.col("r_hi") - F.col("pos") + 1).otherwise(F.col("pos") - F.col("r_lo") + 1)
     return x.select("feature_idx", (F.col("r_hi") - F.col("r_lo") + 1).alias("region_len"), rel.alias("rel_base"), "level", "weight")
 

@@ -52,9 +52,15 @@ def pack(sites: DataFrame) -> DataFrame:
     return sites.select(*rest, codec.pack_payload("meth", "unmeth", F.col("context"), F.col("strand")).alias("payload"))
 
 
-def load_coverage(lines: DataFrame, by: list[str] | None = None, context: Column | int = codec.CPG, strand: Column | int = codec.NA, line: str = "value") -> DataFrame:
-    """Call sets of coverage lines: repeated positions are summed before they are packed. `by`: columns that part the sets."""
+def load_coverage(lines: DataFrame, by: list[str] | None = None, context: Column | int = codec.CPG, strand: Column | int = codec.NA, line: str = "value", parts: int | None = None) -> DataFrame:
+    """Call sets of coverage lines: repeated positions are summed before they are packed. `by`: columns that part the sets.
+
+    With `parts`, lines go to that many tasks by position as they are, and sums over sites that follow need not move them again: the task that
+    reads lines would else hold about all of its sites at once, as positions repeat little.
+    """
     x = parse_coverage(lines, line).withColumns({"context": F.lit(context) if isinstance(context, int) else context, "strand": F.lit(strand) if isinstance(strand, int) else strand})
+    if parts:
+        x = x.repartition(parts, "scaffold", "pos")
     return pack(x.groupBy(*(by or []), *SITE).agg(F.sum("meth").alias("meth"), F.sum("unmeth").alias("unmeth")))
 
 

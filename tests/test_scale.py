@@ -133,3 +133,14 @@ def test_breaks_give_the_interpolated_profile(spark):
     x = spark.createDataFrame(runs, "feature_idx long, region_len long, rel_start long, rel_end long, count long")
     got = [r.value for r in signal.mean_profile_runs(x, 3, flank, bins).orderBy("slot").collect()]
     assert np.allclose(got, want / 3 / len(lengths), atol=1e-12, rtol=0)
+
+
+def test_tasks_hold_a_bounded_number_of_calls(spark, monkeypatch):
+    """Lines move once by position and once by bin, to as many tasks as there are lines for; no map task aggregates sites."""
+    monkeypatch.setattr(registry, "CALLS", 500)
+    plan = exchanged(registry.QUERIES["metagene_meth_sqrt"](spark, SF))
+    parts = spark.read.parquet(f"{SF}/lineitem.parquet").count() // 500 + 1
+    assert parts > 10
+    assert len(re.findall(rf"hashpartitioning\(scaffold#\d+, pos#\w+, {parts}\)", plan)) == 1
+    assert len(re.findall(rf"hashpartitioning\(scaffold#\d+, __level#\d+, __bin#\w+, {parts}\)", plan)) == 2
+    assert not re.search(r"hashpartitioning\((file_idx|scaffold#\d+, pos#\w+, context)", plan)
